@@ -23,6 +23,7 @@ DAY = 86400
 class Answers:
     parsed: DataFrame  # requests with their `error`
     pages: DataFrame  # request_id, rank, doc_id, score, total
+    totals: DataFrame  # request_id, total
     hits: DataFrame  # request_id, rank, doc_id and what a hit shows
     responses: DataFrame  # request_id, response
 
@@ -62,6 +63,14 @@ def _within(date: Column, lo: Column, hi: Column) -> Column:
     return F.coalesce(at >= lo, F.lit(True)) & F.coalesce(at <= hi, F.lit(True))
 
 
+def in_range(date: str, lo: int, hi: int) -> Column:
+    """Inclusive epoch-second bounds on a timestamp column, 0 = open; the scan can skip row groups by it."""
+    at = F.col(date)
+    above = at >= F.timestamp_seconds(F.lit(lo)) if lo else F.lit(True)
+    below = at <= F.timestamp_seconds(F.lit(hi)) if hi else F.lit(True)
+    return above & below
+
+
 def matches(index: Index, wanted: DataFrame, parts: DataFrame, exclude: str = "all") -> DataFrame:
     """request_id, slot, doc_id, key, score, page, size: all documents that satisfy a request.
 
@@ -259,4 +268,4 @@ def search(requests: DataFrame, index: Index, exclude: str = "all", staged: bool
         .select("request_id", F.coalesce("total", F.lit(0).cast("bigint")).alias("total"))
     )
     responses = response_json(found.select("request_id", "rank", *HIT_COLUMNS), totals).unionByName(error_json(parsed))
-    return Answers(parsed, pages, found, responses)
+    return Answers(parsed, pages, totals, found, responses)
