@@ -42,19 +42,14 @@ def fragment_spans(c: Column) -> Column:
 
 
 def fragments(posts: DataFrame) -> DataFrame:
-    """doc_id, field, fragment, byte span and text of every fragment of every post."""
+    """doc_id, field, fragment and byte span of every fragment of every post."""
     pair = [F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in TEXT_FIELDS]
     return (
         posts.select("doc_id", F.explode(F.array(*pair)).alias("f"))
-        .select("doc_id", "f.field", "f.text", F.posexplode(fragment_spans(F.col("f.text"))).alias("fragment", "s"))
-        .select(
-            "doc_id",
-            "field",
-            "fragment",
-            F.col("s.start").alias("byte_from"),
-            F.col("s.stop").alias("byte_to"),
-            byte_slice(F.col("text"), F.col("s.start"), F.col("s.stop")).alias("text"),
-        )
+        .select("doc_id", "f.field", fragment_spans(F.col("f.text")).alias("spans"))
+        .select("doc_id", "field", F.posexplode_outer("spans").alias("fragment", "s"))
+        .where("s is not null")
+        .select("doc_id", "field", "fragment", F.col("s.start").alias("byte_from"), F.col("s.stop").alias("byte_to"))
     )
 
 

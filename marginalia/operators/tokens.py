@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import cut, token_count
+from marginalia.functions.text import cut
 
 
 def _fields(posts: DataFrame, *carry: str) -> DataFrame:
@@ -16,9 +16,18 @@ def _fields(posts: DataFrame, *carry: str) -> DataFrame:
     )
 
 
+def _cut_rows(fields: DataFrame, *carry: str) -> DataFrame:
+    """One row per token. The outer explode keeps Spark from cutting each text again just to
+    test that it has tokens; the one empty row of a text without tokens is dropped after it."""
+    parts = fields.withColumn("parts", cut(F.col("text"))).drop("text").withColumn("dl", F.size("parts").cast("bigint"))
+    return parts.select("doc_id", *carry, "field", "dl", F.posexplode_outer("parts").alias("ord", "token")).where(
+        "token is not null"
+    )
+
+
 def tokens(posts: DataFrame, *carry: str) -> DataFrame:
-    """doc_id, field, ord, token (as written): no shuffle, one pass over the text."""
-    return _fields(posts, *carry).select("doc_id", *carry, "field", F.posexplode(cut(F.col("text"))).alias("ord", "token"))
+    """doc_id, field, dl, ord, token (as written): no shuffle, one pass over the text."""
+    return _cut_rows(_fields(posts, *carry), *carry)
 
 
 def token_offsets(posts: DataFrame, *carry: str) -> DataFrame:
@@ -29,10 +38,8 @@ def token_offsets(posts: DataFrame, *carry: str) -> DataFrame:
     """
     width = F.octet_length("token")
     before = Window.partitionBy("doc_id", "field").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    spread = _fields(posts, *carry).repartition("doc_id")
-    dl = token_count(F.col("text")).cast("bigint").alias("dl")
     return (
-        spread.select("doc_id", *carry, "field", dl, F.posexplode(cut(F.col("text"))).alias("ord", "token"))
+        _cut_rows(_fields(posts, *carry).repartition("doc_id"), *carry)
         .withColumn("byte_from", F.coalesce(F.sum(width).over(before), F.lit(0).cast("bigint")))
         .withColumn("byte_to", F.col("byte_from") + width)
         .withColumn("token", F.lower("token"))

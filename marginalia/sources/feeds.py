@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marginalia.functions.cleaning import clean_html, normalise_tags, parse_published
 from marginalia.schema import FEED_ENTRY
 
-_OPTIONS = {"rowTag": "entry", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+_OPTIONS = {"rowTag": "entry", "ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
 
 
 def read_feeds(spark: SparkSession, path: str) -> DataFrame:

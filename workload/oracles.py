@@ -287,7 +287,7 @@ ORACLES = {
     "browse_newest": f"WITH {POSTS} SELECT doc_id, date_s FROM posts ORDER BY date_s DESC, doc_id LIMIT 8",
     "hit_count": _matched("SELECT count(*) AS hits FROM matched", q=_WORDS),
     "fragments": f"""WITH RECURSIVE {TOKENS}{FRAGMENTS} SELECT doc_id, field, fragment, min(byte_from) AS byte_from,
-        max(byte_to) AS byte_to, string_agg(part, '' ORDER BY ord) AS text FROM placed GROUP BY ALL""",
+        max(byte_to) AS byte_to FROM placed GROUP BY ALL""",
     "best_fragment": f"""WITH RECURSIVE {INDEX}{SNIPPETS}
         SELECT doc_id, field, byte_from, byte_to, round(score, 6) AS score FROM best""",
     "snippet_html": f"WITH RECURSIVE {INDEX}{SNIPPETS} SELECT doc_id, title, snippet FROM shown",
