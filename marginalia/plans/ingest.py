@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.operators.joins import stage
+from marginalia.sources.feeds import entries_to_posts, loadable, quarantined
 from marginalia.sources.store import Store
 
 _ORDER = ["url", "date", "title", "content", "category", "tags"]
@@ -52,14 +53,21 @@ def number(new: DataFrame, after: int) -> DataFrame:
 def append_new(store: Store, batch: DataFrame, dedupe_batch: bool = False) -> int:
     """Add the batch's new posts and their index entries as one load; returns its number."""
     staged = stage(one_per_url(batch) if dedupe_batch else batch, "batch")
-    new = only_new(staged, store.posts())
-    return store.add(number(new, store.last_doc_id()))
+    return store.add(number(only_new(staged, store.posts()), store.last_doc_id()))
 
 
 def rebuild(store: Store, batch: DataFrame, dedupe_batch: bool = False) -> int:
     """Load everything anew; what was stored before stays readable until the new load is committed."""
-    numbered = number(one_per_url(batch) if dedupe_batch else batch, -1)
-    return store.add(numbered, replace=True)
+    return store.add(number(one_per_url(batch) if dedupe_batch else batch, -1), replace=True)
+
+
+def load_feed(store: Store, entries: DataFrame, dedupe_batch: bool = False, from_scratch: bool = False) -> int:
+    """Feed entries to stored posts. Entries that cannot be loaded are kept in the quarantine."""
+    posts = stage(entries_to_posts(entries), "feed")
+    good = loadable(posts)
+    load = (rebuild if from_scratch else append_new)(store, good, dedupe_batch)
+    store.set_aside(quarantined(posts), load)
+    return load
 
 
 def load_report(store: Store) -> DataFrame:

@@ -139,6 +139,10 @@ class Store:
         self._write("loads", load, report, [])
         return load
 
+    def set_aside(self, rows: DataFrame, load: int) -> None:
+        """Keep a load's rejected rows beside the corpus."""
+        rows.write.mode("overwrite").parquet(f"{self.path}/quarantine/load={load}")
+
     def _write_index(self, stored: DataFrame, load: int, buckets: int) -> None:
         """Rebalancing by bucket lets Spark split the ones that hold a very frequent token."""
         entries = (
