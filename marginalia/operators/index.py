@@ -19,7 +19,7 @@ EXACT_FIELDS = ("tags", "category")
 class Index:
     posts: DataFrame
     postings: DataFrame  # field, bucket, token, doc_id, date, dl, tf, positions
-    doc_freq: DataFrame  # field, token, df
+    doc_freq: DataFrame  # field, token, df; a token may have several rows, which add up
     field_stats: DataFrame  # field, n_docs, total_len, avgdl
     buckets: int = 1  # token buckets the postings are stored in
 

@@ -38,10 +38,14 @@ def lookups(words: DataFrame, index: Index) -> DataFrame:
         "offset",
         F.aggregate(F.slice("parts", F.lit(1), F.col("i")), F.lit(0), lambda a, t: a + F.octet_length(t)),
     )
-    known = placed.drop("parts").join(index.doc_freq, ["field", "token"], "left").join(F.broadcast(index.field_stats), "field")
+    freq = (
+        index.doc_freq.join(placed.select("field", "token").distinct(), ["field", "token"], "left_semi")
+        .groupBy("field", "token")
+        .agg(F.sum("df").alias("df"))
+    )
+    known = placed.drop("parts").join(freq, ["field", "token"], "left").join(F.broadcast(index.field_stats), "field")
     df = F.coalesce("df", F.lit(0).cast("bigint"))
-    return known.groupBy(*LOOKUP_KEY).agg(
-        F.first("n").alias("n"),
+    return known.groupBy(*LOOKUP_KEY, "n").agg(
         F.min(df).alias("min_df"),
         F.round(F.sum(idf(F.col("n_docs"), df)), 12).alias("idf"),
         F.first("avgdl").alias("avgdl"),
@@ -53,48 +57,73 @@ def lookups(words: DataFrame, index: Index) -> DataFrame:
 def field_matches(index: Index, wanted: DataFrame) -> DataFrame:
     """kind, word, field, doc_id, date, tf and score part: one row per document and field that matches."""
     found = wanted.where("min_df > 0").withColumn("bucket", bucket(F.col("anchor"), index.buckets))
-    narrow = index.postings.select("field", "bucket", F.col("token").alias("anchor"), "doc_id", "date", "dl", "tf")
-    start = spread_join(found, narrow, ["field", "bucket", "anchor"], "doc_id")
     keep = [*LOOKUP_KEY, "doc_id", "date", "dl", "tf", "idf", "avgdl"]
-    hits = start.where("n = 1").select(*keep).unionByName(_phrases(index, found, start).select(*keep))
+    hits = _at_anchor(index, found.where("n = 1"), "tf").select(*keep).unionByName(_phrases(index, found).select(*keep))
     part = bm25(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"))
     return hits.select(*LOOKUP_KEY, "doc_id", "date", "tf", part.alias("score"))
 
 
-def _phrases(index: Index, found: DataFrame, start: DataFrame) -> DataFrame:
+def _at_anchor(index: Index, found: DataFrame, *columns: str) -> DataFrame:
+    """The postings of each word's rarest token."""
+    narrow = index.postings.select(
+        "field", "bucket", F.col("token").alias("anchor"), "doc_id", "date", "dl", *columns
+    )
+    return spread_join(found, narrow, ["field", "bucket", "anchor"], "doc_id").drop("bucket")
+
+
+def _phrases(index: Index, found: DataFrame) -> DataFrame:
     """Words of several tokens: the tokens must follow each other at exact byte offsets.
 
-    Only documents that hold the rarest token are checked. A document's positions of the
-    n tokens, each moved back by the token's offset, are intersected: what is left are
-    the places where the whole phrase starts.
+    Only documents that hold the rarest token are checked. Its positions say where the
+    phrase may start; each further token keeps the starts that it stands at the right
+    distance from, and what all of them keep are the phrase's occurrences.
     """
-    term = F.explode("terms").alias("t")
+    phrases = found.where("n > 1")
     tokens = (
-        found.where("n > 1")
-        .select("field", term)
+        phrases.select("field", "anchor", F.explode("terms").alias("t"))
+        .where("t.token <> anchor")
         .select("field", F.col("t.token").alias("token"), bucket(F.col("t.token"), index.buckets).alias("bucket"))
         .distinct()
     )
-    positions = index.postings.select("field", "bucket", "token", "doc_id", "positions").join(
+    others = index.postings.select("field", "bucket", "token", "doc_id", "positions").join(
         tokens, ["field", "bucket", "token"], "left_semi"
     )
-    checks = start.where("n > 1").drop("bucket", "tf").withColumn("t", F.explode("terms")).drop("terms")
-    placed = checks.withColumn("token", F.col("t.token")).join(
-        positions.drop("bucket"), ["field", "token", "doc_id"]
+    at_anchor = F.filter("terms", lambda t: t["token"] == F.col("anchor"))
+    places = F.transform("positions", lambda p: p - F.get(at_anchor, F.lit(0))["offset"])
+    # An anchor that occurs in the word again needs no second lookup.
+    again = F.slice(at_anchor, 2, F.size("terms"))
+    starts = F.filter(
+        places, lambda s: F.forall(again, lambda t: F.array_contains(F.col("positions"), s + t["offset"]))
     )
-    starts = F.transform("positions", lambda p: p - F.col("t.offset"))
-    lists = placed.groupBy(*LOOKUP_KEY, "doc_id").agg(
-        F.collect_list(starts).alias("lists"),
-        *[F.first(c).alias(c) for c in ("n", "date", "dl", "idf", "avgdl")],
+    checked = (
+        _at_anchor(index, phrases, "positions")
+        .withColumn("starts", starts)
+        .withColumn("terms", F.filter("terms", lambda t: t["token"] != F.col("anchor")))
+        .drop("positions", "anchor", "min_df", "n")
+    )
+    facts = ("date", "dl", "idf", "avgdl")
+    same = checked.where("size(terms) = 0").select(*LOOKUP_KEY, "doc_id", *facts, "starts")
+    shift = F.col("t.offset")
+    kept = F.transform(
+        F.array_intersect(F.transform("starts", lambda s: s + shift), F.col("positions")), lambda p: p - shift
+    )
+    met = (
+        checked.withColumn("n_terms", F.size("terms"))
+        .withColumn("t", F.explode("terms"))
+        .drop("terms")
+        .withColumn("token", F.col("t.token"))
+        .join(others.drop("bucket"), ["field", "token", "doc_id"])
+        .withColumn("kept", kept)
+        .where("size(kept) > 0")
+        .groupBy(*LOOKUP_KEY, "doc_id", "n_terms")
+        .agg(F.collect_list("kept").alias("lists"), *[F.first(c).alias(c) for c in facts])
+        .where("size(lists) = n_terms")
     )
     common = F.aggregate(
         F.slice("lists", 2, F.size("lists")), F.get("lists", F.lit(0)), lambda a, b: F.array_intersect(a, b)
     )
-    return (
-        lists.where(F.size("lists") == F.col("n"))
-        .withColumn("tf", F.size(common).cast("bigint"))
-        .where("tf > 0")
-    )
+    met = met.select(*LOOKUP_KEY, "doc_id", *facts, common.alias("starts"))
+    return met.unionByName(same).withColumn("tf", F.size("starts").cast("bigint")).where("tf > 0")
 
 
 def word_matches(index: Index, wanted: DataFrame) -> DataFrame:

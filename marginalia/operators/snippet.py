@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import cut, escape_html, excerpt
@@ -11,102 +11,48 @@ from marginalia.operators.index import TEXT_FIELDS
 # Fixed value: the most bytes a fragment may span.
 FRAGMENT_BYTES = 300
 
-_SPAN = "struct<start:int,stop:int>"
+# Over a text seen byte by byte: as many bytes as fit and end on a token border, that is
+# neither inside a character nor between two letters; a longer letter run stays whole.
+_FRAGMENT = rf"[\s\S]{{1,{FRAGMENT_BYTES}}}(?![\x80-\xbf])(?:(?<![A-Za-z])|(?![A-Za-z]))|[A-Za-z]+"
 
 
-def byte_slice(c: Column, start: Column, stop: Column) -> Column:
-    """The text between two byte offsets that lie on character borders."""
-    return F.decode(F.encode(c, "UTF-8").substr(start + 1, stop - start), "UTF-8")
+def cut_fragments(c: Column) -> Column:
+    """Consecutive fragments of at most 300 bytes that end on token borders, as an array of texts.
 
-
-def fragment_spans(c: Column) -> Column:
-    """Consecutive windows of at most 300 bytes that end on token borders, as [start, stop) spans."""
-    state = F.struct(
-        F.lit(0).alias("offset"), F.lit(0).alias("start"), F.array().cast(f"array<{_SPAN}>").alias("done")
-    )
-
-    def add(s: Column, width: Column) -> Column:
-        full = s["offset"] + width - s["start"] > FRAGMENT_BYTES
-        closed = F.array(F.struct(s["start"].alias("start"), s["offset"].alias("stop")))
-        return F.struct(
-            (s["offset"] + width).alias("offset"),
-            F.when(full, s["offset"]).otherwise(s["start"]).alias("start"),
-            F.when(full, F.concat(s["done"], closed)).otherwise(s["done"]).alias("done"),
-        )
-
-    def finish(s: Column) -> Column:
-        rest = F.array(F.struct(s["start"].alias("start"), s["offset"].alias("stop")))
-        return F.filter(F.concat(s["done"], rest), lambda f: f["stop"] > f["start"])
-
-    return F.aggregate(F.transform(cut(c), F.octet_length), state, add, finish)
+    One regex pass: the text's UTF-8 bytes are read as Latin-1, where a character is a byte.
+    """
+    as_bytes = F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
+    pieces = F.regexp_extract_all(as_bytes, F.lit(_FRAGMENT), F.lit(0))
+    return F.transform(pieces, lambda p: F.decode(F.encode(p, "ISO-8859-1"), "UTF-8"))
 
 
 def fragments(posts: DataFrame) -> DataFrame:
-    """doc_id, field, fragment and byte span of every fragment of every post."""
-    pair = [F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in TEXT_FIELDS]
+    """doc_id, field, fragment, byte span and text of every fragment of every post."""
+    pair = [F.struct(F.lit(f).alias("field"), cut_fragments(F.col(f)).alias("parts")) for f in TEXT_FIELDS]
+    before = Window.partitionBy("doc_id", "field").orderBy("fragment").rowsBetween(Window.unboundedPreceding, 0)
+    width = F.octet_length("text")
     return (
         posts.select("doc_id", F.explode(F.array(*pair)).alias("f"))
-        .select("doc_id", "f.field", fragment_spans(F.col("f.text")).alias("spans"))
-        .select("doc_id", "field", F.posexplode_outer("spans").alias("fragment", "s"))
-        .where("s is not null")
-        .select("doc_id", "field", "fragment", F.col("s.start").alias("byte_from"), F.col("s.stop").alias("byte_to"))
+        .select("doc_id", "f.field", F.posexplode_outer("f.parts").alias("fragment", "text"))
+        .where("text is not null")
+        .withColumn("byte_to", F.sum(width).over(before))
+        .withColumn("byte_from", F.col("byte_to") - width)
     )
 
 
 def best_fragment(c: Column, weights: Column) -> Column:
-    """struct<score, start, stop> of the heaviest fragment, the earliest on ties.
+    """struct<score, place, text> of the heaviest fragment; `place` is minus its number, so that
+    the earliest wins a tie. `weights` maps a lower-cased token to its weight."""
 
-    One fold over the text's tokens: no token rows, no shuffle. `weights` maps a
-    lower-cased token to its weight.
-    """
-    weighed = F.transform(
-        cut(c),
-        lambda t: F.struct(
-            F.octet_length(t).alias("width"),
-            F.coalesce(F.try_element_at(weights, F.lower(t)), F.lit(0.0)).alias("weight"),
-        ),
-    )
-    zero = F.lit(0)
-    state = F.struct(
-        zero.alias("offset"),
-        zero.alias("start"),
-        F.lit(0.0).alias("score"),
-        F.lit(0.0).alias("best"),
-        zero.alias("best_start"),
-        zero.alias("best_stop"),
-    )
+    def weigh(fragment: Column) -> Column:
+        weight = lambda t: F.coalesce(F.try_element_at(weights, F.lower(t)), F.lit(0.0))
+        return F.aggregate(cut(fragment), F.lit(0.0), lambda total, t: total + weight(t))
 
-    def extend(s: Column, t: Column) -> Column:
-        end = s["offset"] + t["width"]
-        full = end - s["start"] > FRAGMENT_BYTES
-        return F.struct(
-            end.alias("offset"),
-            F.when(full, s["offset"]).otherwise(s["start"]).alias("start"),
-            F.round(F.when(full, t["weight"]).otherwise(s["score"] + t["weight"]), 9).alias("score"),
-            s["best"].alias("best"),
-            s["best_start"].alias("best_start"),
-            s["best_stop"].alias("best_stop"),
-        )
-
-    def keep(s: Column) -> Column:
-        better = s["score"] > s["best"]
-        same = better | ((s["best"] > 0) & (s["start"] == s["best_start"]))
-        return F.struct(
-            s["offset"].alias("offset"),
-            s["start"].alias("start"),
-            s["score"].alias("score"),
-            F.greatest(s["score"], s["best"]).alias("best"),
-            F.when(better, s["start"]).otherwise(s["best_start"]).alias("best_start"),
-            F.when(same, s["offset"]).otherwise(s["best_stop"]).alias("best_stop"),
+    return F.array_max(
+        F.transform(
+            cut_fragments(c),
+            lambda f, i: F.struct(F.round(weigh(f), 9).alias("score"), (-i).alias("place"), f.alias("text")),
         )
-
-    # The inner one-element transform names the extended state once instead of repeating it.
-    step = lambda s, t: F.get(F.transform(F.array(extend(s, t)), keep), F.lit(0))
-    return F.aggregate(
-        weighed,
-        state,
-        step,
-        lambda s: F.struct(s["best"].alias("score"), s["best_start"].alias("start"), s["best_stop"].alias("stop")),
     )
 
 
@@ -133,6 +79,6 @@ def snippets(df: DataFrame, fields: dict[str, str]) -> DataFrame:
         df = df.withColumn(f"_{field}", F.when(F.size(w) > 0, best_fragment(F.col(field), w)))
     for field, weights in fields.items():
         best = F.col(f"_{field}")
-        shown = highlight(byte_slice(F.col(field), best["start"], best["stop"]), F.col(weights))
+        shown = highlight(best["text"], F.col(weights))
         df = df.withColumn(field, F.when(best["score"] > 0, shown).otherwise(excerpt(F.col(field))))
     return df.drop(*[f"_{f}" for f in fields])

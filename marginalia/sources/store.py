@@ -103,16 +103,15 @@ class Store:
         return self.table("posts")
 
     def index(self) -> ix.Index:
-        """The committed index. Counts are partial per load and are added up here."""
+        """The committed index. Document frequencies are partial, one row per load."""
         _, _, buckets, committed = self._state()
         of_loads = F.col("load").isin(committed)
-        freq = self._read("doc_freq").where(of_loads).groupBy("field", "token").agg(F.sum("df").alias("df"))
         sums = self._read("field_sums").where(of_loads)
         totals = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_docs", *ix.TEXT_FIELDS, *ix.EXACT_FIELDS)])
         return ix.Index(
             self._read("posts").where(of_loads),
             self._read("postings").where(of_loads),
-            freq,
+            self._read("doc_freq").where(of_loads),
             ix.per_field(totals),
             buckets or 1,
         )

@@ -125,7 +125,8 @@ def test_index_of_several_loads_equals_index_of_one(spark, tmp_path):
     load(whole, spark, tmp_path / "all")
     cols = ["field", "token", "doc_id", "dl", "tf", "positions"]
     same(parts.index().postings.select(cols), whole.index().postings.select(cols))
-    same(parts.index().doc_freq.select("field", "token", "df"), whole.index().doc_freq.select("field", "token", "df"))
+    total = lambda store: store.index().doc_freq.groupBy("field", "token").agg(F.sum("df"))
+    same(total(parts), total(whole))
     same(parts.index().field_stats, whole.index().field_stats)
     derived = ix.from_posts(whole.posts())
     same(derived.postings.select(cols), whole.index().postings.select(cols))
@@ -168,4 +169,5 @@ def test_stream_restart_adds_nothing(spark, tmp_path):
     run()
     run(str(tmp_path / "state-lost"))
     assert urls(store) == ["1", "2", "3", "4"]
-    assert store.index().doc_freq.where("field = 'content' AND token = 'lambda'").first().df == 4
+    lambdas = store.index().doc_freq.where("field = 'content' AND token = 'lambda'")
+    assert lambdas.agg(F.sum("df")).first()[0] == 4

@@ -24,6 +24,11 @@ def index(spark: SparkSession, sf_dir: str) -> Index:
     return _stores[key].index()
 
 
+def use(spark: SparkSession, sf_dir: str, store: Store) -> None:
+    """Let the queries over a data folder use a store that is already built."""
+    _stores[(spark.sparkContext.applicationId, sf_dir)] = store
+
+
 def feed_files(spark: SparkSession, sf_dir: str) -> str:
     """A folder of Atom files with one entry per post of the `posts` view, written by Spark."""
     key = (spark.sparkContext.applicationId, sf_dir)

@@ -147,7 +147,7 @@ SNIPPETS = (
     + r""",
 weight AS (SELECT field, token, 1.0 / (1 + df) AS w FROM doc_freq WHERE token IN ('that', 'the') AND field IN ('title', 'content')),
 scored_frag AS (
-  SELECT doc_id, field, fragment, min(byte_from) AS byte_from, max(byte_to) AS byte_to, round(sum(w), 9) AS score
+  SELECT doc_id, field, fragment, round(sum(w), 9) AS score
   FROM placed LEFT JOIN weight USING (field, token) GROUP BY ALL HAVING sum(w) > 0),
 best AS MATERIALIZED (
   SELECT * FROM scored_frag QUALIFY row_number() OVER (PARTITION BY doc_id, field ORDER BY score DESC, fragment) = 1),
@@ -287,9 +287,10 @@ ORACLES = {
     "browse_newest": f"WITH {POSTS} SELECT doc_id, date_s FROM posts ORDER BY date_s DESC, doc_id LIMIT 8",
     "hit_count": _matched("SELECT count(*) AS hits FROM matched", q=_WORDS),
     "fragments": f"""WITH RECURSIVE {TOKENS}{FRAGMENTS} SELECT doc_id, field, fragment, min(byte_from) AS byte_from,
-        max(byte_to) AS byte_to FROM placed GROUP BY ALL""",
+        max(byte_to) AS byte_to, string_agg(part, '' ORDER BY ord) AS text FROM placed GROUP BY ALL""",
     "best_fragment": f"""WITH RECURSIVE {INDEX}{SNIPPETS}
-        SELECT doc_id, field, byte_from, byte_to, round(score, 6) AS score FROM best""",
+        SELECT doc_id, field, fragment, string_agg(part, '' ORDER BY ord) AS text, round(any_value(score), 6) AS score
+        FROM placed JOIN best USING (doc_id, field, fragment) GROUP BY ALL""",
     "snippet_html": f"WITH RECURSIVE {INDEX}{SNIPPETS} SELECT doc_id, title, snippet FROM shown",
     "excerpt": "SELECT doc_id, substr(text, 1, 140) AS excerpt FROM documents",
     "date_text": f"""WITH {POSTS} SELECT doc_id,

@@ -281,8 +281,8 @@ def best_fragment(spark: SparkSession, sf: str) -> DataFrame:
         .select(
             "doc_id",
             "f.field",
-            F.col("f.b.start").alias("byte_from"),
-            F.col("f.b.stop").alias("byte_to"),
+            (-F.col("f.b.place")).alias("fragment"),
+            F.col("f.b.text").alias("text"),
             F.round("f.b.score", 6).alias("score"),
         )
     )
