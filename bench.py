@@ -11,6 +11,7 @@ import time
 from pyspark.sql import functions as F
 
 from marginalia import corpus
+from marginalia.operators.joins import Stage
 from marginalia.plans import pages, search
 from marginalia.session import local_session, shared_dir
 from marginalia.sources.store import Store
@@ -48,8 +49,8 @@ def main() -> None:
     timed("browse_newest", lambda: sink(QUERIES["browse_newest"](spark, sf_dir)))
     timed("tag_filter", lambda: sink(QUERIES["tag_filter"](spark, sf_dir)))
     timed("search_with_snippets", lambda: sink(QUERIES["search_hits"](spark, sf_dir)))
-    timed("batch_search_fifth", lambda: sink(search.search(small, index).responses))
-    timed("batch_search", lambda: sink(search.search(batch, index).responses))
+    timed("batch_search_fifth", lambda: sink(search.search(small, index, stage=Stage(spark)).responses))
+    timed("batch_search", lambda: sink(search.search(batch, index, stage=Stage(spark)).responses))
     timed("page_cleaning", lambda: sink(pages.clean_pages(corpus.read_table(spark, sf_dir, "pages"))))
     timed("fragments", lambda: sink(QUERIES["fragments"](spark, sf_dir)))
     timed("load_new_only", lambda: sink(QUERIES["load_new_only"](spark, sf_dir)))

@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.session import salts, shared_dir
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a result to the shared folder and read it back.
+class Stage:
+    """Middle results written to the shared folder and read back.
 
     Later steps then start from files that survive a lost executor, and Spark knows
     the true size when it decides whether the table may be broadcast.
     """
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.path = shared_dir(spark, "stage")
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.path}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Delete this stage's own folder, once everything read from it is done."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread_join(small: DataFrame, big: DataFrame, keys: list[str], spread_by: str) -> DataFrame:

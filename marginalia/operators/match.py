@@ -104,8 +104,9 @@ def _phrases(index: Index, found: DataFrame) -> DataFrame:
     facts = ("date", "dl", "idf", "avgdl")
     same = checked.where("size(terms) = 0").select(*LOOKUP_KEY, "doc_id", *facts, "starts")
     shift = F.col("t.offset")
+    # The shorter list goes second: it is the one that is hashed.
     kept = F.transform(
-        F.array_intersect(F.transform("starts", lambda s: s + shift), F.col("positions")), lambda p: p - shift
+        F.array_intersect(F.col("positions"), F.transform("starts", lambda s: s + shift)), lambda p: p - shift
     )
     met = (
         checked.withColumn("n_terms", F.size("terms"))
@@ -114,7 +115,6 @@ def _phrases(index: Index, found: DataFrame) -> DataFrame:
         .withColumn("token", F.col("t.token"))
         .join(others.drop("bucket"), ["field", "token", "doc_id"])
         .withColumn("kept", kept)
-        .where("size(kept) > 0")
         .groupBy(*LOOKUP_KEY, "doc_id", "n_terms")
         .agg(F.collect_list("kept").alias("lists"), *[F.first(c).alias(c) for c in facts])
         .where("size(lists) = n_terms")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.operators.joins import stage
+from marginalia.operators.joins import Stage
 from marginalia.sources.feeds import entries_to_posts, loadable, quarantined
 from marginalia.sources.store import Store
 
@@ -28,7 +28,7 @@ def one_per_url(batch: DataFrame) -> DataFrame:
     return batch.withColumn("_n", nth).where("_n = 1").drop("_n")
 
 
-def number(new: DataFrame, after: int) -> DataFrame:
+def number(new: DataFrame, after: int, stage: Stage) -> DataFrame:
     """Give posts their doc_id, counting on from `after` in url order.
 
     The posts are staged in url ranges first. Each range is numbered by its own task and
@@ -52,22 +52,33 @@ def number(new: DataFrame, after: int) -> DataFrame:
 
 def append_new(store: Store, batch: DataFrame, dedupe_batch: bool = False) -> int:
     """Add the batch's new posts and their index entries as one load; returns its number."""
-    staged = stage(one_per_url(batch) if dedupe_batch else batch, "batch")
-    return store.add(number(only_new(staged, store.posts()), store.last_doc_id()))
+    stage = Stage(store.spark)
+    try:
+        staged = stage(one_per_url(batch) if dedupe_batch else batch, "batch")
+        return store.add(number(only_new(staged, store.posts()), store.last_doc_id(), stage))
+    finally:
+        stage.clear()
 
 
 def rebuild(store: Store, batch: DataFrame, dedupe_batch: bool = False) -> int:
     """Load everything anew; what was stored before stays readable until the new load is committed."""
-    return store.add(number(one_per_url(batch) if dedupe_batch else batch, -1), replace=True)
+    stage = Stage(store.spark)
+    try:
+        return store.add(number(one_per_url(batch) if dedupe_batch else batch, -1, stage), replace=True)
+    finally:
+        stage.clear()
 
 
 def load_feed(store: Store, entries: DataFrame, dedupe_batch: bool = False, from_scratch: bool = False) -> int:
     """Feed entries to stored posts. Entries that cannot be loaded are kept in the quarantine."""
-    posts = stage(entries_to_posts(entries), "feed")
-    good = loadable(posts)
-    load = (rebuild if from_scratch else append_new)(store, good, dedupe_batch)
-    store.set_aside(quarantined(posts), load)
-    return load
+    stage = Stage(store.spark)
+    try:
+        posts = stage(entries_to_posts(entries), "feed")
+        load = (rebuild if from_scratch else append_new)(store, loadable(posts), dedupe_batch)
+        store.set_aside(quarantined(posts), load)
+        return load
+    finally:
+        stage.clear()
 
 
 def load_report(store: Store) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.text import date_text
 from marginalia.operators.index import Index
-from marginalia.operators.joins import slot, spread_join, stage, top_in_slots
+from marginalia.operators.joins import Stage, slot, spread_join, top_in_slots
 from marginalia.operators.match import lookups, word_matches
 from marginalia.operators.respond import HIT_COLUMNS, error_json, response_json
 from marginalia.operators.snippet import snippets
@@ -17,6 +17,7 @@ from marginalia.sources.requests import parse
 from marginalia.sources.store import SLICE_DOCS
 
 DAY = 86400
+BROADCAST_IDS = 2_000_000  # two longs each: some tens of megabytes at most
 
 
 @dataclass(frozen=True)
@@ -39,21 +40,23 @@ def clauses(parsed: DataFrame) -> DataFrame:
     exact = F.transform(
         "filters", lambda f: F.struct(F.lit("filter").alias("role"), f["field"].alias("kind"), f["value"].alias("word"))
     )
-    facts = F.struct(
-        F.size("must").alias("must"),
-        F.size("excluded").alias("excluded"),
-        F.size("filters").alias("filters"),
-        "lo",
-        "hi",
-        "ranged",
-        "page",
-        "size",
-    )
     every = F.concat(role("must", F.col("must")), role("excluded", F.col("excluded")), exact)
     return (
         parsed.where("error is null")
-        .select("request_id", facts.alias("req"), F.explode(every).alias("c"))
-        .select("request_id", "req", "c.role", "c.kind", "c.word")
+        .select(
+            "request_id",
+            F.size("must").alias("w_must"),
+            F.size("excluded").alias("w_excluded"),
+            F.size("filters").alias("w_filter"),
+            "lo",
+            "hi",
+            "ranged",
+            "page",
+            "size",
+            F.explode(every).alias("c"),
+        )
+        .select("*", "c.role", "c.kind", "c.word")
+        .drop("c")
     )
 
 
@@ -81,11 +84,12 @@ def matches(index: Index, wanted: DataFrame, parts: DataFrame, exclude: str = "a
     if exclude not in ("all", "any"):
         raise ValueError("exclude is 'all' or 'any'")
     found = spread_join(parts, word_matches(index, wanted), ["kind", "word"], "doc_id")
-    in_range = found.where(_within(F.col("date"), F.col("req.lo"), F.col("req.hi")))
     part = F.when(F.col("role") == "excluded", 0.0).otherwise(F.col("score"))
     n = lambda role: F.count_if(F.col("role") == role).alias(f"n_{role}")
+    request = ("w_must", "w_excluded", "w_filter", "ranged", "page", "size")
     per_doc = (
-        in_range.withColumn("slot", slot(F.col("doc_id"), found))
+        found.where(_within(F.col("date"), F.col("lo"), F.col("hi")))
+        .withColumn("slot", slot(F.col("doc_id"), found))
         .repartition("request_id", "slot")
         .groupBy("request_id", "slot", "doc_id")
         .agg(
@@ -94,15 +98,15 @@ def matches(index: Index, wanted: DataFrame, parts: DataFrame, exclude: str = "a
             n("filter"),
             F.sum(part).alias("score"),
             F.first("date").alias("date"),
-            F.first("req").alias("req"),
+            *[F.first(c).alias(c) for c in request],
         )
     )
-    limit = F.when(F.col("req.excluded") > 0, F.col("req.excluded") if exclude == "all" else F.lit(1))
-    by_score = F.col("req.must") > 0
-    score = F.round(F.col("score") + F.when(F.col("req.ranged"), 1.0).otherwise(0.0), 4)
+    limit = F.when(F.col("w_excluded") > 0, F.col("w_excluded") if exclude == "all" else F.lit(1))
+    by_score = F.col("w_must") > 0
+    score = F.round(F.col("score") + F.when(F.col("ranged"), 1.0).otherwise(0.0), 4)
     return per_doc.where(
-        (F.col("n_must") == F.col("req.must"))
-        & (F.col("n_filter") == F.col("req.filters"))
+        (F.col("n_must") == F.col("w_must"))
+        & (F.col("n_filter") == F.col("w_filter"))
         & F.coalesce(F.col("n_excluded") < limit, F.lit(True))
     ).select(
         "request_id",
@@ -110,14 +114,11 @@ def matches(index: Index, wanted: DataFrame, parts: DataFrame, exclude: str = "a
         "doc_id",
         F.when(by_score, score).otherwise(F.unix_timestamp("date").cast("double")).alias("key"),
         F.when(by_score, score).alias("score"),
-        "req.page",
-        "req.size",
+        "page",
+        "size",
     )
 
 
-_PAGE = ["request_id", "rank", "doc_id", "score", "total"]
-
-
 def _cut_pages(ranked: DataFrame) -> DataFrame:
     """The page's rows; a request whose page is past the end keeps one row without a document."""
     first = (F.col("page") - 1) * F.col("size")
@@ -222,19 +223,22 @@ def weights(parts: DataFrame, wanted: DataFrame) -> DataFrame:
     return tokens.groupBy("request_id").agg(*per_field)
 
 
-def fetch(pages: DataFrame, posts: DataFrame) -> DataFrame:
-    """The pages' documents. Stored posts are read by slice, so only slices on a page are scanned."""
-    rows = pages.where("doc_id is not null")
-    keys = ["doc_id"]
-    if "slice" in posts.columns:
-        rows = rows.withColumn("slice", F.floor(F.col("doc_id") / SLICE_DOCS))
-        keys = ["slice", "doc_id"]
-    return posts.join(rows.drop("total"), keys)
+def fetch(pages: DataFrame, posts: DataFrame, ids_fit: bool = False) -> DataFrame:
+    """The pages' documents. Posts are first cut down to those on some page, by their ids alone.
+
+    `ids_fit` says that the pages' rows were counted and their ids are few enough to broadcast;
+    stored posts are then scanned only in the slices that hold one of them.
+    """
+    keys = ["slice", "doc_id"] if "slice" in posts.columns else ["doc_id"]
+    rows = pages.where("doc_id is not null").drop("total")
+    ids = rows.withColumn("slice", F.floor(F.col("doc_id") / SLICE_DOCS)).select(*keys).distinct()
+    shown = posts.join(F.broadcast(ids) if ids_fit else ids, keys, "left_semi")
+    return shown.join(rows, "doc_id")
 
 
-def hits(pages: DataFrame, posts: DataFrame, highlights: DataFrame) -> DataFrame:
+def hits(pages: DataFrame, posts: DataFrame, highlights: DataFrame, ids_fit: bool = False) -> DataFrame:
     """What each hit shows, with title and snippet highlighted."""
-    shown = fetch(pages, posts).join(highlights, "request_id", "left")
+    shown = fetch(pages, posts, ids_fit).join(highlights, "request_id", "left")
     return snippets(shown, {"title": "title_weights", "content": "content_weights"}).select(
         "request_id",
         "rank",
@@ -249,18 +253,22 @@ def hits(pages: DataFrame, posts: DataFrame, highlights: DataFrame) -> DataFrame
     )
 
 
-def search(requests: DataFrame, index: Index, exclude: str = "all", staged: bool = True) -> Answers:
-    """Answer every request. With `staged` the small middle results (what to look up, the pages'
-    ids) are written to the shared folder, so that Spark knows their size: small ones are broadcast
-    and prune the postings' buckets and the posts' slices."""
-    keep = (lambda df, name: stage(df, name)) if staged else (lambda df, name: df)
+def search(requests: DataFrame, index: Index, exclude: str = "all", stage: Stage | None = None) -> Answers:
+    """Answer every request.
+
+    With a `stage` the small middle results (what to look up, the pages' ids) are written
+    to the shared folder first, so that Spark knows their size: small ones are broadcast
+    and prune the postings' buckets and the posts' slices. Clear it after using the answers.
+    """
+    keep = stage or (lambda df, name: df)
     parsed = keep(parse(requests), "requests")
     parts = clauses(parsed)
     wanted = keep(lookups(parts, index), "lookups")
     pages = keep(
         word_pages(matches(index, wanted, parts, exclude)).unionByName(browse_pages(parsed, index.posts)), "pages"
     )
-    found = hits(pages, index.posts, weights(parts, wanted))
+    ids_fit = stage is not None and pages.count() <= BROADCAST_IDS
+    found = hits(pages, index.posts, weights(parts, wanted), ids_fit)
     totals = (
         parsed.where("error is null")
         .select("request_id")

@@ -126,7 +126,8 @@ class Store:
         if replace:
             max_id, known = -1, None
         buckets = known or buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        stored = self._write("posts", load, posts.withColumn("slice", F.floor(F.col("doc_id") / SLICE_DOCS)), ["slice"])
+        sliced = posts.withColumn("slice", F.floor(F.col("doc_id") / SLICE_DOCS)).hint("rebalance", "slice")
+        stored = self._write("posts", load, sliced, ["slice"])
         self._write_index(stored, load, buckets)
         report = stored.agg(
             F.current_timestamp().alias("at"),

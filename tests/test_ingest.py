@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.operators import index as ix
+from marginalia.operators.joins import Stage
 from marginalia.plans import ingest
 from marginalia.sources import feeds
 from marginalia.sources.store import Store
@@ -138,7 +139,7 @@ def test_unfinished_load_is_invisible_and_overwritten(spark, tmp_path):
     write(tmp_path / "f1", "a.xml", entry("1"))
     write(tmp_path / "f2", "a.xml", entry("2"))
     load(store, spark, tmp_path / "f1")
-    posts = ingest.number(feeds.loadable(posts_of(spark, tmp_path / "f2")), 0)
+    posts = ingest.number(feeds.loadable(posts_of(spark, tmp_path / "f2")), 0, Stage(spark))
     store._write("posts", 2, posts.withColumn("slice", F.lit(0).cast("bigint")), ["slice"])
     assert urls(store) == ["1"]
     load(store, spark, tmp_path / "f2")
@@ -148,7 +149,7 @@ def test_unfinished_load_is_invisible_and_overwritten(spark, tmp_path):
 def test_numbering_follows_url_order(spark, tmp_path):
     rows = [(f"t{i}", "c", f"u{i:03d}", 0, "k", ["x"]) for i in range(200)]
     df = spark.createDataFrame(rows, "title string, content string, url string, s long, category string, tags array<string>")
-    got = ingest.number(df.withColumn("date", F.timestamp_seconds("s")), 9).orderBy("doc_id").collect()
+    got = ingest.number(df.withColumn("date", F.timestamp_seconds("s")), 9, Stage(spark)).orderBy("doc_id").collect()
     assert [(r.doc_id, r.url) for r in got] == [(10 + i, f"u{i:03d}") for i in range(200)]
 
 

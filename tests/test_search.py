@@ -10,7 +10,8 @@ from test_tokens import cut_by_hand
 
 from marginalia.operators import index as ix
 from marginalia.operators import match
-from marginalia.plans.search import search
+from marginalia.operators.joins import Stage
+from marginalia.plans.search import search as run_search
 from marginalia.schema import POSTS, REQUESTS
 from marginalia.sources import requests as rq
 from marginalia.sources.store import Store
@@ -188,6 +189,10 @@ def table(spark, requests):
     return spark.createDataFrame([(str(i), *r) for i, r in enumerate(requests)], REQUESTS)
 
 
+def search(requests, index, exclude="all", staged=True):
+    return run_search(requests, index, exclude, Stage(requests.sparkSession) if staged else None)
+
+
 def answers(result):
     return {r.request_id: json.loads(r.response) for r in result.responses.collect()}
 

@@ -9,6 +9,7 @@ from marginalia import corpus
 from marginalia.functions import cleaning, text
 from marginalia.operators import index as ix
 from marginalia.operators import match, rank, snippet, tokens
+from marginalia.operators.joins import Stage
 from marginalia.plans import ingest, pages, search
 from marginalia.sources import feeds
 from marginalia.sources import requests as rq
@@ -304,25 +305,29 @@ def date_text(spark: SparkSession, sf: str) -> DataFrame:
 # --- whole searches
 
 
+def _answers(spark: SparkSession, sf: str, requests: DataFrame) -> search.Answers:
+    return search.search(requests, inputs.index(spark, sf), stage=Stage(spark))
+
+
 def search_hits(spark: SparkSession, sf: str) -> DataFrame:
-    answers = search.search(inputs.one_request(spark, q=WORDS), inputs.index(spark, sf))
+    answers = _answers(spark, sf, inputs.one_request(spark, q=WORDS))
     return answers.hits.select(
         "rank", "doc_id", "score", "url", "date", "title", "snippet", "category", joined("tags").alias("tags")
     )
 
 
 def batch_search(spark: SparkSession, sf: str) -> DataFrame:
-    return search.search(inputs.requests(spark, sf), inputs.index(spark, sf)).pages.where("doc_id is not null").select(
+    return _answers(spark, sf, inputs.requests(spark, sf)).pages.where("doc_id is not null").select(
         "request_id", "rank", "doc_id", "score"
     )
 
 
 def batch_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return search.search(inputs.requests(spark, sf), inputs.index(spark, sf)).totals
+    return _answers(spark, sf, inputs.requests(spark, sf)).totals
 
 
 def response_json(spark: SparkSession, sf: str) -> DataFrame:
-    return search.search(inputs.requests(spark, sf), inputs.index(spark, sf)).responses
+    return _answers(spark, sf, inputs.requests(spark, sf)).responses
 
 
 def request_lines(spark: SparkSession, sf: str) -> DataFrame:
