@@ -21,6 +21,7 @@ class Index:
     postings: DataFrame  # field, bucket, token, doc_id, date, dl, tf, positions
     doc_freq: DataFrame  # field, token, df; a token may have several rows, which add up
     field_stats: DataFrame  # field, n_docs, total_len, avgdl
+    days: DataFrame  # day since the epoch, posts of that day; several rows per day add up
     buckets: int = 1  # token buckets the postings are stored in
 
 
@@ -94,6 +95,11 @@ def per_field(sums: DataFrame) -> DataFrame:
     )
 
 
+def day_counts(posts: DataFrame) -> DataFrame:
+    """Posts per UTC day."""
+    return posts.groupBy(F.floor(F.unix_timestamp("date") / 86400).alias("day")).agg(F.count("*").alias("n"))
+
+
 def field_lengths(posts: DataFrame) -> DataFrame:
     """Tokens per document and text field."""
     rows = [
@@ -105,4 +111,4 @@ def field_lengths(posts: DataFrame) -> DataFrame:
 def from_posts(posts: DataFrame, vocabulary: DataFrame | None = None) -> Index:
     """An index derived on the fly; `vocabulary` limits it to the tokens that will be looked up."""
     entries = postings(posts, vocabulary).withColumn("bucket", F.lit(0))
-    return Index(posts, entries, doc_freq(entries), field_stats(posts))
+    return Index(posts, entries, doc_freq(entries), field_stats(posts), day_counts(posts))

@@ -81,6 +81,11 @@ def load_feed(store: Store, entries: DataFrame, dedupe_batch: bool = False, from
         stage.clear()
 
 
+def compact(store: Store) -> int:
+    """Fold all loads into one, for a store that many small loads went into."""
+    return store.add(store.posts(), replace=True)
+
+
 def load_report(store: Store) -> DataFrame:
     """Time (UTC) and number of newly added posts of each load."""
     return store.loads().select("load", "at", "added")

@@ -17,6 +17,7 @@ from marginalia.sources.requests import parse
 from marginalia.sources.store import SLICE_DOCS
 
 DAY = 86400
+DEEP = 1000  # pages that end further down than this are found through counts per cell
 BROADCAST_IDS = 2_000_000  # two longs each: some tens of megabytes at most
 
 
@@ -60,6 +61,10 @@ def clauses(parsed: DataFrame) -> DataFrame:
     )
 
 
+def day_of(at: Column) -> Column:
+    return F.floor(at / DAY)
+
+
 def _within(date: Column, lo: Column, hi: Column) -> Column:
     """Inclusive on both ends; a null bound is open."""
     at = F.unix_timestamp(date)
@@ -75,7 +80,7 @@ def in_range(date: str, lo: int, hi: int) -> Column:
 
 
 def matches(index: Index, wanted: DataFrame, parts: DataFrame, exclude: str = "all") -> DataFrame:
-    """request_id, slot, doc_id, key, score, page, size: all documents that satisfy a request.
+    """request_id, slot, doc_id, key, cell, score, page, size: all documents that satisfy a request.
 
     Documents satisfy every required word and filter, lie in the date range and, with
     exclude="all", do not hold all excluded words ("any": do not hold any of them).
@@ -113,92 +118,108 @@ def matches(index: Index, wanted: DataFrame, parts: DataFrame, exclude: str = "a
         "slot",
         "doc_id",
         F.when(by_score, score).otherwise(F.unix_timestamp("date").cast("double")).alias("key"),
+        F.when(by_score, F.floor(score * 100)).otherwise(day_of(F.unix_timestamp("date"))).alias("cell"),
         F.when(by_score, score).alias("score"),
         "page",
         "size",
     )
 
 
-def _cut_pages(ranked: DataFrame) -> DataFrame:
-    """The page's rows; a request whose page is past the end keeps one row without a document."""
-    first = (F.col("page") - 1) * F.col("size")
-    on_page = (F.col("rank") > first) & (F.col("rank") <= first + F.col("size"))
+def _skip() -> Column:
+    return (F.col("page") - 1) * F.col("size")
+
+
+def shallow_pages(found: DataFrame) -> DataFrame:
+    """Pages near the start: each slot hands on its best rows down to the page's end.
+
+    A request whose page is past the end keeps one row without a document, for its total.
+    """
+    order = [F.desc("key"), F.col("doc_id")]
+    ranked = top_in_slots(found, order, F.col("page") * F.col("size"))
+    on_page = (F.col("rank") > _skip()) & (F.col("rank") <= _skip() + F.col("size"))
     shown = [F.when(on_page, F.col(c)).alias(c) for c in ("rank", "doc_id", "score")]
     return ranked.where(on_page | (F.col("rank") == 1)).select("request_id", *shown, "total")
 
 
-def word_pages(found: DataFrame) -> DataFrame:
+def cell_pages(cells: DataFrame, rows: DataFrame, keys: list[str], order: list[Column], keep: Column | None = None) -> DataFrame:
+    """Pages at any depth: only the rows that share a cell with the page are ranked.
+
+    `cells` counts each request's matches (`n`) per cell of the sort key, higher cells
+    first; the running counts tell which cells the page lies in and how many rows stand
+    before them. `rows` are joined to those by `keys` and may be filtered by `keep`.
+    """
+    higher = Window.partitionBy("request_id").orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
+    counted = cells.withColumn("before", F.coalesce(F.sum("n").over(higher), F.lit(0)))
+    reached = (F.col("before") < _skip() + F.col("size")) & (F.col("before") + F.col("n") > _skip())
+    on_page = (
+        counted.where(reached)
+        .withColumn("before", F.min("before").over(Window.partitionBy("request_id")))
+        .drop("n", "n_part", "part")
+    )
+    near = spread_join(on_page, rows, keys, "doc_id").where(F.lit(True) if keep is None else keep)
+    spread = near.withColumn("slot", slot(F.col("doc_id"), rows)).repartition("request_id", "slot")
+    ranked = top_in_slots(spread, order, _skip() + F.col("size") - F.col("before")).withColumn(
+        "rank", F.col("rank") + F.col("before")
+    )
+    shown = ranked.where((F.col("rank") > _skip()) & (F.col("rank") <= _skip() + F.col("size")))
+    score = F.col("score") if "score" in rows.columns else F.lit(None).cast("double")
+    totals = counted.groupBy("request_id").agg(F.sum("n").cast("bigint").alias("total"))
+    blank = {"rank": "bigint", "doc_id": "bigint", "score": "double"}
+    return shown.select("request_id", "rank", "doc_id", score.alias("score"), F.lit(None).cast("bigint").alias("total")).unionByName(
+        totals.select("request_id", *[F.lit(None).cast(t).alias(c) for c, t in blank.items()], "total")
+    )
+
+
+def deep_pages(found: DataFrame) -> DataFrame:
+    """Pages far from the start. The matches are used twice; Spark reuses their exchange."""
+    cells = found.groupBy("request_id", "page", "size", "cell").agg(F.count("*").alias("n"))
+    rows = found.drop("page", "size", "slot")
+    return cell_pages(cells, rows, ["request_id", "cell"], [F.desc("key"), F.col("doc_id")])
+
+
+def word_pages(found: DataFrame, any_deep: bool = False) -> DataFrame:
     """Pages of the requests that have words or filters."""
-    order = [F.desc("key"), F.col("doc_id")]
-    return _cut_pages(top_in_slots(found, order, F.col("page") * F.col("size")))
+    if not any_deep:
+        return shallow_pages(found)
+    deep = F.col("page") * F.col("size") > DEEP
+    return shallow_pages(found.where(~deep)).unionByName(deep_pages(found.where(deep)))
 
 
-def browse_pages(parsed: DataFrame, posts: DataFrame) -> DataFrame:
+def browse_pages(parsed: DataFrame, index: Index) -> DataFrame:
     """Pages of the requests that name a date range only, newest first.
 
-    Posts are counted per day once. A request's days and their counts give its total and
-    tell which days its page lies in; only those days' posts are ranked. Days that a
-    range cuts through are counted from their posts.
+    The cells are days. Posts per day are counted at load time; a range's days and their
+    counts give its total and the days of its page, and only those days' posts are
+    ranked. Days that a range cuts through are counted from their posts.
     """
-    day_of = lambda at: F.floor(at / DAY)
-    dated = posts.select("doc_id", "date", day_of(F.unix_timestamp("date")).alias("day"))
-    days = dated.groupBy("day").agg(F.count("*").alias("n"))
+    dated = index.posts.select("doc_id", "date", day_of(F.unix_timestamp("date")).alias("cell"))
+    days = index.days.groupBy(F.col("day").alias("cell")).agg(F.sum("n").alias("n"))
     wanted = parsed.where("error is null").where((F.size("must") == 0) & (F.size("filters") == 0))
-    first = F.greatest(day_of(F.col("lo")), days.select(F.min("day")).scalar())
-    last = F.least(day_of(F.col("hi")), days.select(F.max("day")).scalar())
+    first = F.greatest(day_of(F.col("lo")), days.select(F.min("cell")).scalar())
+    last = F.least(day_of(F.col("hi")), days.select(F.max("cell")).scalar())
     spans = wanted.select("request_id", "page", "size", "lo", "hi", first.alias("first"), last.alias("last"))
+    start = F.col("cell") * DAY
     cells = (
         spans.where("first <= last")
-        .select("request_id", "page", "size", "lo", "hi", F.explode(F.sequence("first", "last")).alias("day"))
-        .join(days, "day")
+        .select("request_id", "page", "size", "lo", "hi", F.explode(F.sequence("first", "last")).alias("cell"))
+        .join(days, "cell")
         .withColumn(
-            "part",
-            F.coalesce(F.col("lo") > F.col("day") * DAY, F.lit(False))
-            | F.coalesce(F.col("hi") < F.col("day") * DAY + DAY - 1, F.lit(False)),
+            "part", F.coalesce(F.col("lo") > start, F.lit(False)) | F.coalesce(F.col("hi") < start + DAY - 1, F.lit(False))
         )
     )
+    inside = _within(F.col("date"), F.col("lo"), F.col("hi"))
     edges = (
-        spread_join(cells.where("part").select("request_id", "day", "lo", "hi"), dated, ["day"], "doc_id")
-        .where(_within(F.col("date"), F.col("lo"), F.col("hi")))
-        .groupBy("request_id", "day")
+        spread_join(cells.where("part").select("request_id", "cell", "lo", "hi"), dated, ["cell"], "doc_id")
+        .where(inside)
+        .groupBy("request_id", "cell")
         .agg(F.count("*").alias("n_part"))
     )
-    newer = Window.partitionBy("request_id").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
     counted = (
-        cells.join(edges, ["request_id", "day"], "left")
+        cells.join(edges, ["request_id", "cell"], "left")
         .withColumn("n", F.when(F.col("part"), F.coalesce("n_part", F.lit(0))).otherwise(F.col("n")))
         .where("n > 0")
-        .withColumn("before", F.coalesce(F.sum("n").over(newer), F.lit(0)))
-        .withColumn("total", F.sum("n").over(Window.partitionBy("request_id")))
-    )
-    skip = (F.col("page") - 1) * F.col("size")
-    reached = (F.col("before") < skip + F.col("size")) & (F.col("before") + F.col("n") > skip)
-    on_days = spread_join(
-        counted.where(reached)
-        .withColumn("before", F.min("before").over(Window.partitionBy("request_id")))
-        .select("request_id", "page", "size", "lo", "hi", "day", "before"),
-        dated,
-        ["day"],
-        "doc_id",
-    ).where(_within(F.col("date"), F.col("lo"), F.col("hi")))
-    spread = on_days.withColumn("slot", slot(F.col("doc_id"), posts)).repartition("request_id", "slot")
-    ranked = top_in_slots(
-        spread, [F.desc("date"), F.col("doc_id")], F.col("page") * F.col("size") - F.col("before")
-    ).withColumn("rank", F.col("rank") + F.col("before"))
-    shown = ranked.where((F.col("rank") > skip) & (F.col("rank") <= skip + F.col("size")))
-    none = F.lit(None)
-    totals = counted.groupBy("request_id").agg(F.max("total").alias("total"))
-    return shown.select(
-        "request_id", "rank", "doc_id", none.cast("double").alias("score"), none.cast("bigint").alias("total")
-    ).unionByName(
-        totals.select(
-            "request_id",
-            none.cast("bigint").alias("rank"),
-            none.cast("bigint").alias("doc_id"),
-            none.cast("double").alias("score"),
-            F.col("total").cast("bigint").alias("total"),
-        )
     )
+    return cell_pages(counted, dated, ["cell"], [F.desc("date"), F.col("doc_id")], inside)
 
 
 def weights(parts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -264,16 +285,17 @@ def search(requests: DataFrame, index: Index, exclude: str = "all", stage: Stage
     parsed = keep(parse(requests), "requests")
     parts = clauses(parsed)
     wanted = keep(lookups(parts, index), "lookups")
-    pages = keep(
-        word_pages(matches(index, wanted, parts, exclude)).unionByName(browse_pages(parsed, index.posts)), "pages"
-    )
+    # Without a stage nothing is run here, so any request might be a deep one.
+    any_deep = stage is None or not parsed.where("error is null").where(F.col("page") * F.col("size") > DEEP).isEmpty()
+    found = matches(index, wanted, parts, exclude)
+    pages = keep(word_pages(found, any_deep).unionByName(browse_pages(parsed, index)), "pages")
     ids_fit = stage is not None and pages.count() <= BROADCAST_IDS
-    found = hits(pages, index.posts, weights(parts, wanted), ids_fit)
+    shown = hits(pages, index.posts, weights(parts, wanted), ids_fit)
     totals = (
         parsed.where("error is null")
         .select("request_id")
         .join(pages.groupBy("request_id").agg(F.max("total").alias("total")), "request_id", "left")
         .select("request_id", F.coalesce("total", F.lit(0).cast("bigint")).alias("total"))
     )
-    responses = response_json(found.select("request_id", "rank", *HIT_COLUMNS), totals).unionByName(error_json(parsed))
-    return Answers(parsed, pages, totals, found, responses)
+    responses = response_json(shown.select("request_id", "rank", *HIT_COLUMNS), totals).unionByName(error_json(parsed))
+    return Answers(parsed, pages, totals, shown, responses)

@@ -4,6 +4,7 @@
     postings/load=K/field=F/bucket=B/   sorted by token, then doc_id
     doc_freq/load=K/               document counts of this load's documents
     field_sums/load=K/             document count and field lengths of this load
+    days/load=K/                   posts per day of this load
     loads/load=K/                  the load report, written last: the commit
 
 A load counts only once its report exists, so a load that died half-way is invisible
@@ -56,6 +57,7 @@ _SCHEMAS = {
     "field_sums": T.StructType(
         _columns(n_docs="bigint", title="bigint", content="bigint", tags="bigint", category="bigint", load="int")
     ),
+    "days": T.StructType(_columns(day="bigint", n="bigint", load="int")),
     "loads": T.StructType(
         _columns(at="timestamp", added="bigint", max_doc_id="bigint", buckets="int", replaces="boolean", load="int")
     ),
@@ -113,6 +115,7 @@ class Store:
             self._read("postings").where(of_loads),
             self._read("doc_freq").where(of_loads),
             ix.per_field(totals),
+            self._read("days").where(of_loads),
             buckets or 1,
         )
 
@@ -154,6 +157,7 @@ class Store:
         written = self._write("postings", load, entries, ["field", "bucket"])
         self._write("doc_freq", load, ix.doc_freq(written).sortWithinPartitions("field", "token"), [])
         self._write("field_sums", load, ix.field_sums(stored), [])
+        self._write("days", load, ix.day_counts(stored), [])
 
     def _write(self, table: str, load: int, df: DataFrame, by: list[str]) -> DataFrame:
         """Replace this load's folder of a table and return the rows as stored."""

@@ -129,6 +129,13 @@ def test_index_of_several_loads_equals_index_of_one(spark, tmp_path):
     total = lambda store: store.index().doc_freq.groupBy("field", "token").agg(F.sum("df"))
     same(total(parts), total(whole))
     same(parts.index().field_stats, whole.index().field_stats)
+    days = lambda store: store.index().days.groupBy("day").agg(F.sum("n"))
+    same(days(parts), days(whole))
+    before = parts.posts().select("doc_id", "url").collect()
+    ingest.compact(parts)
+    assert sorted(before) == sorted(parts.posts().select("doc_id", "url").collect())
+    same(parts.index().postings.select(cols), whole.index().postings.select(cols))
+    assert parts.posts().select("load").distinct().count() == 1
     derived = ix.from_posts(whole.posts())
     same(derived.postings.select(cols), whole.index().postings.select(cols))
     same(derived.field_stats, whole.index().field_stats)

@@ -225,6 +225,16 @@ def test_single_requests_equal_the_batch(spark, corpus):
         assert answers(search(one, store.index()))[str(i)] == whole[str(i)]
 
 
+def test_deep_pages_give_the_same(spark, corpus, monkeypatch):
+    """With every page taken for a deep one."""
+    brute, store, _ = corpus
+    monkeypatch.setattr("marginalia.plans.search.DEEP", 0)
+    got = answers(search(table(spark, REQUEST_LIST), store.index()))
+    for i, request in enumerate(REQUEST_LIST):
+        count, ids = brute.search(*request)
+        assert (got[str(i)]["count"], [int(h["url"][1:]) for h in got[str(i)]["data"]]) == (count, ids), request
+
+
 @pytest.mark.parametrize("pieces", ["1", "64"])
 def test_split_hot_keys_give_the_same(spark, corpus, pieces):
     """More shuffle partitions turn on the splitting of hot join keys."""
