@@ -23,6 +23,7 @@ from marginalia.operators.match import bucket
 from marginalia.schema import POSTS
 
 SLICE_DOCS = 65536  # documents per slice: one slice is a file or a few at usual text sizes
+TOKENS_PER_BUCKET = 10_000_000
 
 _TYPES = {
     "int": T.IntegerType(),
@@ -128,9 +129,10 @@ class Store:
         load = last + 1
         if replace:
             max_id, known = -1, None
-        buckets = known or buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         sliced = posts.withColumn("slice", F.floor(F.col("doc_id") / SLICE_DOCS)).hint("rebalance", "slice")
         stored = self._write("posts", load, sliced, ["slice"])
+        sums = self._write("field_sums", load, ix.field_sums(stored), [])
+        buckets = known or buckets or self._choose_buckets(sums)
         self._write_index(stored, load, buckets)
         report = stored.agg(
             F.current_timestamp().alias("at"),
@@ -146,6 +148,13 @@ class Store:
         """Keep a load's rejected rows beside the corpus."""
         rows.write.mode("overwrite").parquet(f"{self.path}/quarantine/load={load}")
 
+    def _choose_buckets(self, sums: DataFrame) -> int:
+        """Enough buckets to prune by, few enough to keep their files large. The first load
+        decides; a store that starts small and grows gets new ones when it is compacted."""
+        tokens = sums.select((F.col("title") + F.col("content")).alias("n")).first().n
+        most = max(8, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        return min(most, max(8, tokens // TOKENS_PER_BUCKET))
+
     def _write_index(self, stored: DataFrame, load: int, buckets: int) -> None:
         """Rebalancing by bucket lets Spark split the ones that hold a very frequent token."""
         entries = (
@@ -156,7 +165,6 @@ class Store:
         )
         written = self._write("postings", load, entries, ["field", "bucket"])
         self._write("doc_freq", load, ix.doc_freq(written).sortWithinPartitions("field", "token"), [])
-        self._write("field_sums", load, ix.field_sums(stored), [])
         self._write("days", load, ix.day_counts(stored), [])
 
     def _write(self, table: str, load: int, df: DataFrame, by: list[str]) -> DataFrame:

@@ -12,7 +12,7 @@ import duckdb
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
-    con = duckdb.connect()
+    con = duckdb.connect(config={"max_temp_directory_size": "4GB", "memory_limit": "12GB"})
     for path in sorted(glob.glob(f"{sf_dir}/*.parquet")):
         con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
     return con

@@ -14,19 +14,23 @@ _stores: dict[tuple[str, str], Store] = {}
 _feeds: dict[tuple[str, str], str] = {}
 
 
-def index(spark: SparkSession, sf_dir: str) -> Index:
-    """The stored index over the whole `posts` view, built once per session and data folder."""
+def store(spark: SparkSession, sf_dir: str) -> Store:
+    """The whole `posts` view stored and indexed, built once per session and data folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stores:
-        store = Store(spark, shared_dir(spark, "store"))
-        store.add(corpus.posts(spark, sf_dir))
-        _stores[key] = store
-    return _stores[key].index()
+        built = Store(spark, shared_dir(spark, "store"))
+        built.add(corpus.posts(spark, sf_dir))
+        _stores[key] = built
+    return _stores[key]
+
+
+def index(spark: SparkSession, sf_dir: str) -> Index:
+    return store(spark, sf_dir).index()
 
 
-def use(spark: SparkSession, sf_dir: str, store: Store) -> None:
+def use(spark: SparkSession, sf_dir: str, built: Store) -> None:
     """Let the queries over a data folder use a store that is already built."""
-    _stores[(spark.sparkContext.applicationId, sf_dir)] = store
+    _stores[(spark.sparkContext.applicationId, sf_dir)] = built
 
 
 def feed_files(spark: SparkSession, sf_dir: str) -> str:

@@ -70,7 +70,7 @@ parsed AS MATERIALIZED (
 MATCHED = (
     PARSED
     + r""",
-clauses AS (
+clauses AS MATERIALIZED (
   SELECT request_id, 'must' AS role, 'text' AS kind, unnest(must) AS word FROM parsed WHERE error IS NULL
   UNION ALL
   SELECT request_id, 'excluded', 'text', unnest(excluded) FROM parsed WHERE error IS NULL
@@ -85,7 +85,7 @@ words AS (
 word_terms AS (
   SELECT kind, word, len(parts) AS n, generate_subscripts(parts, 1) - 1 AS i, unnest(parts) AS token,
          parts FROM words),
-terms AS (
+terms AS MATERIALIZED (
   SELECT kind, word, n, i, token, coalesce(list_sum(list_transform(parts[1:i], lambda p: strlen(p))), 0)::BIGINT AS shift,
          f.field
   FROM word_terms JOIN (VALUES ('text', 'title'), ('text', 'content'), ('tags', 'tags'), ('category', 'category')) f(k, field)
@@ -95,9 +95,9 @@ word_idf AS (
          any_value(avgdl) AS avgdl
   FROM terms LEFT JOIN doc_freq USING (field, token) JOIN field_stats USING (field) GROUP BY ALL),
 starts AS (
-  SELECT kind, word, field, doc_id, n, byte_from - shift AS start, count(DISTINCT i) AS found, any_value(dl) AS dl
+  SELECT kind, word, field, doc_id, n, byte_from - shift AS start, count(*) AS found, any_value(dl) AS dl
   FROM terms JOIN tokens USING (field, token) WHERE n > 1 GROUP BY ALL),
-field_hits AS (
+field_hits AS MATERIALIZED (
   SELECT kind, word, field, doc_id, tf, dl FROM terms JOIN postings USING (field, token) WHERE n = 1
   UNION ALL
   SELECT kind, word, field, doc_id, count(*), any_value(dl) FROM starts WHERE found = n GROUP BY ALL),
@@ -113,7 +113,7 @@ per_doc AS (
   UNION ALL
   SELECT request_id, doc_id, 0, 0, 0, 0 FROM parsed, posts
   WHERE error IS NULL AND len(must) = 0 AND len(known) = 0),
-matched AS (
+matched AS MATERIALIZED (
   SELECT request_id, doc_id, page, size,
          CASE WHEN len(must) > 0 THEN round(part + CASE WHEN len(range) > 0 THEN 1.0 ELSE 0.0 END, 4) END AS score,
          CASE WHEN len(must) > 0 THEN round(part + CASE WHEN len(range) > 0 THEN 1.0 ELSE 0.0 END, 4)
@@ -124,7 +124,7 @@ matched AS (
     AND coalesce(date_s >= lo, true) AND coalesce(date_s <= hi, true)),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY key DESC, doc_id) AS rank FROM matched),
-pages_of AS (SELECT * FROM ranked WHERE rank > (page - 1) * size AND rank <= page * size)"""
+pages_of AS MATERIALIZED (SELECT * FROM ranked WHERE rank > (page - 1) * size AND rank <= page * size)"""
 )
 ALL = "len(excluded)"
 
@@ -164,6 +164,43 @@ shown AS (
              LEFT JOIN (SELECT * FROM html WHERE field = 'content') c USING (doc_id))"""
 )
 
+# The hits of a whole batch: each request's own weights, best fragments and highlighted texts.
+BATCH_HITS = (
+    FRAGMENTS
+    + r""",
+weight AS MATERIALIZED (
+  SELECT DISTINCT request_id, field, token, 1.0 / (1 + df) AS w
+  FROM clauses JOIN terms USING (kind, word) JOIN doc_freq USING (field, token) WHERE kind = 'text'),
+hit_raw AS MATERIALIZED (
+  SELECT p.request_id, doc_id, field, fragment, ord, part, token FROM pages_of p JOIN placed USING (doc_id)),
+hit_tokens AS MATERIALIZED (
+  SELECT request_id, doc_id, field, fragment, ord, part, w FROM hit_raw LEFT JOIN weight USING (request_id, field, token)),
+totals AS (SELECT request_id, count(*) AS n FROM matched GROUP BY ALL),
+best AS (
+  SELECT * FROM (SELECT request_id, doc_id, field, fragment, round(sum(w), 9) AS score FROM hit_tokens GROUP BY ALL HAVING sum(w) > 0)
+  QUALIFY row_number() OVER (PARTITION BY request_id, doc_id, field ORDER BY score DESC, fragment) = 1),
+pieces AS (
+  SELECT request_id, doc_id, field, ord, w,
+         replace(replace(replace(replace(replace(part, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS shown
+  FROM hit_tokens JOIN best USING (request_id, doc_id, field, fragment)),
+html AS (
+  SELECT request_id, doc_id, field, string_agg(CASE WHEN w IS NULL THEN shown ELSE '<b>' || shown || '</b>' END, '' ORDER BY ord) AS html
+  FROM pieces GROUP BY ALL),
+hits AS (
+  SELECT request_id, rank, to_json({'category': category,
+         'date': strftime(make_timestamp(date_s * 1000000), '%Y-%m-%d %H:%M:%S') || '.0 +00:00:00',
+         'snippet': coalesce(c.html, substr(content, 1, 140)), 'tags': tags,
+         'title': coalesce(t.html, substr(title, 1, 140)), 'url': url})::VARCHAR AS hit
+  FROM pages_of JOIN posts USING (doc_id)
+       LEFT JOIN (SELECT * FROM html WHERE field = 'title') t USING (request_id, doc_id)
+       LEFT JOIN (SELECT * FROM html WHERE field = 'content') c USING (request_id, doc_id)),
+responses AS (
+  SELECT request_id, CASE WHEN error IS NOT NULL THEN '{"err_msg": "' || error || '"}'
+         ELSE '{"count":' || coalesce(any_value(n), 0) || ',"data":['
+              || coalesce(string_agg(hit, ',' ORDER BY rank), '') || ']}' END AS response
+  FROM parsed p LEFT JOIN totals USING (request_id) LEFT JOIN hits USING (request_id) GROUP BY p.request_id, error)"""
+)
+
 # Cleaning steps over a column `html`.
 STRIP = r"regexp_replace(html, '<!.*?>|<div[\s\S]+?/div>|<script.*?/script>|</?[a-zA-Z]+[\s\S]*?>', '', 'g')"
 FOLD = rf"regexp_replace({STRIP}, '[\n| \x{{a0}}]+', ' ', 'g')"
@@ -234,6 +271,8 @@ def _unlabelled(select: str) -> str:
 
 _WORDS = ["that", "the"]
 
+_RESPONSES = f"WITH RECURSIVE {INDEX}{REQUESTS}{MATCHED.replace('{excluded_limit}', ALL)}{BATCH_HITS} SELECT request_id, response FROM responses"
+
 ORACLES = {
     "feed_scan": f"""WITH {POSTS} SELECT url AS href, title,
         strftime(make_timestamp(date_s * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') AS published,
@@ -302,6 +341,11 @@ ORACLES = {
     "batch_search": f"{_BATCH} SELECT request_id, rank, doc_id, score FROM pages_of",
     "batch_counts": f"""{_BATCH} SELECT request_id, count(doc_id) AS total FROM parsed LEFT JOIN matched USING (request_id)
         WHERE error IS NULL GROUP BY ALL""",
+    "response_json": _RESPONSES,
+    "stream_search": _RESPONSES,
+    "stream_ingest": f"""WITH {POSTS} SELECT url, title, {decoded(CLEAN.replace("(html,", "(content,"))} AS content, date_s, category,
+        array_to_string(tags, ',') AS tags FROM posts""",
+    "rebuild": f"""WITH {POSTS} SELECT row_number() OVER (ORDER BY url) - 1 AS doc_id, url, 1 AS n_loads FROM posts""",
     "request_lines": r"""WITH lines AS (
           SELECT conv_id || '-' || turn AS request_id, turn, regexp_replace(text, '[,\n]', ' ', 'g') AS t,
                  1577836800 + (conv_id % 900) * 86400 AS day_s

@@ -11,8 +11,12 @@ from marginalia.operators import index as ix
 from marginalia.operators import match, rank, snippet, tokens
 from marginalia.operators.joins import Stage
 from marginalia.plans import ingest, pages, search
+from marginalia.session import shared_dir
 from marginalia.sources import feeds
 from marginalia.sources import requests as rq
+from marginalia.sources.store import Store
+from marginalia.streaming.ingest import start_ingest
+from marginalia.streaming.search import start_search, stream_requests
 from workload import inputs
 
 WORDS = ["that", "the"]
@@ -343,6 +347,37 @@ def request_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# --- streams and full loads
+
+
+def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """The feed files loaded as a stream into an empty store."""
+    store = Store(spark, shared_dir(spark, "streamed"))
+    start_ingest(store, inputs.feed_files(spark, sf), shared_dir(spark, "ingest-state")).awaitTermination()
+    return store.posts().select(
+        "url", "title", "content", seconds("date").alias("date_s"), "category", joined("tags").alias("tags")
+    )
+
+
+def stream_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The requests answered as a stream of JSON files."""
+    inputs.index(spark, sf)
+    inbox, answers = shared_dir(spark, "inbox"), shared_dir(spark, "answers")
+    inputs.requests(spark, sf).write.json(inbox)
+    requests = stream_requests(spark, inbox)
+    start_search(inputs.store(spark, sf), requests, answers, shared_dir(spark, "search-state")).awaitTermination()
+    return spark.read.parquet(answers).select("request_id", "response")
+
+
+def rebuild(spark: SparkSession, sf: str) -> DataFrame:
+    """A load of part of the posts, replaced by a load of all of them."""
+    store = Store(spark, shared_dir(spark, "rebuilt"))
+    ingest.rebuild(store, _committed(spark, sf).drop("doc_id"))
+    ingest.rebuild(store, corpus.posts(spark, sf).drop("doc_id"))
+    n_loads = store.table("loads").select(F.count("*").cast("int")).scalar()
+    return store.posts().select("doc_id", "url", n_loads.alias("n_loads"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -389,5 +424,8 @@ QUERIES = {
         batch_counts,
         response_json,
         request_lines,
+        stream_ingest,
+        stream_search,
+        rebuild,
     )
 }
