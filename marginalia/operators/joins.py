@@ -30,13 +30,16 @@ class Stage:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def spread_join(small: DataFrame, big: DataFrame, keys: list[str], spread_by: str) -> DataFrame:
+def spread_join(small: DataFrame, big: DataFrame, keys: list[str], spread_by: str, fits: bool = False) -> DataFrame:
     """Inner join in which `big` may hold a hot key.
 
-    `big` is split by `spread_by` and `small` repeated once per piece, so a hot key is
-    worked on by several tasks whenever Spark does not broadcast `small`.
+    `fits` says that `small` was counted and may be broadcast; hot keys then do not matter.
+    Otherwise `big` is split by `spread_by` and `small` repeated once per piece, so a hot
+    key is worked on by several tasks.
     """
     pieces = salts(small.sparkSession)
+    if fits:
+        return big.join(F.broadcast(small), keys)
     if pieces == 1:
         return big.join(small, keys)
     every = F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))

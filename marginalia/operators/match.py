@@ -54,24 +54,28 @@ def lookups(words: DataFrame, index: Index) -> DataFrame:
     )
 
 
-def field_matches(index: Index, wanted: DataFrame) -> DataFrame:
-    """kind, word, field, doc_id, date, tf and score part: one row per document and field that matches."""
+def field_matches(index: Index, wanted: DataFrame, fits: bool = False) -> DataFrame:
+    """kind, word, field, doc_id, date, tf and score part: one row per document and field that matches.
+
+    `fits`: the lookups were counted and are few enough to broadcast.
+    """
     found = wanted.where("min_df > 0").withColumn("bucket", bucket(F.col("anchor"), index.buckets))
     keep = [*LOOKUP_KEY, "doc_id", "date", "dl", "tf", "idf", "avgdl"]
-    hits = _at_anchor(index, found.where("n = 1"), "tf").select(*keep).unionByName(_phrases(index, found).select(*keep))
+    single = _at_anchor(index, found.where("n = 1"), fits, "tf")
+    hits = single.select(*keep).unionByName(_phrases(index, found, fits).select(*keep))
     part = bm25(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"))
     return hits.select(*LOOKUP_KEY, "doc_id", "date", "tf", part.alias("score"))
 
 
-def _at_anchor(index: Index, found: DataFrame, *columns: str) -> DataFrame:
+def _at_anchor(index: Index, found: DataFrame, fits: bool, *columns: str) -> DataFrame:
     """The postings of each word's rarest token."""
     narrow = index.postings.select(
         "field", "bucket", F.col("token").alias("anchor"), "doc_id", "date", "dl", *columns
     )
-    return spread_join(found, narrow, ["field", "bucket", "anchor"], "doc_id").drop("bucket")
+    return spread_join(found, narrow, ["field", "bucket", "anchor"], "doc_id", fits).drop("bucket")
 
 
-def _phrases(index: Index, found: DataFrame) -> DataFrame:
+def _phrases(index: Index, found: DataFrame, fits: bool) -> DataFrame:
     """Words of several tokens: the tokens must follow each other at exact byte offsets.
 
     Only documents that hold the rarest token are checked. Its positions say where the
@@ -96,7 +100,7 @@ def _phrases(index: Index, found: DataFrame) -> DataFrame:
         places, lambda s: F.forall(again, lambda t: F.array_contains(F.col("positions"), s + t["offset"]))
     )
     checked = (
-        _at_anchor(index, phrases, "positions")
+        _at_anchor(index, phrases, fits, "positions")
         .withColumn("starts", starts)
         .withColumn("terms", F.filter("terms", lambda t: t["token"] != F.col("anchor")))
         .drop("positions", "anchor", "min_df", "n")
@@ -126,10 +130,10 @@ def _phrases(index: Index, found: DataFrame) -> DataFrame:
     return met.unionByName(same).withColumn("tf", F.size("starts").cast("bigint")).where("tf > 0")
 
 
-def word_matches(index: Index, wanted: DataFrame) -> DataFrame:
+def word_matches(index: Index, wanted: DataFrame, fits: bool = False) -> DataFrame:
     """kind, word, doc_id, date, score: a word matches if any of its fields does; parts add up."""
     return (
-        field_matches(index, wanted)
+        field_matches(index, wanted, fits)
         .groupBy("kind", "word", "doc_id")
         .agg(F.first("date").alias("date"), F.sum("score").alias("score"))
     )

@@ -18,6 +18,7 @@ from marginalia.sources.store import SLICE_DOCS
 
 DAY = 86400
 DEEP = 1000  # pages that end further down than this are found through counts per cell
+BROADCAST_CLAUSES = 100_000  # rows of a word and a few numbers: some megabytes
 BROADCAST_IDS = 2_000_000  # two longs each: some tens of megabytes at most
 
 
@@ -79,16 +80,19 @@ def in_range(date: str, lo: int, hi: int) -> Column:
     return above & below
 
 
-def matches(index: Index, wanted: DataFrame, parts: DataFrame, exclude: str = "all") -> DataFrame:
+def matches(
+    index: Index, wanted: DataFrame, parts: DataFrame, exclude: str = "all", fits: bool = False
+) -> DataFrame:
     """request_id, slot, doc_id, key, cell, score, page, size: all documents that satisfy a request.
 
     Documents satisfy every required word and filter, lie in the date range and, with
     exclude="all", do not hold all excluded words ("any": do not hold any of them).
-    The rows are spread by request and slot, which the final ranking reuses.
+    The rows are spread by request and slot, which the final ranking reuses. `fits`: lookups
+    and clauses were counted and are few enough to broadcast.
     """
     if exclude not in ("all", "any"):
         raise ValueError("exclude is 'all' or 'any'")
-    found = spread_join(parts, word_matches(index, wanted), ["kind", "word"], "doc_id")
+    found = spread_join(parts, word_matches(index, wanted, fits), ["kind", "word"], "doc_id", fits)
     part = F.when(F.col("role") == "excluded", 0.0).otherwise(F.col("score"))
     n = lambda role: F.count_if(F.col("role") == role).alias(f"n_{role}")
     request = ("w_must", "w_excluded", "w_filter", "ranged", "page", "size")
@@ -287,7 +291,8 @@ def search(requests: DataFrame, index: Index, exclude: str = "all", stage: Stage
     wanted = keep(lookups(parts, index), "lookups")
     # Without a stage nothing is run here, so any request might be a deep one.
     any_deep = stage is None or not parsed.where("error is null").where(F.col("page") * F.col("size") > DEEP).isEmpty()
-    found = matches(index, wanted, parts, exclude)
+    fits = stage is not None and max(wanted.count(), parts.count()) <= BROADCAST_CLAUSES
+    found = matches(index, wanted, parts, exclude, fits)
     pages = keep(word_pages(found, any_deep).unionByName(browse_pages(parsed, index)), "pages")
     ids_fit = stage is not None and pages.count() <= BROADCAST_IDS
     shown = hits(pages, index.posts, weights(parts, wanted), ids_fit)

@@ -173,7 +173,7 @@ def field_stats(spark: SparkSession, sf: str) -> DataFrame:
 def _word(spark: SparkSession, sf: str, word: str, kind: str = "text") -> DataFrame:
     index = inputs.index(spark, sf)
     words = spark.sql("SELECT * FROM VALUES (:kind, :word) AS t(kind, word)", args={"kind": kind, "word": word})
-    return match.field_matches(index, Stage(spark)(match.lookups(words, index), "lookups"))
+    return match.field_matches(index, Stage(spark)(match.lookups(words, index), "lookups"), fits=True)
 
 
 def term_match(spark: SparkSession, sf: str) -> DataFrame:
@@ -191,7 +191,7 @@ def any_field(spark: SparkSession, sf: str) -> DataFrame:
 def _found(spark: SparkSession, sf: str, exclude: str = "all", **request) -> DataFrame:
     index = inputs.index(spark, sf)
     parts = search.clauses(rq.parse(inputs.one_request(spark, **request)))
-    return search.matches(index, Stage(spark)(match.lookups(parts, index), "lookups"), parts, exclude)
+    return search.matches(index, Stage(spark)(match.lookups(parts, index), "lookups"), parts, exclude, fits=True)
 
 
 def all_words(spark: SparkSession, sf: str) -> DataFrame:
