@@ -92,35 +92,39 @@ def _phrases(index: Index, found: DataFrame, fits: bool) -> DataFrame:
     others = index.postings.select("field", "bucket", "token", "doc_id", "positions").join(
         tokens, ["field", "bucket", "token"], "left_semi"
     )
-    at_anchor = F.filter("terms", lambda t: t["token"] == F.col("anchor"))
-    places = F.transform("positions", lambda p: p - F.get(at_anchor, F.lit(0))["offset"])
-    # An anchor that occurs in the word again needs no second lookup.
-    again = F.slice(at_anchor, 2, F.size("terms"))
-    starts = F.filter(
-        places, lambda s: F.forall(again, lambda t: F.array_contains(F.col("positions"), s + t["offset"]))
+    # Settled on the few lookups: the anchor's offset, its further offsets if it occurs in
+    # the word again (they need no second lookup), and the other tokens.
+    at_anchor = F.transform(F.filter("terms", lambda t: t["token"] == F.col("anchor")), lambda t: t["offset"])
+    prepared = (
+        phrases.withColumn("at", F.get(at_anchor, F.lit(0)))
+        .withColumn("again", F.slice(at_anchor, 2, F.size("terms")))
+        .withColumn("terms", F.filter("terms", lambda t: t["token"] != F.col("anchor")))
+        .drop("min_df", "n")
     )
+    places = F.transform("positions", lambda p: p - F.col("at"))
+    repeated = F.filter(places, lambda s: F.forall("again", lambda o: F.array_contains(F.col("positions"), s + o)))
+    starts = F.when(F.size("again") == 0, places).otherwise(repeated)
     checked = (
-        _at_anchor(index, phrases, fits, "positions")
+        _at_anchor(index, prepared, fits, "positions")
         .withColumn("starts", starts)
-        .withColumn("terms", F.filter("terms", lambda t: t["token"] != F.col("anchor")))
-        .drop("positions", "anchor", "min_df", "n")
+        .drop("positions", "anchor", "at", "again")
     )
     facts = ("date", "dl", "idf", "avgdl")
     same = checked.where("size(terms) = 0").select(*LOOKUP_KEY, "doc_id", *facts, "starts")
     shift = F.col("t.offset")
-    # The shorter list goes second: it is the one that is hashed.
-    kept = F.transform(
-        F.array_intersect(F.col("positions"), F.transform("starts", lambda s: s + shift)), lambda p: p - shift
-    )
+    # The shorter list goes second: it is the one that is hashed. The result is moved back
+    # only in the grouping, which leaves this step to compiled code.
+    stands = F.array_intersect("positions", F.transform("starts", lambda s: s + shift))
+    kept = F.transform("stands", lambda p: p - shift)
     met = (
         checked.withColumn("n_terms", F.size("terms"))
         .withColumn("t", F.explode("terms"))
         .drop("terms")
         .withColumn("token", F.col("t.token"))
         .join(others.drop("bucket"), ["field", "token", "doc_id"])
-        .withColumn("kept", kept)
+        .withColumn("stands", stands)
         .groupBy(*LOOKUP_KEY, "doc_id", "n_terms")
-        .agg(F.collect_list("kept").alias("lists"), *[F.first(c).alias(c) for c in facts])
+        .agg(F.collect_list(kept).alias("lists"), *[F.first(c).alias(c) for c in facts])
         .where("size(lists) = n_terms")
     )
     common = F.aggregate(

@@ -16,6 +16,7 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "marginalia"
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64MB")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "65536")

@@ -31,7 +31,7 @@ _TYPES = {
     "string": T.StringType(),
     "timestamp": T.TimestampType(),
     "boolean": T.BooleanType(),
-    "array<bigint>": T.ArrayType(T.LongType()),
+    "array<bigint>": T.ArrayType(T.LongType(), False),
 }
 
 
