@@ -255,7 +255,8 @@ def fetch(pages: DataFrame, posts: DataFrame, ids_fit: bool = False) -> DataFram
     stored posts are then scanned only in the slices that hold one of them.
     """
     keys = ["slice", "doc_id"] if "slice" in posts.columns else ["doc_id"]
-    rows = pages.where("doc_id is not null").drop("total")
+    # A comparison, not just "is not null": Spark prunes folders at run time only by a filtered side.
+    rows = pages.where("rank > 0").drop("total")
     ids = rows.withColumn("slice", F.floor(F.col("doc_id") / SLICE_DOCS)).select(*keys).distinct()
     shown = posts.join(F.broadcast(ids) if ids_fit else ids, keys, "left_semi")
     return shown.join(rows, "doc_id")

@@ -272,8 +272,7 @@ def _weighted(spark: SparkSession, sf: str) -> DataFrame:
     parts = search.clauses(rq.parse(inputs.one_request(spark, q=WORDS)))
     # One request gives one row.
     weights = search.weights(parts, match.lookups(parts, index))
-    one = F.lit("only").alias("request_id")
-    return index.posts.select("*", one).join(F.broadcast(weights), "request_id")
+    return index.posts.select("*", *[weights.select(c).scalar().alias(c) for c in ("title_weights", "content_weights")])
 
 
 def best_fragment(spark: SparkSession, sf: str) -> DataFrame:
