@@ -8,8 +8,6 @@ import re
 import sys
 import time
 
-from pyspark.sql import functions as F
-
 from marginalia import corpus
 from marginalia.operators.joins import Stage
 from marginalia.plans import pages, search
@@ -43,13 +41,11 @@ def main() -> None:
     inputs.use(spark, sf_dir, store)
 
     batch = inputs.requests(spark, sf_dir)
-    small = batch.where(F.substring_index("request_id", "-", 1).cast("int") % 5 == 0)
     timed("ranked_search", lambda: sink(QUERIES["bm25_topk"](spark, sf_dir)))
     timed("phrase_search", lambda: sink(QUERIES["phrase_match"](spark, sf_dir)))
     timed("browse_newest", lambda: sink(QUERIES["browse_newest"](spark, sf_dir)))
     timed("tag_filter", lambda: sink(QUERIES["tag_filter"](spark, sf_dir)))
     timed("search_with_snippets", lambda: sink(QUERIES["search_hits"](spark, sf_dir)))
-    timed("batch_search_fifth", lambda: sink(search.search(small, index, stage=Stage(spark)).responses))
     timed("batch_search", lambda: sink(search.search(batch, index, stage=Stage(spark)).responses))
     timed("page_cleaning", lambda: sink(pages.clean_pages(corpus.read_table(spark, sf_dir, "pages"))))
     timed("fragments", lambda: sink(QUERIES["fragments"](spark, sf_dir)))
