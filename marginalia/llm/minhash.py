@@ -5,8 +5,10 @@ shingle; a document without words is linked with nothing. Two documents are link
 `percent` hundredths of their union.
 
 Equal sets become one class first, so any number of copies costs one row. Representatives get many universal hash minima; bands of them
-key buckets. Pairs are formed in two rounds: each bucket member with the bucket's smallest; then, only where a
-bucket still spans several components, members of different components, large buckets split by a second band.
+key buckets. Pairs are formed in two rounds. First each bucket member meets the bucket's centre, the member with most company over all bands.
+Then, only where a bucket still spans several components, members of different
+components meet. Each is written as its differences from the bucket's centre, what it lacks and what it has beside it; two members'
+intersection follows exactly from these short lists, so the join gives out links alone, and their lengths rule most pairs out.
 Every pair is confirmed on whole sets. Components come from alternating large-star and small-star steps.
 
 At similarity 0.85 a pair shares none of 30 bands of 4 with probability 2e-10, at 0.8 with 2e-7.
@@ -27,8 +29,6 @@ from pyspark.sql import functions as F
 from marginalia.llm.base import Words, lowered, mix, saved, slices, text_bytes
 
 BANDS, ROWS = 30, 4
-#: Members of a bucket above which a second band splits it before its pairs are formed.
-LARGE = 64
 _rng = np.random.default_rng(11)
 _A = _rng.integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -98,24 +98,30 @@ def buckets(reps: DataFrame) -> DataFrame:
     return rows
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links: the minima must not rule them out (by over six deviations), then whole sets decide."""
+def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and minima do not rule out; the minima's margin is over six deviations."""
     sig = reps.select("doc_id", "n", "sig")
     agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
     p = percent / 100
     least = int(BANDS * ROWS * (p - 6.5 * (p * (1 - p) / (BANDS * ROWS)) ** 0.5))
-    likely = saved(
+    return saved(
         pairs.join(sig.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
         .join(sig.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
-        .where((agree >= least) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
+        .where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (agree >= least))
         .select("a", "b", "na", "nb"),
         "likely",
     )
-    ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = saved(shingle_sets(docs.join(ids, "doc_id", "left_semi"), k), "sets")
+
+
+def sets_of(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    return saved(shingle_sets(docs.join(ids, "doc_id", "left_semi"), k), "sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links among pairs (a, b, na, nb), decided on whole sets."""
     both = F.size(F.array_intersect("xa", "xb"))
     return saved(
-        likely.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xa")), "a")
+        pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xa")), "a")
         .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("xb")), "b")
         .where(100 * both >= percent * (F.col("na") + F.col("nb") - both))
         .select("a", "b"),
@@ -123,6 +129,40 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percen
     )
 
 
+def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(doc_id, centre, n, held, lacks, beside): a set as its differences from the centre's set, which has `held` shingles."""
+    return (
+        pairs.join(sets.select("doc_id", F.col("shingles").alias("x")), "doc_id")
+        .join(sets.select(F.col("doc_id").alias("centre"), F.col("shingles").alias("c")), "centre")
+        .select(
+            "doc_id", "centre", F.size("x").cast("bigint").alias("n"), F.size("c").cast("bigint").alias("held"),
+            F.array_except("c", "x").alias("lacks"), F.array_except("x", "c").alias("beside"),
+        )
+    )
+
+
+def crossing(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members (differences and component) of one centre and of different components.
+
+    The larger set is exploded to its partners' size classes, so that only sets of fitting sizes are compared.
+    """
+    size_class = lambda n: F.floor(F.log(n.cast("double")) / F.lit(0.03)).cast("int")
+    low = F.ceil(F.col("n") * percent / 100)
+    classes = F.explode(F.sequence(size_class(low), size_class(F.col("n")))).alias("class")
+    x = members.select("centre", classes, F.col("doc_id").alias("a"), F.col("component").alias("ca"), "n", "held", "lacks", "beside")
+    y = members.select(
+        F.col("centre").alias("centre_y"), size_class(F.col("n")).alias("class_y"), F.col("doc_id").alias("b"), F.col("component").alias("cb"),
+        F.col("n").alias("m"), F.col("lacks").alias("lacks_y"), F.col("beside").alias("beside_y"),
+    )
+    once = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("a") < F.col("b")))
+    enough = lambda common: 100 * common >= percent * (F.col("n") + F.col("m") - common)
+    most = F.col("held") - F.greatest(F.size("lacks"), F.size("lacks_y")) + F.least(F.size("beside"), F.size("beside_y"))
+    lacked = F.size("lacks") + F.size("lacks_y") - F.size(F.array_intersect("lacks", "lacks_y"))
+    common = F.col("held") - lacked + F.size(F.array_intersect("beside", "beside_y"))
+    same = (F.col("centre") == F.col("centre_y")) & (F.col("class") == F.col("class_y"))
+    return x.join(y, same & (F.col("ca") != F.col("cb")) & once & enough(most) & enough(common)).select("a", "b")
+
+
 def components(links: DataFrame, most: int = 40) -> DataFrame:
     """(doc_id, component) for every id in `links` (a, b): the smallest id reachable. Each step ends in files; `most` steps double that many times."""
     edges = saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
@@ -158,26 +198,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     )
     reps = classes.where("doc_id is not null")
     members = buckets(reps)
-    by_bucket = members.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")).where("size > 1")
+    by_bucket = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     shared = saved(members.join(by_bucket, "bucket"), "buckets")
-    star = shared.where("doc_id > first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = confirmed(star, reps, rows, k, percent)
+    company = shared.groupBy("doc_id").agg(F.sum("size").alias("company"))
+    centre = shared.join(company, "doc_id").groupBy("bucket").agg(F.max(F.struct("company", (-F.col("doc_id")).alias("doc_id")))["doc_id"].alias("centre"))
+    shared = saved(shared.join(centre.select("bucket", (-F.col("centre")).alias("centre")), "bucket").select("bucket", "doc_id", "centre"), "centres")
+    star = shared.where("doc_id != centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
+    near = likely(star, reps, percent)
+    links = confirmed(near, sets_of(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), rows, k), percent)
     part = saved(components(links), "components")
 
     # what is left: buckets that still span several components
     placed = shared.join(part, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    span = placed.groupBy("bucket").agg(F.count("*").alias("held"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    left = saved(placed.join(span, "bucket").select("bucket", "doc_id", "component", "first", "held"), "left")
-    few = left.where(F.col("held") <= LARGE).select("bucket", "doc_id", "component", "first")
-    finer = left.where(F.col("held") > LARGE).alias("l")
-    finer = finer.join(shared.select("doc_id", F.col("bucket").alias("second")), "doc_id").where("second != bucket")
-    finer = finer.select(F.xxhash64(F.least("bucket", "second"), F.greatest("bucket", "second")).alias("bucket"), "doc_id", "component", "first").dropDuplicates(["bucket", "doc_id"])
-    both = few.union(finer)
-    x = both.select("bucket", F.col("doc_id").alias("a"), F.col("component").alias("ca"))
-    y = both.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("cb"), "first")
-    # pairs with the bucket's first were tried in the first round
-    rest = x.join(y, "bucket").where("a < b and ca != cb and a != first").select("a", "b").distinct()
-    more = confirmed(saved(rest, "rest"), reps, rows, k, percent)
+    span = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    left = saved(placed.join(span, "bucket").select("doc_id", "component", "centre").distinct(), "left")
+    sets = sets_of(left.select("doc_id").distinct(), rows, k)
+    members = saved(differences(left.select("doc_id", "centre"), sets).join(left, ["doc_id", "centre"]), "members")
+    more = saved(crossing(members, percent), "links")
     whole = saved(components(links.union(more)), "components")
 
     linked = classes.join(whole, "doc_id", "left").select("d1", "d2", F.col("n").alias("_n"), F.coalesce("component", "doc_id").alias("component"))

@@ -95,7 +95,7 @@ def contexts(rows: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for batch in slices(batches):
+            for batch in slices(batches, 1 << 20):
                 data, where = text_bytes(batch)
                 if len(data) < length:
                     continue
