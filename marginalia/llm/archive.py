@@ -48,6 +48,7 @@ def records(pages: DataFrame, at_least: int = 0) -> DataFrame:
         .agg(F.max("page_id").alias("_last"), F.count("*").alias("_n"))
         .where("_n > 1")
     )
+    last = saved(last, "repeated-payloads")  # of known size: payloads are shuffled for this join only if it is large
     revisit = F.col("_n").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_last"))
     return (
         rows.join(last, F.col("payload_digest") == F.col("_digest"), "left")
@@ -156,9 +157,10 @@ def fetch(selected: DataFrame) -> DataFrame:
                 if out:
                     yield _batch(out)
 
+    files = int(selected.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         selected.select("path", "offset", "length")
-        .repartition("path")
+        .repartition(files, "path")
         .sortWithinPartitions("path", "offset")
         .mapInArrow(run, "page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, payload_bytes bigint, payload string")
     )
