@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from marginalia.session import shared_dir
@@ -44,7 +46,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows in pieces of about `most` bytes of text, so that work arrays stay small; a longer text is one piece."""
     for batch in batches:
-        size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch["text"]), 0), dtype=np.int64)
+        size = np.asarray(pc.fill_null(pc.binary_length(batch["text"]), 0), dtype=np.int64)
         ends = np.cumsum(size)
         at = 0
         while at < batch.num_rows:
@@ -55,7 +57,7 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[p
 
 def text_bytes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """All texts of a piece as one byte array, and where each begins (one more entry than rows); null is empty."""
-    column = pa.compute.fill_null(batch["text"].cast(pa.large_string()), "")
+    column = pc.fill_null(batch["text"].cast(pa.large_string()), "")
     _, offsets, data = column.buffers()
     where = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     if data is None or where[-1] == where[0]:
@@ -63,16 +65,25 @@ def text_bytes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[where[0] : where[-1]], where - where[0]
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse; kept by the worker process, as every piece needs the same."""
+    held = sys.modules.setdefault("_marginalia_powers", type(sys)("_marginalia_powers"))
+    if len(getattr(held, "power", ())) < n:
+        held.power, held.back = np.full(n, _BASE), np.full(n, _INVERSE)
+        held.power[0] = held.back[0] = 1
+        np.cumprod(held.power, out=held.power)
+        np.cumprod(held.back, out=held.back)
+    return held.power[:n], held.back[:n]
+
+
 def polynomial(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Running sums and inverse powers: the bytes from a to b hash to mix((total[b] - total[a]) * back[a])."""
     n = len(data)
-    total, back = np.zeros(n + 1, np.uint64), np.full(n, _INVERSE)
-    if n:
-        power = np.full(n, _BASE)
-        power[0] = back[0] = 1
-        np.cumprod(power, out=power)
-        np.cumprod(back, out=back)
-        np.cumsum(_BYTE[data] * power, out=total[1:])
+    total = np.zeros(n + 1, np.uint64)
+    if not n:
+        return total, np.zeros(0, np.uint64)
+    power, back = _powers(n)
+    np.cumsum(_BYTE[data] * power, out=total[1:])
     return total, back
 
 

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -133,10 +134,10 @@ def sorted_out(rows: DataFrame) -> DataFrame:
         names = ["k", "c", "doc", "th", "at", "size"]
         lead = None  # the first row of the content that goes on, and whether it was given out
         for batch in batches:
-            known = batch.filter(pa.compute.is_null(batch["k"]))
+            known = batch.filter(pc.is_null(batch["k"]))
             if known.num_rows:
                 yield _found(known["k"].fill_null(0).to_numpy(), *[known[x].to_numpy() for x in names[2:]], np.ones(known.num_rows, np.int32))
-            batch = batch.filter(pa.compute.is_valid(batch["k"]))
+            batch = batch.filter(pc.is_valid(batch["k"]))
             if not batch.num_rows:
                 continue
             x = [batch[y].to_numpy() for y in names]
@@ -260,7 +261,7 @@ def factor_spans(cut: DataFrame, length: int) -> DataFrame:
             anchor = batch["anchor"].to_numpy()
             edges = np.flatnonzero(np.concatenate((anchor[1:] != anchor[:-1], [False]))) + 1
             at = 0
-            bytes_to = np.cumsum(np.asarray(pa.compute.binary_length(batch["bytes"])))
+            bytes_to = np.cumsum(np.asarray(pc.binary_length(batch["bytes"])))
             for edge in edges:
                 # whole anchors only; a block ends behind one
                 if size + bytes_to[edge - 1] - (bytes_to[at - 1] if at else 0) > BLOCK:
