@@ -51,7 +51,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     labels = read(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic")
-    lexicon = toxicity.learn(docs.join(labels, "doc_id"))
+    lexicon = toxicity.learn(docs, labels)
     return toxicity.scored(docs, lexicon).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
     )

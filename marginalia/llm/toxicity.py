@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.llm.base import saved
+
 #: Labelled rows the lexicon is learnt from, and the most terms it may hold.
 FIT_ROWS, TERMS = 20_000, 2_000
 #: Bounds of a term's weight (log odds): lighter terms are left out, heavier ones cut, so that no single word decides.
@@ -116,12 +118,12 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * math.log1p(density)))))
 
 
-def learn(labelled: DataFrame, exceptions: list[str] | None = None, fit_rows: int = FIT_ROWS, terms: int = TERMS) -> Lexicon:
-    """A lexicon from rows (doc_id, text, toxic 0/1)."""
-    rows = labelled.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    sample = rows.join(
-        rows.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(fit_rows).select("doc_id").distinct(), "doc_id", "left_semi"
-    ).select("text", "toxic")
+def learn(docs: DataFrame, labels: DataFrame, exceptions: list[str] | None = None, fit_rows: int = FIT_ROWS, terms: int = TERMS) -> Lexicon:
+    """A lexicon from documents (doc_id, text) and labels (doc_id, toxic 0/1)."""
+    rows = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    # at most fit_rows short rows: small enough to be sent to where the texts are
+    chosen_rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(fit_rows)
+    sample = saved(docs.select("doc_id", "text").join(F.broadcast(chosen_rows), "doc_id").select("text", "toxic"), "labelled")
     all_rows = {r.toxic: r[1] for r in sample.groupBy("toxic").agg(F.count("*")).collect()}
     na, nb = all_rows.get(1, 0), all_rows.get(0, 0)
     if not na or not nb:
