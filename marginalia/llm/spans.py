@@ -6,7 +6,7 @@ after every twelve words, counted from its start, so that one long sentence is s
 a sentence on that has at least `sentences` units and `words` words.
 
 Null texts are empty; texts with fewer units or words than a run have none. Rows that share doc_id and text are one
-document, each returned cut alike; null doc_ids come first in the order. Empty tables give empty results. Columns beside
+document, each returned cut alike; rows with a null doc_id are ordered by a hash of their text. Empty tables give empty results. Columns beside
 doc_id and text are carried only if asked for.
 """
 
@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.base import Words, lowered, mix, saved, slices, text_bytes, text_key
+from marginalia.llm.base import Words, lowered, mix, slices, text_bytes, text_key
+from marginalia.llm.copies import ROW, first_here, sort_out
 from marginalia.llm.cut import cut
 
 _ENDS = np.zeros(256, bool)
@@ -55,7 +56,7 @@ def units(data: np.ndarray, words: Words) -> np.ndarray:
 
 
 def runs(docs: DataFrame, sentences: int, words: int) -> DataFrame:
-    """(h, doc_id, th, b, e): hash and byte range of every run."""
+    """Every run as a row of copies.ROW: its hash and its byte range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -72,26 +73,23 @@ def runs(docs: DataFrame, sentences: int, words: int) -> DataFrame:
                 last = np.maximum(np.arange(m) + sentences - 1, by_words)
                 ok = last < m
                 ok[ok] &= row[last[ok]] == row[ok]
-                a, z = first[ok], end[last[ok]]
+                a, z, r = first[ok], end[last[ok]], row[ok]
                 # polynomial over word hashes, comparable between places after a shift
-                total = np.zeros(len(w.hash) + 1, np.uint64)
-                power = np.full(len(w.hash), np.uint64(0xD6E8FEB86659FD93))
+                power = np.full(len(w.hash), np.uint64(_STEP))
                 power[0] = 1
                 np.cumprod(power, out=power)
-                np.cumsum(w.hash * power[::-1], out=total[1:])
-                h = mix((total[z] - total[a]) * _inverse(len(w.hash) - z) + (z - a).astype(np.uint64)).view(np.int64)
-                r = row[ok]
-                ids = batch["doc_id"].cast(pa.int64()).take(pa.array(r))
-                key = batch["th"].take(pa.array(r))
-                begin = (w.start[a] - where[r]).astype(np.int64)
-                stop = (w.end[z - 1] - where[r]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h), ids, key, pa.array(begin), pa.array(stop)], ["h", "doc_id", "th", "b", "e"])
+                total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(w.hash * power[::-1])))
+                raw = (total[z] - total[a]) * _inverse(len(w.hash) - z)
+                h = mix(raw + (z - a).astype(np.uint64))
+                begin, size = w.start[a] - where[r], w.end[z - 1] - w.start[a]
+                more = (mix(raw ^ h) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                yield first_here(h.view(np.int64), more, batch["doc"].to_numpy()[r], batch["th"].to_numpy()[r], begin, size)
 
-    rows = docs.select("doc_id", "text").withColumn("th", text_key(docs))
-    return rows.mapInArrow(run, "h bigint, doc_id bigint, th bigint, b bigint, e bigint")
+    return docs.mapInArrow(run, ROW)
 
 
-_BACK = pow(0xD6E8FEB86659FD93, -1, 1 << 64)
+_STEP = 0xD6E8FEB86659FD93
+_BACK = pow(_STEP, -1, 1 << 64)
 
 
 def _inverse(n: np.ndarray) -> np.ndarray:
@@ -104,14 +102,14 @@ def _inverse(n: np.ndarray) -> np.ndarray:
 
 
 def repeated(docs: DataFrame, sentences: int = 3, words: int = 12) -> DataFrame:
-    """Byte spans (doc_id, th, b, e) of all runs that occur earlier."""
-    every = saved(runs(docs, sentences, words), "runs")
-    place = F.struct("doc_id", "th", "b")
-    # counted before it travels; only hashes seen twice are joined back
-    first = every.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
-    return every.join(first, "h").where(F.struct("doc_id", "th", "b") > F.col("first")).select("doc_id", "th", "b", "e")
+    """Byte spans (doc_id, th, b, e) of all runs that occur earlier. Runs are joined by sorting: of equal ones all but the first are given out."""
+    th = text_key(docs)
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), th).alias("doc"), th.alias("th"), "text")
+    return sort_out(runs(rows, sentences, words)).where("kind = 1").select(F.col("doc").alias("doc_id"), "th", "b", "e")
 
 
 def remove_repeats(docs: DataFrame, columns: list[str] | None = None, sentences: int = 3, words: int = 12) -> DataFrame:
     """Each row with doc_id, `columns`, the kept text (`kept`, UTF-8), n_bytes, n_removed, n_spans, kept_sha256."""
-    return cut(docs, repeated(docs, sentences, words), columns or [])
+    keyed = docs.withColumn("_own", F.col("doc_id")).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), text_key(docs)))
+    done = cut(keyed, repeated(docs, sentences, words), ["_own", *(columns or [])])
+    return done.drop("doc_id").withColumnRenamed("_own", "doc_id")

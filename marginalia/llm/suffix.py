@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.base import mix, polynomial, saved, slices, text_bytes, text_key
+from marginalia.llm.copies import ROW, first_here, rows_of, sort_out
 from marginalia.llm.cut import cut
 
 GRAM = 32
@@ -71,26 +72,6 @@ def _packed(anchor: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return ((anchor & ~low) | (same & low)).view(np.int64), (same >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _firsts(key, more, doc, at, size) -> tuple[np.ndarray, np.ndarray]:
-    """Within a piece, of equal contexts only the first has to travel: (the firsts, the others)."""
-    order = np.lexsort((at, doc, more, key))
-    again = (key[order][1:] == key[order][:-1]) & (more[order][1:] == more[order][:-1])
-    first = order[np.concatenate(([True], ~again))] if len(order) else order
-    rest = order[1:][again]
-    return first, rest
-
-
-_ROW = "k bigint, c int, doc bigint, th bigint, at bigint, size int"
-
-
-def _rows(k, c, doc, th, at, size, gone) -> pa.RecordBatch:
-    """`k` null marks a span that is known to go."""
-    return pa.RecordBatch.from_arrays(
-        [pa.array(k, pa.int64(), mask=gone), pa.array(c, pa.int32()), pa.array(doc, pa.int64()), pa.array(th, pa.int64()), pa.array(at, pa.int64()), pa.array(size.astype(np.int32), pa.int32())],
-        ["k", "c", "doc", "th", "at", "size"],
-    )
-
-
 def contexts(rows: DataFrame, length: int) -> DataFrame:
     """All contexts of (doc, th, text)."""
 
@@ -106,79 +87,9 @@ def contexts(rows: DataFrame, length: int) -> DataFrame:
                 k, c = _packed(anchor, same)
                 doc = batch["doc"].to_numpy()[row]
                 th = batch["th"].to_numpy()[row]
-                first, rest = _firsts(k, c, doc, at, size)
-                both = np.concatenate((first, rest))
-                gone = np.arange(len(both)) >= len(first)
-                # a repeated row is no earlier copy of itself
-                if len(rest):
-                    lead = np.searchsorted(k[first], k[rest], "left")
-                    gone[len(first) :] = True
-                    twin = np.zeros(len(rest), bool)
-                    for step in range(2):
-                        p = np.minimum(lead + step, len(first) - 1)
-                        twin |= (k[first][p] == k[rest]) & (c[first][p] == c[rest]) & (doc[first][p] == doc[rest]) & (at[first][p] == at[rest])
-                    keep = np.concatenate((np.ones(len(first), bool), ~twin))
-                    both, gone = both[keep], gone[keep]
-                yield _rows(k[both], c[both], doc[both], th[both], at[both], size[both], gone)
-
-    return rows.mapInArrow(run, _ROW)
-
-
-def sorted_out(rows: DataFrame) -> DataFrame:
-    """Rows of equal key brought together in order: kind 1 is a span to remove, kind 0 a context that differs from another of its anchor.
-
-    Sorted rows stream through, one batch at a time, so a key of any size needs no more memory than a batch.
-    """
+                yield first_here(k, c, doc, th, at, size)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["k", "c", "doc", "th", "at", "size"]
-        lead = None  # the first row of the content that goes on, and whether it was given out
-        for batch in batches:
-            known = batch.filter(pc.is_null(batch["k"]))
-            if known.num_rows:
-                yield _found(known["k"].fill_null(0).to_numpy(), *[known[x].to_numpy() for x in names[2:]], np.ones(known.num_rows, np.int32))
-            batch = batch.filter(pc.is_valid(batch["k"]))
-            if not batch.num_rows:
-                continue
-            x = [batch[y].to_numpy() for y in names]
-            given = False
-            if lead is not None:
-                x = [np.concatenate((p, y)) for p, y in zip(lead[0], x)]
-                given = lead[1]
-            k, c, doc, th, at, size = x
-            n = len(k)
-            content = np.ones(n, bool)
-            content[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-            head = np.flatnonzero(content)
-            own = head[np.cumsum(content) - 1]
-            later = ~content & ((doc != doc[own]) | (at != at[own]))
-            group = k[head] >> 24
-            differs = np.zeros(len(head), bool)
-            if len(head) > 1:
-                near = group[1:] == group[:-1]
-                differs[1:] |= near
-                differs[:-1] |= near
-            last = (differs[-1] or (given and len(head) == 1))
-            if given:
-                differs[0] = False
-            out = np.concatenate((np.flatnonzero(later), head[differs]))
-            kind = np.concatenate((np.ones(later.sum(), np.int32), np.zeros(differs.sum(), np.int32)))
-            if len(out):
-                yield _found(k[out], doc[out], th[out], at[out], size[out], kind)
-            lead = ([y[head[-1] : head[-1] + 1] for y in x], bool(last))
-
-    dealt = F.coalesce(F.shiftright("k", 24), F.xxhash64("doc", "at"))
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        rows.repartition(n, dealt).sortWithinPartitions("k", "c", "doc", "at").mapInArrow(run, "anchor bigint, doc bigint, th bigint, b bigint, e bigint, kind int")
-    )
-
-
-def _found(k, doc, th, at, size, kind) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(k >> 24, pa.int64()), pa.array(doc, pa.int64()), pa.array(th, pa.int64()), pa.array(at, pa.int64()), pa.array(at + size, pa.int64()), pa.array(kind, pa.int32())],
-        ["anchor", "doc", "th", "b", "e", "kind"],
-    )
+    return rows.mapInArrow(run, ROW)
 
 
 def _with_bytes(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -298,23 +209,23 @@ def whole_strings(cut: DataFrame, length: int) -> DataFrame:
                     # the whole 64 bits of one hash as the key, 32 of another beside it
                     k, c = h.view(np.int64), (mix(h ^ mix(total[start + length // 2] * back[start] - total[start] * back[start])) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                     doc, th, place = part["doc"].to_numpy()[context], part["th"].to_numpy()[context], part["b"].to_numpy()[context] + offset
-                    yield _rows(k, c, doc, th, place, np.full(len(k), length), np.zeros(len(k), bool))
+                    yield rows_of(k, c, doc, th, place, np.full(len(k), length), np.zeros(len(k), bool))
 
-    return cut.select("doc", "th", "b", "bytes").mapInArrow(run, _ROW)
+    return cut.select("doc", "th", "b", "bytes").mapInArrow(run, ROW)
 
 
 def repeated_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
     """Spans (doc_id, th, b, e), overlapping, that together are the bytes to remove."""
     th = text_key(docs)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), th).alias("doc"), th.alias("th"), "text")
-    out = saved(sorted_out(contexts(rows, length)), "contexts")
+    out = saved(sort_out(contexts(rows, length)), "contexts")
     spans = out.where("kind = 1").select("doc", "th", "b", "e")
     wanted = out.where("kind = 0")
     size = wanted.groupBy("anchor").agg((F.count("*") > LARGE).alias("large"))
     wanted = wanted.join(size, "anchor").select("anchor", "doc", "th", "b", "e", "large")
     cut = saved(cut_out(_with_bytes(rows, wanted)), "differing")
     spans = spans.union(factor_spans(cut.where("not large"), length))
-    large = sorted_out(whole_strings(cut.where("large"), length)).where("kind = 1")
+    large = sort_out(whole_strings(cut.where("large"), length)).where("kind = 1")
     return spans.union(large.select("doc", "th", "b", "e"))
 
 
