@@ -102,8 +102,8 @@ def write(pages: DataFrame, path: str | None = None, at_least: int = 0) -> DataF
     lines = planned.select("file", F.concat("head", "body").alias("value"), *order).repartition(files, "file").sortWithinPartitions("file", *order)
     lines.select("file", "value").write.partitionBy("file").option("lineSep", END).text(path)
     named = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
-        .select("file", F.col("path"))
+        spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path)
+        .select(F.regexp_extract("path", r"/file=(\d+)/", 1).cast("int").alias("file"), "path")
     )
     return index.join(named, "file").select("path", "offset", "length", "url", "digest", "page_id")
 
