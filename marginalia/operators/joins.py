@@ -18,9 +18,11 @@ class Stage:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.path = shared_dir(spark, "stage")
+        self.written = 0
 
     def __call__(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.path}/{name}"
+        self.written += 1
+        path = f"{self.path}/{self.written}-{name}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -76,9 +76,9 @@ def load_feed(store: Store, entries: DataFrame, dedupe_batch: bool = False, from
     stage = Stage(store.spark)
     try:
         posts = stage(entries_to_posts(entries), "feed")
-        load = (rebuild if from_scratch else append_new)(store, loadable(posts), dedupe_batch)
-        store.set_aside(quarantined(posts), load)
-        return load
+        # before the commit: a load that dies in between is repeated and replaces its own quarantine
+        store.set_aside(quarantined(posts), store.next_load())
+        return (rebuild if from_scratch else append_new)(store, loadable(posts), dedupe_batch)
     finally:
         stage.clear()
 

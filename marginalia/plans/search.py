@@ -279,15 +279,32 @@ def hits(pages: DataFrame, posts: DataFrame, highlights: DataFrame, ids_fit: boo
     )
 
 
+def keyed(requests: DataFrame) -> DataFrame:
+    """Each request row under a key of its own: its request_id and which of the rows with that id it is."""
+    same = Window.partitionBy("request_id").orderBy(*[c for c in requests.columns if c != "request_id"])
+    nth = F.row_number().over(same)
+    return requests.withColumn("_nth", nth).withColumn("request_id", F.struct(F.col("request_id").alias("id"), "_nth")).drop("_nth")
+
+
+def unkeyed(df: DataFrame) -> DataFrame:
+    return df.withColumn("request_id", F.col("request_id.id"))
+
+
+def _countable(parsed: DataFrame) -> DataFrame:
+    """Pages whose end no number can hold become one that is past any end: no rows, the true count."""
+    fits = F.try_multiply("page", "size").isNotNull()
+    return parsed.withColumns({"page": F.when(fits, F.col("page")).otherwise(2), "size": F.when(fits, F.col("size")).otherwise(1 << 61)})
+
+
 def search(requests: DataFrame, index: Index, exclude: str = "all", stage: Stage | None = None) -> Answers:
-    """Answer every request.
+    """Answer every request, each row by itself: rows that share a request_id each get their answer.
 
     With a `stage` the small middle results (what to look up, the pages' ids) are written
     to the shared folder first, so that Spark knows their size: small ones are broadcast
     and prune the postings' buckets and the posts' slices. Clear it after using the answers.
     """
     keep = stage or (lambda df, name: df)
-    parsed = keep(parse(requests), "requests")
+    parsed = keep(_countable(parse(keyed(requests))), "requests")
     parts = clauses(parsed)
     wanted = keep(lookups(parts, index), "lookups")
     # Without a stage nothing is run here, so any request might be a deep one.
@@ -304,4 +321,4 @@ def search(requests: DataFrame, index: Index, exclude: str = "all", stage: Stage
         .select("request_id", F.coalesce("total", F.lit(0).cast("bigint")).alias("total"))
     )
     responses = response_json(shown.select("request_id", "rank", *HIT_COLUMNS), totals).unionByName(error_json(parsed))
-    return Answers(parsed, pages, totals, shown, responses)
+    return Answers(*map(unkeyed, (parsed, pages, totals, shown, responses)))

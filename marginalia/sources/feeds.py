@@ -32,7 +32,7 @@ def _or_empty(c: Column) -> Column:
 
 
 def entries_to_posts(entries: DataFrame) -> DataFrame:
-    """One post per entry, with `problem` set where the entry cannot be loaded.
+    """One post per entry, with `problem` set where the entry cannot be loaded, and what the feed said in raw_published and raw_entry.
 
     The last link and the first category count; further categories are tags. The XML
     source has decoded the title already, so it is taken as it is.
@@ -54,11 +54,13 @@ def entries_to_posts(entries: DataFrame) -> DataFrame:
         F.when(F.col("_corrupt_record").isNotNull(), F.lit("broken entry"))
         .when(date.isNull(), F.lit("bad publish time"))
         .alias("problem"),
+        F.col("published").alias("raw_published"),
+        F.col("_corrupt_record").alias("raw_entry"),
     )
 
 
 def loadable(posts: DataFrame) -> DataFrame:
-    return posts.where(F.col("problem").isNull()).drop("problem")
+    return posts.where(F.col("problem").isNull()).drop("problem", "raw_published", "raw_entry")
 
 
 def quarantined(posts: DataFrame) -> DataFrame:

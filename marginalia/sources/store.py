@@ -98,8 +98,16 @@ class Store:
     def last_doc_id(self) -> int:
         return self._state()[1]
 
+    def next_load(self) -> int:
+        return self._state()[0] + 1
+
+    def quarantine(self) -> DataFrame:
+        """Rejected entries of all committed loads, with the reason and what the feed said."""
+        path = f"{self.path}/quarantine"
+        return self.spark.read.parquet(path).join(self.loads().select("load"), "load", "left_semi")
+
     def table(self, name: str) -> DataFrame:
-        """A table's committed loads; the others' folders are never listed into the scan."""
+        """A table's committed loads; the others' folders are listed, then left out of the scan."""
         return self._read(name).where(F.col("load").isin(self._state()[3]))
 
     def posts(self) -> DataFrame:

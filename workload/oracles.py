@@ -130,13 +130,15 @@ ALL = "len(excluded)"
 
 # Fragment starts by recursion: the next fragment begins with the first token that would not fit.
 FRAGMENTS = r""",
+next_start AS MATERIALIZED (
+  SELECT t.doc_id, t.field, t.byte_from AS start, greatest(n.byte_from, t.own_next) AS after
+  FROM (SELECT *, byte_from + 300 AS full_at, lead(byte_from) OVER (PARTITION BY doc_id, field ORDER BY ord) AS own_next FROM tokens) t
+  ASOF JOIN tokens n ON t.doc_id = n.doc_id AND t.field = n.field AND t.full_at < n.byte_to),
 frag(doc_id, field, fragment, start) AS (
   SELECT doc_id, field, 0, 0::BIGINT FROM tokens WHERE ord = 0
   UNION ALL
-  SELECT f.doc_id, f.field, f.fragment + 1, min(t.byte_from)
-  FROM frag f JOIN tokens t ON t.doc_id = f.doc_id AND t.field = f.field
-  WHERE t.byte_from > f.start AND t.byte_to - f.start > 300
-  GROUP BY ALL),
+  SELECT f.doc_id, f.field, f.fragment + 1, x.after
+  FROM frag f JOIN next_start x ON x.doc_id = f.doc_id AND x.field = f.field AND x.start = f.start WHERE x.after > f.start),
 placed AS MATERIALIZED (
   SELECT t.*, f.fragment, f.start
   FROM tokens t ASOF JOIN frag f ON t.doc_id = f.doc_id AND t.field = f.field AND t.byte_from >= f.start)"""
@@ -280,7 +282,10 @@ ORACLES = {
     "feed_posts": f"""WITH {POSTS} SELECT url, title, {decoded(CLEAN.replace("(html,", "(content,"))} AS content, date_s, category,
         array_to_string(tags, ',') AS tags FROM posts""",
     "load_new_only": _unlabelled("doc_id, url, title, date_s, array_to_string(tags, ',') AS tags"),
-    "load_report": _unlabelled("count(*) AS added"),
+    "load_report": """SELECT 1 AS load, count(*) AS added FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)
+        UNION ALL SELECT 2, count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
+    "feed_quarantine": f"""WITH {POSTS} SELECT url, 'bad publish time' AS problem,
+        strftime(make_timestamp(date_s * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS raw_published, title FROM posts WHERE regexp_matches(url, '[0369]$')""",
     "url_split": r"""SELECT page_id, regexp_matches(url, 'https://(.*?)(/.*)') AS ok,
         regexp_extract(url, 'https://(.*?)(/.*)', 1) AS host, regexp_extract(url, 'https://(.*?)(/.*)', 2) AS path FROM pages""",
     "html_strip": f"SELECT page_id, {STRIP} AS text FROM pages",

@@ -63,7 +63,20 @@ def load_new_only(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def load_report(spark: SparkSession, sf: str) -> DataFrame:
-    return ingest.only_new(corpus.posts(spark, sf), _committed(spark, sf)).agg(F.count("*").alias("added"))
+    """Two loads: the labelled posts, then all; the second adds what is new."""
+    store = Store(spark, shared_dir(spark, "report"))
+    ingest.append_new(store, _committed(spark, sf).drop("doc_id"))
+    ingest.append_new(store, corpus.posts(spark, sf).drop("doc_id"))
+    return ingest.load_report(store).select("load", "added")
+
+
+def feed_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries of the feed whose publish time has no offset, kept with what the feed said."""
+    store = Store(spark, shared_dir(spark, "quarantine"))
+    entries = feeds.read_feeds(spark, inputs.feed_files(spark, sf))
+    cut = F.regexp_replace("published", r"\+00:00$", "Z")
+    ingest.load_feed(store, entries.withColumn("published", F.when(F.get("link._href", F.lit(0)).rlike("[0369]$"), cut).otherwise(F.col("published"))))
+    return store.quarantine().select("url", "problem", "raw_published", "title")
 
 
 def url_split(spark: SparkSession, sf: str) -> DataFrame:
@@ -384,6 +397,7 @@ QUERIES = {
         feed_posts,
         load_new_only,
         load_report,
+        feed_quarantine,
         url_split,
         html_strip,
         html_clean,
