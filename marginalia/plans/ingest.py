@@ -53,11 +53,15 @@ def number(new: DataFrame, after: int, stage: Stage) -> DataFrame:
 
 
 def append_new(store: Store, batch: DataFrame, dedupe_batch: bool = False) -> int:
-    """Add the batch's new posts and their index entries as one load; returns its number."""
+    """Add the batch's new posts and their index entries as one load; returns its number.
+
+    A load without new posts leaves a report and nothing else.
+    """
     stage = Stage(store.spark)
     try:
         staged = stage(one_per_url(batch) if dedupe_batch else batch, "batch")
-        return store.add(number(only_new(staged, store.posts()), store.last_doc_id(), stage))
+        new = number(only_new(staged, store.posts()), store.last_doc_id(), stage)
+        return store.report_nothing() if new.isEmpty() else store.add(new)
     finally:
         stage.clear()
 
@@ -75,7 +79,7 @@ def load_feed(store: Store, entries: DataFrame, dedupe_batch: bool = False, from
     """Feed entries to stored posts. Entries that cannot be loaded are kept in the quarantine."""
     stage = Stage(store.spark)
     try:
-        posts = stage(entries_to_posts(entries), "feed")
+        posts = stage(entries_to_posts(entries, raw=True), "feed")
         # before the commit: a load that dies in between is repeated and replaces its own quarantine
         store.set_aside(quarantined(posts), store.next_load())
         return (rebuild if from_scratch else append_new)(store, loadable(posts), dedupe_batch)
@@ -88,6 +92,14 @@ def compact(store: Store) -> int:
     return store.add(store.posts(), replace=True)
 
 
+def vacuum(store: Store) -> int:
+    """Delete what no load that counts needs: loads before the last rebuild, and loads that died. Returns the folders deleted.
+
+    Not while a search or a load is running.
+    """
+    return store.vacuum()
+
+
 def load_report(store: Store) -> DataFrame:
     """Time (UTC) and number of newly added posts of each load."""
     return store.loads().select("load", "at", "added")

@@ -31,8 +31,10 @@ def _or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-def entries_to_posts(entries: DataFrame) -> DataFrame:
-    """One post per entry, with `problem` set where the entry cannot be loaded, and what the feed said in raw_published and raw_entry.
+def entries_to_posts(entries: DataFrame, raw: bool = False) -> DataFrame:
+    """One post per entry, with `problem` set where the entry cannot be loaded.
+
+    With `raw` also what the feed said, in raw_published and raw_entry.
 
     The last link and the first category count; further categories are tags. The XML
     source has decoded the title already, so it is taken as it is.
@@ -54,8 +56,7 @@ def entries_to_posts(entries: DataFrame) -> DataFrame:
         F.when(F.col("_corrupt_record").isNotNull(), F.lit("broken entry"))
         .when(date.isNull(), F.lit("bad publish time"))
         .alias("problem"),
-        F.col("published").alias("raw_published"),
-        F.col("_corrupt_record").alias("raw_entry"),
+        *([F.col("published").alias("raw_published"), F.col("_corrupt_record").alias("raw_entry")] if raw else []),
     )
 
 

@@ -152,6 +152,35 @@ class Store:
         self._write("loads", load, report, [])
         return load
 
+    def report_nothing(self) -> int:
+        """A load that added nothing: its report alone."""
+        last, max_id, known, live = self._state()
+        row = self.spark.range(1).select(
+            F.current_timestamp().alias("at"),
+            F.lit(0).cast("bigint").alias("added"),
+            F.lit(max_id).cast("bigint").alias("max_doc_id"),
+            F.lit(known or 1).alias("buckets"),
+            F.lit(False).alias("replaces"),
+        )
+        if known is None:  # the first posts choose the buckets
+            return self.add(self.posts())
+        self._write("loads", last + 1, row, [])
+        return last + 1
+
+    def vacuum(self) -> int:
+        """Delete the folders of loads that are superseded or were never committed; the reports stay."""
+        live = set(self._state()[3])
+        jvm, hadoop = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        deleted = 0
+        for table in set(_SCHEMAS) - {"loads"}:
+            root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
+            files = root.getFileSystem(hadoop)
+            for status in files.listStatus(root) if files.exists(root) else []:
+                name = status.getPath().getName()
+                if name.startswith("load=") and int(name[5:]) not in live:
+                    deleted += bool(files.delete(status.getPath(), True))
+        return deleted
+
     def set_aside(self, rows: DataFrame, load: int) -> None:
         """Keep a load's rejected rows beside the corpus."""
         rows.write.mode("overwrite").parquet(f"{self.path}/quarantine/load={load}")
