@@ -5,26 +5,67 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.functions.cleaning import clean_html, normalise_tags, parse_published
+from marginalia.functions.cleaning import ENTITIES, clean_html, normalise_tags, parse_published
 from marginalia.schema import FEED_ENTRY
 
-_OPTIONS = {"rowTag": "entry", "ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+# An entry's opening tag starts a row, so a feed file of any size is cut up and shared out like lines of text.
+_START = "<entry"
+_OPTIONS = {"ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+_UNDEFINED = r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9A-Fa-f]+);)"
+
+
+def _defined(text: Column) -> Column:
+    """Named entities of the table as characters; any other ampersand that XML does not define stands for itself."""
+    for name, char in ENTITIES.items():
+        if not name.startswith("#") and name not in ("amp", "gt", "lt", "quot"):
+            text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+    return F.regexp_replace(text, _UNDEFINED, "&amp;")
+
+
+def mended(entry: Column) -> Column:
+    """An entry's text with entities that XML does not define resolved, its CDATA sections untouched."""
+    opens, closes = "<![CDATA[", "]]>"
+    parts = F.split(entry, r"<!\[CDATA\[")
+
+    def section(part: Column) -> Column:
+        inside = F.substring_index(part, closes, 1)
+        return F.concat(inside, _defined(F.substr(part, F.length(inside) + 1)))
+
+    rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), section)
+    return F.array_join(F.concat(F.array(_defined(F.get(parts, F.lit(0)))), rest), opens)
+
+
+def cut_entries(pieces: DataFrame) -> DataFrame:
+    """Entries from a column `value` of texts that were cut where entries start.
+
+    Every entry is read by itself, up to the last closing tag, so a broken one costs no other. One that is
+    not XML is read again with its entities mended; if that fails too, or no closing tag is left, only
+    `_corrupt_record` is set. What stands before the first entry and between entries is left out.
+    """
+    closed = F.regexp_extract("value", r"(?s)^[\s>].*</entry\s*>", 0)
+    around = (F.regexp_replace("value", r"\s+", "") == "") | F.col("value").rlike(r"<feed[\s>]")
+    opened = F.when(F.col("value").rlike(r"^[\s>/]"), F.concat(F.lit(_START), "value")).otherwise(F.col("value"))
+    entries = pieces.select("value", closed.alias("closed")).where((F.col("closed") != "") | ~around)
+    entries = entries.select(F.when(F.col("closed") != "", F.concat(F.lit(_START), "closed")).otherwise(opened).alias("raw"))
+    first = entries.select("raw", F.from_xml("raw", FEED_ENTRY, _OPTIONS).alias("e"))
+    broken = F.col("e._corrupt_record").isNotNull() | F.col("e").isNull()
+    again = F.from_xml(F.when(broken, mended(F.col("raw"))), FEED_ENTRY, _OPTIONS)
+    second = first.select("raw", "e", broken.alias("broken"), again.alias("again"))
+    lost = F.col("broken") & (F.col("again._corrupt_record").isNotNull() | F.col("again").isNull())
+    whole = F.when(F.col("broken"), F.col("again")).otherwise(F.col("e"))
+    fields = [F.when(~lost, whole[f]).alias(f) for f in FEED_ENTRY.names if f != "_corrupt_record"]
+    return second.select(*fields, F.when(lost, F.col("raw")).alias("_corrupt_record"))
 
 
 def read_feeds(spark: SparkSession, path: str) -> DataFrame:
     """Every <entry> of every feed file below `path`; broken ones keep only `_corrupt_record`."""
-    return spark.read.schema(FEED_ENTRY).options(**_OPTIONS).format("xml").load(path)
+    return cut_entries(spark.read.option("lineSep", _START).text(path))
 
 
 def stream_feeds(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """The same rows as a stream that picks up each new feed file once."""
-    return (
-        spark.readStream.schema(FEED_ENTRY)
-        .options(**_OPTIONS)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .format("xml")
-        .load(path)
-    )
+    files = spark.readStream.option("lineSep", _START).option("maxFilesPerTrigger", files_per_batch)
+    return cut_entries(files.text(path))
 
 
 def _or_empty(c: Column) -> Column:

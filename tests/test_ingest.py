@@ -69,6 +69,38 @@ def test_escaped_content_is_taken_too(spark, tmp_path):
     assert posts_of(spark, tmp_path).first().content == "x"
 
 
+def test_entities_xml_does_not_define(spark, tmp_path):
+    write(tmp_path, "a.xml", entry("u1", title="a &hellip; b &amp;hellip; AT&T &foo;", content="x &nbsp; y &lt; &hellip;"), entry("u2"))
+    rows = {r.url: r for r in posts_of(spark, tmp_path).collect()}
+    assert rows["u1"].title == "a … b &hellip; AT&T &foo;" and rows["u1"].problem is None
+    assert rows["u1"].content == "x  y < …"  # CDATA is read as it stands and decoded like any content
+    assert rows["u2"].title == "T" and len(rows) == 2
+
+
+def test_a_broken_entry_costs_no_other(spark, tmp_path):
+    bad = "<entry><title>bad<title></entry>"
+    write(tmp_path, "a.xml", entry("u1"), bad, entry("u2"), "\n", entry("u3"))
+    (tmp_path / "b.xml").write_text("<feed><title>no entries</title></feed>\n")
+    (tmp_path / "c.xml").write_text("")
+    (tmp_path / "d.xml").write_text("<feed>" + entry("u4", content="a </entry> b") + entry("u6", content="a <entry> b") + entry("u5")[:40])
+    rows = feeds.entries_to_posts(feeds.read_feeds(spark, str(tmp_path)), raw=True).collect()
+    assert sorted(r.url for r in rows if r.problem is None) == ["u1", "u2", "u3", "u4"]
+    kept = "".join(sorted((r.raw_entry for r in rows if r.problem), key=len))
+    assert bad in kept and "u6" in kept and "<entry> b]]></content>" in kept and entry("u5")[:40] in kept
+
+
+def test_one_file_is_read_by_several_tasks(spark, tmp_path):
+    write(tmp_path, "a.xml", *[entry(f"u{i}", content="x" * 5000) for i in range(300)])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+        df = feeds.read_feeds(spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() > 3
+        assert df.select(F.get("link._href", F.lit(0)).alias("u")).distinct().count() == 300
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def load(store, spark, folder, **kw):
     return ingest.load_feed(store, feeds.read_feeds(spark, str(folder)), **kw)
 
