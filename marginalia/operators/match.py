@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import search_tokens
@@ -11,6 +13,7 @@ from marginalia.operators.joins import spread_join
 from marginalia.operators.rank import bm25, idf
 
 LOOKUP_KEY = ["kind", "word", "field"]
+PUSHED_TOKENS, PUSHED_BYTES = 1000, 256  # up to so many tokens of so many bytes are named in the scan's filter
 
 
 def bucket(token: Column, buckets: int) -> Column:
@@ -18,12 +21,33 @@ def bucket(token: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
 
-def lookups(words: DataFrame, index: Index) -> DataFrame:
+def narrowed(index: Index, words: DataFrame) -> Index:
+    """The index with the tokens of `words` named in the filters of its scans, if they are few.
+
+    Postings and document frequencies are sorted by token, so most row groups are then passed over. With
+    more tokens the index stays as it is; the joins that follow give the same rows either way.
+    """
+    parts = F.when(F.col("kind") == "text", search_tokens(F.col("word"))).otherwise(F.array("word"))
+    token = words.select(F.explode(parts).alias("token")).distinct()
+    short = F.when(F.octet_length("token") <= PUSHED_BYTES, F.col("token"))
+    known = token.select(short.alias("token"), bucket(F.col("token"), index.buckets).alias("bucket"))
+    rows = known.limit(PUSHED_TOKENS + 1).collect()
+    if len(rows) > PUSHED_TOKENS or any(r.token is None for r in rows):
+        return index
+    named = F.col("token").isin([r.token for r in rows])
+    stored = F.col("bucket").isin(sorted({r.bucket for r in rows})) if index.buckets > 1 else F.lit(True)
+    return replace(index, postings=index.postings.where(named & stored), doc_freq=index.doc_freq.where(named))
+
+
+def lookups(words: DataFrame, index: Index, any_case: bool = False) -> DataFrame:
     """What to look up for each distinct (kind, word): one row per field.
 
     kind `text` is a keyword, searched in title and content and cut into tokens; any
     other kind names an exact field. `terms` holds the tokens with their byte offsets
     in the word; `anchor` is the rarest one, from which matching starts.
+
+    With `any_case` a category stands for every stored spelling of it: one row per spelling,
+    weighed by the documents of all of them together.
     """
     text = F.col("kind") == "text"
     cut_words = words.select("kind", "word").distinct().select(
@@ -32,6 +56,11 @@ def lookups(words: DataFrame, index: Index) -> DataFrame:
         F.explode(F.when(text, F.array(*map(F.lit, TEXT_FIELDS))).otherwise(F.array("kind"))).alias("field"),
         F.when(text, search_tokens(F.col("word"))).otherwise(F.array("word")).alias("parts"),
     )
+    if any_case:
+        spelt = index.doc_freq.where("field = 'category'").select(F.col("token").alias("spelling")).distinct()
+        stored = cut_words.where("kind = 'category'").drop("parts").join(spelt, F.lower("spelling") == F.col("word"))
+        stored = stored.select(*LOOKUP_KEY, F.array("spelling").alias("parts"))
+        cut_words = cut_words.where("kind <> 'category'").unionByName(stored)
     placed = cut_words.select(
         *LOOKUP_KEY, F.size("parts").alias("n"), "parts", F.posexplode("parts").alias("i", "token")
     ).withColumn(
@@ -45,24 +74,33 @@ def lookups(words: DataFrame, index: Index) -> DataFrame:
     )
     known = placed.drop("parts").join(freq, ["field", "token"], "left").join(F.broadcast(index.field_stats), "field")
     df = F.coalesce("df", F.lit(0).cast("bigint"))
-    return known.groupBy(*LOOKUP_KEY, "n").agg(
+    spelling = []
+    if any_case:
+        exact = F.col("kind") == "category"
+        together = F.sum("df").over(Window.partitionBy(*LOOKUP_KEY, "i"))
+        known = known.withColumns({"df": F.when(exact, together).otherwise(F.col("df")), "spelling": F.when(exact, F.col("token"))})
+        spelling = ["spelling"]
+    looked_up = known.groupBy(*LOOKUP_KEY, "n", *spelling).agg(
         F.min(df).alias("min_df"),
         F.round(F.sum(idf(F.col("n_docs"), df)), 12).alias("idf"),
         F.first("avgdl").alias("avgdl"),
         F.min_by("token", F.struct(df, F.col("i"))).alias("anchor"),
         F.sort_array(F.collect_list(F.struct("i", "offset", "token", df.alias("df")))).alias("terms"),
     )
+    return looked_up.drop(*spelling)
 
 
-def field_matches(index: Index, wanted: DataFrame, fits: bool = False) -> DataFrame:
+def field_matches(index: Index, wanted: DataFrame, fits: bool = False, phrases: bool = True) -> DataFrame:
     """kind, word, field, doc_id, date, tf and score part: one row per document and field that matches.
 
-    `fits`: the lookups were counted and are few enough to broadcast.
+    `fits`: the lookups were counted and are few enough to broadcast. `phrases`: words of several tokens may
+    be among them; without, their steps are not planned.
     """
     found = wanted.where("min_df > 0").withColumn("bucket", bucket(F.col("anchor"), index.buckets))
     keep = [*LOOKUP_KEY, "doc_id", "date", "dl", "tf", "idf", "avgdl"]
-    single = _at_anchor(index, found.where("n = 1"), fits, "tf")
-    hits = single.select(*keep).unionByName(_phrases(index, found, fits).select(*keep))
+    hits = _at_anchor(index, found.where("n = 1"), fits, "tf").select(*keep)
+    if phrases:
+        hits = hits.unionByName(_phrases(index, found, fits).select(*keep))
     part = bm25(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"))
     return hits.select(*LOOKUP_KEY, "doc_id", "date", "tf", part.alias("score"))
 
@@ -110,34 +148,35 @@ def _phrases(index: Index, found: DataFrame, fits: bool) -> DataFrame:
         .drop("positions", "anchor", "at", "again")
     )
     facts = ("date", "dl", "idf", "avgdl")
-    same = checked.where("size(terms) = 0").select(*LOOKUP_KEY, "doc_id", *facts, "starts")
     shift = F.col("t.offset")
     # The shorter list goes second: it is the one that is hashed. The result is moved back
     # only in the grouping, which leaves this step to compiled code.
     stands = F.array_intersect("positions", F.transform("starts", lambda s: s + shift))
     kept = F.transform("stands", lambda p: p - shift)
+    alone = F.when(F.col("n_terms") == 0, F.col("starts"))  # the anchor is the word's only token, repeated
     met = (
         checked.withColumn("n_terms", F.size("terms"))
-        .withColumn("t", F.explode("terms"))
+        .withColumn("t", F.explode_outer("terms"))
         .drop("terms")
         .withColumn("token", F.col("t.token"))
-        .join(others.drop("bucket"), ["field", "token", "doc_id"])
+        .join(others.drop("bucket"), ["field", "token", "doc_id"], "left")
         .withColumn("stands", stands)
         .groupBy(*LOOKUP_KEY, "doc_id", "n_terms")
-        .agg(F.collect_list(kept).alias("lists"), *[F.first(c).alias(c) for c in facts])
+        .agg(F.collect_list(kept).alias("lists"), F.first(alone).alias("alone"), *[F.first(c).alias(c) for c in facts])
         .where("size(lists) = n_terms")
     )
     common = F.aggregate(
         F.slice("lists", 2, F.size("lists")), F.get("lists", F.lit(0)), lambda a, b: F.array_intersect(a, b)
     )
-    met = met.select(*LOOKUP_KEY, "doc_id", *facts, common.alias("starts"))
-    return met.unionByName(same).withColumn("tf", F.size("starts").cast("bigint")).where("tf > 0")
+    starts = F.coalesce(F.when(F.col("n_terms") > 0, common), F.col("alone"))
+    met = met.select(*LOOKUP_KEY, "doc_id", *facts, starts.alias("starts"))
+    return met.withColumn("tf", F.size("starts").cast("bigint")).where("tf > 0")
 
 
-def word_matches(index: Index, wanted: DataFrame, fits: bool = False) -> DataFrame:
+def word_matches(index: Index, wanted: DataFrame, fits: bool = False, phrases: bool = True) -> DataFrame:
     """kind, word, doc_id, date, score: a word matches if any of its fields does; parts add up."""
     return (
-        field_matches(index, wanted, fits)
+        field_matches(index, wanted, fits, phrases)
         .groupBy("kind", "word", "doc_id")
         .agg(F.first("date").alias("date"), F.sum("score").alias("score"))
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marginalia.functions.text import date_text
 from marginalia.operators.index import Index
 from marginalia.operators.joins import Stage, slot, spread_join, top_in_slots
-from marginalia.operators.match import lookups, word_matches
+from marginalia.operators.match import lookups, narrowed, word_matches
 from marginalia.operators.respond import HIT_COLUMNS, error_json, response_json
 from marginalia.operators.snippet import snippets
 from marginalia.sources.requests import parse
@@ -19,6 +19,7 @@ from marginalia.sources.store import SLICE_DOCS
 DAY = 86400
 DEEP = 1000  # pages that end further down than this are found through counts per cell
 BROADCAST_CLAUSES = 100_000  # rows of a word and a few numbers: some megabytes
+BROADCAST_BYTES = 64 << 20  # and the words and tokens in them
 BROADCAST_IDS = 2_000_000  # two longs each: some tens of megabytes at most
 
 
@@ -81,18 +82,18 @@ def in_range(date: str, lo: int, hi: int) -> Column:
 
 
 def matches(
-    index: Index, wanted: DataFrame, parts: DataFrame, exclude: str = "all", fits: bool = False
+    index: Index, wanted: DataFrame, parts: DataFrame, exclude: str = "all", fits: bool = False, phrases: bool = True
 ) -> DataFrame:
     """request_id, slot, doc_id, key, cell, score, page, size: all documents that satisfy a request.
 
     Documents satisfy every required word and filter, lie in the date range and, with
     exclude="all", do not hold all excluded words ("any": do not hold any of them).
     The rows are spread by request and slot, which the final ranking reuses. `fits`: lookups
-    and clauses were counted and are few enough to broadcast.
+    and clauses were counted and are few enough to broadcast; `phrases`: some word has several tokens.
     """
     if exclude not in ("all", "any"):
         raise ValueError("exclude is 'all' or 'any'")
-    found = spread_join(parts, word_matches(index, wanted, fits), ["kind", "word"], "doc_id", fits)
+    found = spread_join(parts, word_matches(index, wanted, fits, phrases), ["kind", "word"], "doc_id", fits)
     part = F.when(F.col("role") == "excluded", 0.0).otherwise(F.col("score"))
     n = lambda role: F.count_if(F.col("role") == role).alias(f"n_{role}")
     request = ("w_must", "w_excluded", "w_filter", "ranged", "page", "size")
@@ -145,21 +146,12 @@ def shallow_pages(found: DataFrame) -> DataFrame:
     return ranked.where(on_page | (F.col("rank") == 1)).select("request_id", *shown, "total")
 
 
-def cell_pages(cells: DataFrame, rows: DataFrame, keys: list[str], order: list[Column], keep: Column | None = None) -> DataFrame:
+def cell_pages(on_page: DataFrame, totals: DataFrame, rows: DataFrame, keys: list[str], order: list[Column], keep: Column | None = None) -> DataFrame:
     """Pages at any depth: only the rows that share a cell with the page are ranked.
 
-    `cells` counts each request's matches (`n`) per cell of the sort key, higher cells
-    first; the running counts tell which cells the page lies in and how many rows stand
-    before them. `rows` are joined to those by `keys` and may be filtered by `keep`.
+    `on_page` names the cells each request's page lies in and how many of its matches stand `before`
+    the first of them; `rows` are joined to those by `keys` and may be filtered by `keep`.
     """
-    higher = Window.partitionBy("request_id").orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
-    counted = cells.withColumn("before", F.coalesce(F.sum("n").over(higher), F.lit(0)))
-    reached = (F.col("before") < _skip() + F.col("size")) & (F.col("before") + F.col("n") > _skip())
-    on_page = (
-        counted.where(reached)
-        .withColumn("before", F.min("before").over(Window.partitionBy("request_id")))
-        .drop("n", "n_part", "part")
-    )
     near = spread_join(on_page, rows, keys, "doc_id").where(F.lit(True) if keep is None else keep)
     spread = near.withColumn("slot", slot(F.col("doc_id"), rows)).repartition("request_id", "slot")
     ranked = top_in_slots(spread, order, _skip() + F.col("size") - F.col("before")).withColumn(
@@ -167,7 +159,6 @@ def cell_pages(cells: DataFrame, rows: DataFrame, keys: list[str], order: list[C
     )
     shown = ranked.where((F.col("rank") > _skip()) & (F.col("rank") <= _skip() + F.col("size")))
     score = F.col("score") if "score" in rows.columns else F.lit(None).cast("double")
-    totals = counted.groupBy("request_id").agg(F.sum("n").cast("bigint").alias("total"))
     blank = {"rank": "bigint", "doc_id": "bigint", "score": "double"}
     return shown.select("request_id", "rank", "doc_id", score.alias("score"), F.lit(None).cast("bigint").alias("total")).unionByName(
         totals.select("request_id", *[F.lit(None).cast(t).alias(c) for c, t in blank.items()], "total")
@@ -177,8 +168,14 @@ def cell_pages(cells: DataFrame, rows: DataFrame, keys: list[str], order: list[C
 def deep_pages(found: DataFrame) -> DataFrame:
     """Pages far from the start. The matches are used twice; Spark reuses their exchange."""
     cells = found.groupBy("request_id", "page", "size", "cell").agg(F.count("*").alias("n"))
+    higher = Window.partitionBy("request_id").orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
+    counted = cells.withColumn("before", F.coalesce(F.sum("n").over(higher), F.lit(0)))
+    reached = (F.col("before") < _skip() + F.col("size")) & (F.col("before") + F.col("n") > _skip())
+    first = F.min("before").over(Window.partitionBy("request_id"))
+    on_page = counted.where(reached).withColumn("before", first).drop("n")
+    totals = counted.groupBy("request_id").agg(F.sum("n").cast("bigint").alias("total"))
     rows = found.drop("page", "size", "slot")
-    return cell_pages(cells, rows, ["request_id", "cell"], [F.desc("key"), F.col("doc_id")])
+    return cell_pages(on_page, totals, rows, ["request_id", "cell"], [F.desc("key"), F.col("doc_id")])
 
 
 def word_pages(found: DataFrame, any_deep: bool = False) -> DataFrame:
@@ -192,38 +189,58 @@ def word_pages(found: DataFrame, any_deep: bool = False) -> DataFrame:
 def browse_pages(parsed: DataFrame, index: Index) -> DataFrame:
     """Pages of the requests that name a date range only, newest first.
 
-    The cells are days. Posts per day are counted at load time; a range's days and their
-    counts give its total and the days of its page, and only those days' posts are
-    ranked. Days that a range cuts through are counted from their posts.
+    The cells are days. Posts per day are counted at load time; their running totals, one entry per day
+    that has posts, tell each request its total and the days of its page, and only those days' posts
+    are ranked. The days that a range's two ends cut through are counted from their posts.
     """
     dated = index.posts.select("doc_id", "date", day_of(F.unix_timestamp("date")).alias("cell"))
-    days = index.days.groupBy(F.col("day").alias("cell")).agg(F.sum("n").alias("n"))
+    daily = index.days.groupBy(F.col("day").alias("cell")).agg(F.sum("n").alias("n"))
+    newer = daily.withColumn("upto", F.sum("n").over(Window.orderBy(F.desc("cell"))))
+    days = newer.agg(F.sort_array(F.collect_list(F.struct("cell", "n", "upto"))).alias("days")).scalar()
     wanted = parsed.where("error is null").where((F.size("must") == 0) & (F.size("filters") == 0))
-    first = F.greatest(day_of(F.col("lo")), days.select(F.min("cell")).scalar())
-    last = F.least(day_of(F.col("hi")), days.select(F.max("cell")).scalar())
-    spans = wanted.select("request_id", "page", "size", "lo", "hi", first.alias("first"), last.alias("last"))
-    start = F.col("cell") * DAY
-    cells = (
-        spans.where("first <= last")
-        .select("request_id", "page", "size", "lo", "hi", F.explode(F.sequence("first", "last")).alias("cell"))
-        .join(days, "cell")
-        .withColumn(
-            "part", F.coalesce(F.col("lo") > start, F.lit(False)) | F.coalesce(F.col("hi") < start + DAY - 1, F.lit(False))
-        )
+    cut_lo = F.when(F.pmod("lo", F.lit(DAY)) != 0, day_of(F.col("lo")))
+    cut_hi = F.when(F.pmod("hi", F.lit(DAY)) != DAY - 1, day_of(F.col("hi")))
+    spans = wanted.select(
+        "request_id", "page", "size", "lo", "hi",
+        F.array_distinct(F.array_compact(F.array(cut_lo, cut_hi))).alias("cut"),
+        days.alias("days"),
     )
     inside = _within(F.col("date"), F.col("lo"), F.col("hi"))
     edges = (
-        spread_join(cells.where("part").select("request_id", "cell", "lo", "hi"), dated, ["cell"], "doc_id")
+        spread_join(spans.select("request_id", "lo", "hi", F.explode("cut").alias("cell")), dated, ["cell"], "doc_id")
         .where(inside)
         .groupBy("request_id", "cell")
-        .agg(F.count("*").alias("n_part"))
+        .agg(F.count("*").alias("n"))
+        .groupBy("request_id")
+        .agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("parts"))
     )
-    counted = (
-        cells.join(edges, ["request_id", "cell"], "left")
-        .withColumn("n", F.when(F.col("part"), F.coalesce("n_part", F.lit(0))).otherwise(F.col("n")))
-        .where("n > 0")
+
+    def of_range(day: Column) -> Column:
+        """How many of a day's posts the range holds."""
+        part = F.coalesce(F.element_at("parts", day["cell"]), F.lit(0))
+        return F.when(F.array_contains("cut", day["cell"]), part).otherwise(day["n"])
+
+    above = lambda d: F.coalesce(d["cell"] >= day_of(F.col("lo")), F.lit(True))
+    below = lambda d: F.coalesce(d["cell"] <= day_of(F.col("hi")), F.lit(True))
+    span = F.filter("days", lambda d: above(d) & below(d))
+    old, new = F.col("old"), F.col("new")
+    before = lambda d: d["upto"] - d["n"] - F.col("base") - F.when(d["cell"] < new["cell"], F.col("lost")).otherwise(0)
+    placed = (
+        spans.join(edges, "request_id", "left")
+        .withColumn("span", span)
+        .where("size(span) > 0")
+        .withColumns({"old": F.element_at("span", 1), "new": F.element_at("span", -1)})
+        .withColumns({"base": new["upto"] - new["n"], "lost": new["n"] - of_range(new)})
+        .withColumn("days", F.transform("span", lambda d: F.struct(d["cell"].alias("cell"), before(d).alias("before"), of_range(d).alias("n"))))
+        .withColumn("total", F.get("days", F.lit(0))["before"] + F.get("days", F.lit(0))["n"])
+        .drop("span", "old", "new", "base", "lost", "parts", "cut")
     )
-    return cell_pages(counted, dated, ["cell"], [F.desc("date"), F.col("doc_id")], inside)
+    end = _skip() + F.col("size")
+    on_page = F.filter("days", lambda d: (d["before"] < end) & (d["before"] + d["n"] > _skip()))
+    reached = placed.withColumn("days", on_page).withColumn("before", F.array_min("days.before"))
+    cells = reached.select("request_id", "page", "size", "lo", "hi", "before", F.explode("days.cell").alias("cell"))
+    totals = placed.where("total > 0").select("request_id", F.col("total").cast("bigint").alias("total"))
+    return cell_pages(cells, totals, dated, ["cell"], [F.desc("date"), F.col("doc_id")], inside)
 
 
 def weights(parts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -296,22 +313,51 @@ def _countable(parsed: DataFrame) -> DataFrame:
     return parsed.withColumns({"page": F.when(fits, F.col("page")).otherwise(2), "size": F.when(fits, F.col("size")).otherwise(1 << 61)})
 
 
-def search(requests: DataFrame, index: Index, exclude: str = "all", stage: Stage | None = None) -> Answers:
+def _occurring(parsed: DataFrame) -> dict:
+    """What kinds of requests there are: numbers of each, and the size of their words."""
+    words, filters = F.concat("must", "excluded"), F.size("filters")
+    size = F.octet_length(F.array_join(words, "")) + F.coalesce(F.octet_length(F.array_join("filters.value", "")), F.lit(0))
+    browse = (F.size("must") == 0) & (filters == 0)
+    row = parsed.where("error is null").agg(
+        F.count_if(~browse).alias("words"),
+        F.count_if(browse).alias("browse"),
+        F.count_if(~browse & (F.col("page") * F.col("size") > DEEP)).alias("deep"),
+        F.coalesce(F.sum(F.size(words) + filters), F.lit(0)).alias("clauses"),
+        F.coalesce(F.sum(size), F.lit(0)).alias("bytes"),
+    )
+    return row.first().asDict()
+
+
+def search(
+    requests: DataFrame, index: Index, exclude: str = "all", stage: Stage | None = None, any_case: bool = False
+) -> Answers:
     """Answer every request, each row by itself: rows that share a request_id each get their answer.
 
     With a `stage` the small middle results (what to look up, the pages' ids) are written
     to the shared folder first, so that Spark knows their size: small ones are broadcast
-    and prune the postings' buckets and the posts' slices. Clear it after using the answers.
+    and prune the postings' buckets and the posts' slices, and steps that no request needs are left
+    out. Clear it after using the answers. `any_case`: category filters find every spelling.
     """
     keep = stage or (lambda df, name: df)
     parsed = keep(_countable(parse(keyed(requests))), "requests")
     parts = clauses(parsed)
-    wanted = keep(lookups(parts, index), "lookups")
-    # Without a stage nothing is run here, so any request might be a deep one.
-    any_deep = stage is None or not parsed.where("error is null").where(F.col("page") * F.col("size") > DEEP).isEmpty()
-    fits = stage is not None and max(wanted.count(), parts.count()) <= BROADCAST_CLAUSES
-    found = matches(index, wanted, parts, exclude, fits)
-    pages = keep(word_pages(found, any_deep).unionByName(browse_pages(parsed, index)), "pages")
+    # Without a stage nothing is run here, so there might be requests of any kind.
+    kinds = _occurring(parsed) if stage else {"words": 1, "browse": 1, "deep": 1}
+    few = stage is not None and kinds["clauses"] <= BROADCAST_CLAUSES and kinds["bytes"] <= BROADCAST_BYTES
+    near = narrowed(index, parts) if few and kinds["words"] and not any_case else index
+    wanted, fits, phrases = lookups(parts, near, any_case), False, True
+    if not kinds["words"]:
+        wanted = wanted.where("false")
+    elif stage:
+        wanted = keep(wanted, "lookups")
+        n = wanted.agg(F.sum(F.size("terms")).alias("tokens"), F.max("n").alias("most")).first()
+        fits, phrases = few and (n.tokens or 0) * 100 <= BROADCAST_BYTES, (n.most or 0) > 1
+    found = []
+    if kinds["words"] or not kinds["browse"]:
+        found.append(word_pages(matches(near, wanted, parts, exclude, fits, phrases), bool(kinds["deep"])))
+    if kinds["browse"]:
+        found.append(browse_pages(parsed, index))
+    pages = keep(found[0].unionByName(found[1]) if len(found) > 1 else found[0], "pages")
     ids_fit = stage is not None and pages.count() <= BROADCAST_IDS
     shown = hits(pages, index.posts, weights(parts, wanted), ids_fit)
     totals = (

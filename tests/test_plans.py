@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-BUILD_ONLY = {"stream_ingest", "stream_search", "rebuild"}  # their work is done before the frame is returned
+BUILD_ONLY = {"stream_ingest", "stream_search", "line_search", "rebuild"}  # their work is done before the frame is returned
 
 
 def plan(df) -> str:
@@ -32,6 +32,13 @@ def test_lookups_prune_the_postings(spark):
     assert "BroadcastHashJoin [field" in text
 
 
+@pytest.mark.parametrize("name", ["term_match", "phrase_match"])
+def test_tokens_reach_the_scan(spark, name):
+    text = plan(entry.queries()[name](spark, SF))
+    assert re.search(r"DataFilters: [^]]*token#\d+ (IN|=)", text)
+    assert text.count("PartitionFilters") <= (2 if name == "phrase_match" else 1)
+
+
 def test_page_texts_are_read_by_slice(spark):
     text = plan(entry.queries()["search_hits"](spark, SF))
     assert re.search(r"PartitionFilters: [^]]*dynamicpruningexpression\(slice", text)

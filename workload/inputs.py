@@ -147,3 +147,12 @@ def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("request_id"),
         line.alias("line"),
     )
+
+
+def search_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search requests as text lines `page-size,from~to,filters,words`, dates as days and no commas in words."""
+    day = lambda i: F.when(F.get("range", F.lit(i)) != 0, F.date_add(F.lit("1970-01-01").cast("date"), (F.get("range", F.lit(i)) / 86400).cast("int")).cast("string"))
+    part = lambda c: F.replace(F.array_join(c, " "), F.lit(","), F.lit(""))
+    numbers = F.concat_ws("-", F.col("page").cast("string"), F.col("size").cast("string"))
+    days = F.concat(F.coalesce(day(0), F.lit("")), F.lit("~"), F.coalesce(day(1), F.lit("")))
+    return requests(spark, sf_dir).select(F.concat_ws(",", numbers, days, part("terms"), part("q")).alias("line"))

@@ -275,6 +275,22 @@ _WORDS = ["that", "the"]
 
 _RESPONSES = f"WITH RECURSIVE {INDEX}{REQUESTS}{MATCHED.replace('{excluded_limit}', ALL)}{BATCH_HITS} SELECT request_id, response FROM responses"
 
+# The same requests as lines: dates cut to days and always a range, words cut at spaces.
+_LINES = (
+    REQUESTS.replace("requests AS (", "typed AS (")
+    + r""",
+requests AS (
+  SELECT request_id, page, size, [coalesce(range[1] // 86400 * 86400, 0), coalesce(range[2] // 86400 * 86400, 0)] AS range,
+         string_split(array_to_string(terms, ' '), ' ') AS terms, string_split(replace(array_to_string(q, ' '), ',', ''), ' ') AS q
+  FROM typed),
+lines AS (
+  SELECT request_id, page || '-' || size || ','
+         || CASE WHEN range[1] > 0 THEN strftime(make_timestamp(range[1] * 1000000), '%Y-%m-%d') ELSE '' END || '~'
+         || CASE WHEN range[2] > 0 THEN strftime(make_timestamp(range[2] * 1000000), '%Y-%m-%d') ELSE '' END || ','
+         || array_to_string(terms, ' ') || ',' || replace(array_to_string(q, ' '), ',', '') AS line
+  FROM typed)"""
+)
+
 ORACLES = {
     "feed_scan": f"""WITH {POSTS} SELECT url AS href, title,
         strftime(make_timestamp(date_s * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') AS published,
@@ -317,6 +333,7 @@ ORACLES = {
     "tag_filter": f"""WITH {POSTS} SELECT doc_id FROM posts
         WHERE list_contains(tags, 'src1') AND list_contains(tags, 'quality')""",
     "category_filter": "SELECT doc_id FROM documents WHERE lang = 'en'",
+    "category_any_case": _matched("SELECT doc_id, score FROM matched", q=["the"], terms=["category:EN"]),
     "filter_parse": "SELECT doc_id, 'tags=' || lower(source) || ';category=a:' || lang AS filters FROM documents",
     "date_range": f"WITH {POSTS} SELECT doc_id, date_s FROM posts WHERE date_s BETWEEN 1600000000 AND 1610000000",
     "combined_search": _matched(
@@ -348,6 +365,8 @@ ORACLES = {
         WHERE error IS NULL GROUP BY ALL""",
     "response_json": _RESPONSES,
     "stream_search": _RESPONSES,
+    "line_search": f"""WITH RECURSIVE {INDEX}{_LINES}{MATCHED.replace('{excluded_limit}', ALL)}{BATCH_HITS}
+        SELECT line, response FROM responses JOIN lines USING (request_id)""",
     "stream_ingest": f"""WITH {POSTS} SELECT url, title, {decoded(CLEAN.replace("(html,", "(content,"))} AS content, date_s, category,
         array_to_string(tags, ',') AS tags FROM posts""",
     "rebuild": f"""WITH {POSTS} SELECT row_number() OVER (ORDER BY url) - 1 AS doc_id, url, 1 AS n_loads FROM posts""",

@@ -16,7 +16,7 @@ from marginalia.sources import feeds
 from marginalia.sources import requests as rq
 from marginalia.sources.store import Store
 from marginalia.streaming.ingest import start_ingest
-from marginalia.streaming.search import start_search, stream_requests
+from marginalia.streaming.search import start_search, stream_lines, stream_requests
 from workload import inputs
 
 WORDS = ["that", "the"]
@@ -184,9 +184,16 @@ def field_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _word(spark: SparkSession, sf: str, word: str, kind: str = "text") -> DataFrame:
-    index = inputs.index(spark, sf)
     words = spark.sql("SELECT * FROM VALUES (:kind, :word) AS t(kind, word)", args={"kind": kind, "word": word})
-    return match.field_matches(index, Stage(spark)(match.lookups(words, index), "lookups"), fits=True)
+    index = match.narrowed(inputs.index(spark, sf), words)
+    wanted, phrases = _looked_up(match.lookups(words, index))
+    return match.field_matches(index, wanted, fits=True, phrases=phrases)
+
+
+def _looked_up(lookups: DataFrame) -> tuple[DataFrame, bool]:
+    """The lookups of one request, staged, and whether a word of several tokens is among them."""
+    wanted = Stage(lookups.sparkSession)(lookups, "lookups")
+    return wanted, not wanted.where("n > 1").isEmpty()
 
 
 def term_match(spark: SparkSession, sf: str) -> DataFrame:
@@ -202,9 +209,10 @@ def any_field(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _found(spark: SparkSession, sf: str, exclude: str = "all", **request) -> DataFrame:
-    index = inputs.index(spark, sf)
     parts = search.clauses(rq.parse(inputs.one_request(spark, **request)))
-    return search.matches(index, Stage(spark)(match.lookups(parts, index), "lookups"), parts, exclude, fits=True)
+    index = match.narrowed(inputs.index(spark, sf), parts)
+    wanted, phrases = _looked_up(match.lookups(parts, index))
+    return search.matches(index, wanted, parts, exclude, True, phrases)
 
 
 def all_words(spark: SparkSession, sf: str) -> DataFrame:
@@ -227,6 +235,16 @@ def category_filter(spark: SparkSession, sf: str) -> DataFrame:
     return _found(spark, sf, terms=["category:EN"]).select("doc_id")
 
 
+def category_any_case(spark: SparkSession, sf: str) -> DataFrame:
+    """Posts whose categories are stored in two spellings, both found by the option."""
+    mixed = F.when(F.col("doc_id") % 2 == 0, F.upper("category")).otherwise(F.col("category"))
+    parts = search.clauses(rq.parse(inputs.one_request(spark, q=["the"], terms=["category:EN"])))
+    posts = corpus.posts(spark, sf).withColumn("category", mixed)
+    index = ix.from_posts(posts, parts.select(F.col("word").alias("token")))
+    wanted, phrases = _looked_up(match.lookups(parts, index, any_case=True))
+    return search.matches(index, wanted, parts, "all", True, phrases).select("doc_id", "score")
+
+
 def filter_parse(spark: SparkSession, sf: str) -> DataFrame:
     terms = F.array(
         F.concat(F.lit("tags:"), F.upper("source")),
@@ -381,6 +399,16 @@ def stream_search(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(answers).select("request_id", "response")
 
 
+def line_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Request lines in text files, answered as a stream."""
+    inputs.index(spark, sf)
+    inbox, answers = shared_dir(spark, "lines"), shared_dir(spark, "answers")
+    inputs.search_lines(spark, sf).write.text(inbox)
+    start_search(inputs.store(spark, sf), stream_lines(spark, inbox), answers, shared_dir(spark, "line-state")).awaitTermination()
+    line = F.substr("request_id", F.instr("request_id", ":") + 1)  # the id is file:line
+    return spark.read.parquet(answers).select(line.alias("line"), "response")
+
+
 def rebuild(spark: SparkSession, sf: str) -> DataFrame:
     """A load of part of the posts, replaced by a load of all of them."""
     store = Store(spark, shared_dir(spark, "rebuilt"))
@@ -419,6 +447,7 @@ QUERIES = {
         exclude_any_word,
         tag_filter,
         category_filter,
+        category_any_case,
         filter_parse,
         date_range,
         combined_search,
@@ -439,6 +468,7 @@ QUERIES = {
         request_lines,
         stream_ingest,
         stream_search,
+        line_search,
         rebuild,
     )
 }
