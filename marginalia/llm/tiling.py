@@ -126,7 +126,8 @@ def _blocks(items: DataFrame, seed: int) -> Iterator[Seeds]:
     n = size // BLOCK_BYTES + 1
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
     for b in range(n):
-        rows = items.select("item_id", "text").where(F.col("text").isNotNull() & (part == b)).orderBy("item_id", "text").collect()
+        # repeated rows say nothing new, and would all fall into one block
+        rows = items.select("item_id", "text").where(F.col("text").isNotNull() & (part == b)).distinct().orderBy("item_id", "text").collect()
         yield Seeds([r[0] for r in rows], [r[1] for r in rows], seed)
 
 
@@ -150,7 +151,10 @@ def tilings(docs: DataFrame, items: DataFrame, seed: int = 5, least: float = 0.6
                         pairs[int(w.row[p]), i].append(p)
                     matches: list[list] = [[] for _ in range(batch.num_rows)]
                     for (row, i), starts in pairs.items():
-                        found = _one(seeds.words[i], w, np.unique(starts), seed)
+                        covered = np.unique(np.unique(starts)[:, None] + np.arange(seed))
+                        if len(covered) < least * len(seeds.words[i]):
+                            continue  # tiles lie in shared seeds, so they cannot reach the coverage
+                        found = _one(seeds.words[i], w, covered, seed)
                         share = sum(n for _, _, n in found) / len(seeds.words[i])
                         if share >= least:
                             zero = int(w.where[row])
@@ -163,9 +167,8 @@ def tilings(docs: DataFrame, items: DataFrame, seed: int = 5, least: float = 0.6
     return out
 
 
-def _one(item: np.ndarray, w: Words, starts: np.ndarray, seed: int) -> list[tuple[int, int, int]]:
-    """Tile an item over the words of one text that stand in a shared seed; no other word can be in a tile."""
-    covered = np.unique(starts[:, None] + np.arange(seed))
+def _one(item: np.ndarray, w: Words, covered: np.ndarray, seed: int) -> list[tuple[int, int, int]]:
+    """Tile an item over the words of one text that stand in a shared seed (`covered`); no other word can be in a tile."""
     gap = np.flatnonzero(np.diff(covered) > 1) + 1
     place = np.insert(covered, gap, -1)
     values = np.where(place >= 0, w.hash[place], np.uint64(0))

@@ -5,7 +5,7 @@ letters inside words; what is no letter separates words. An Aho-Corasick automat
 word counts once, with its longest term, unless an exception phrase covers it. The weights' sum over the number of words is the text's density, and a
 logistic curve turns it into a score.
 
-The lexicon, its weights, the exceptions and the curve are learnt from labelled texts: a bounded sample of FIT_ROWS rows, those with
+The lexicon, its weights, the exception phrases (unless given) and the curve are learnt from labelled texts: a bounded sample of FIT_ROWS rows, those with
 the smallest hashes of their ids. Every text is scored whole. Null and empty texts have density 0. Rows without a label
 are not learnt from; repeated rows are scored alike; with no toxic or no clean label, all scores are those of an empty lexicon.
 Only the text is an input of a score.
@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -59,14 +59,18 @@ def _terms(word: str) -> list[str]:
     return [word + " ", *[word[:n] for n in range(4, min(9, len(word)))]]
 
 
-def counted(labelled: DataFrame) -> DataFrame:
-    """Per term the toxic and the clean texts it stands in, over (text, toxic). Parts are counted in the tasks and added up."""
+def _all_terms(words: list[str]) -> set[str]:
+    return {t for w in set(words) for t in _terms(w)}
+
+
+def counted(labelled: DataFrame, terms_of: Callable[[list[str]], set[str]] = _all_terms) -> DataFrame:
+    """Per term the toxic (a) and the clean (b) texts it stands in, over (text, toxic). Parts are counted in the tasks and added up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = (Counter(), Counter())
             for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist()):
-                both[toxic].update({t for w in set(fold(text)) for t in _terms(w)} | {""})
+                both[toxic].update(terms_of(fold(text)))
             terms = list(both[0].keys() | both[1].keys())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(terms, pa.string()), pa.array([both[1][t] for t in terms], pa.int64()), pa.array([both[0][t] for t in terms], pa.int64())], ["term", "a", "b"]
@@ -110,16 +114,27 @@ class Lexicon:
                 spared.append((start, end))
             elif size > best.get(start, (0, 0.0))[0]:
                 best[start] = (size, weight)
-        total = sum(w for at, (_, w) in best.items() if not any(a <= at < b for a, b in spared))
+        total, free = 0.0, 0  # phrases before `free` end before the place looked at
+        spared.sort()
+        for at, (_, weight) in sorted(best.items()):
+            while free < len(spared) and spared[free][1] <= at:
+                free += 1
+            if free == len(spared) or spared[free][0] > at:
+                total += weight
         return max(0.0, 100 * total / len(words))
 
+    def phrases(self, words: list[str]) -> set[str]:
+        """The two-word phrases of a text that hold a word with a weight."""
+        heavy = [any(t in self.weights for t in _terms(w)) for w in words]
+        return {f"{a} {b}" for a, b, x, y in zip(words, words[1:], heavy, heavy[1:]) if x or y}
+
     def score(self, density: float) -> float:
         a, b = self.curve
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * math.log1p(density)))))
 
 
 def learn(docs: DataFrame, labels: DataFrame, exceptions: list[str] | None = None, fit_rows: int = FIT_ROWS, terms: int = TERMS) -> Lexicon:
-    """A lexicon from documents (doc_id, text) and labels (doc_id, toxic 0/1)."""
+    """A lexicon from documents (doc_id, text) and labels (doc_id, toxic 0/1); exception phrases are learnt unless given."""
     rows = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     # at most fit_rows short rows: small enough to be sent to where the texts are
     chosen_rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(fit_rows)
@@ -140,6 +155,8 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: list[str] | None = Non
         if weight(r) >= LIGHTEST and not any(r["term"][:n] in chosen for n in range(4, len(r["term"]))):
             chosen[r["term"]] = weight(r)
     lexicon = Lexicon(chosen, exceptions or [])
+    if exceptions is None and chosen:
+        lexicon.exceptions = _innocent(sample, lexicon, na, nb, terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,6 +168,12 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: list[str] | None = Non
     return lexicon
 
 
+def _innocent(sample: DataFrame, lexicon: Lexicon, na: int, nb: int, most: int) -> list[str]:
+    """Phrases around lexicon words that are no likelier in toxic texts than in clean ones, told by five clean texts at least."""
+    found = counted(sample, lexicon.phrases).where((F.col("b") >= 5) & (F.col("a") * nb <= F.col("b") * na))
+    return [r["term"] for r in found.orderBy(F.desc("b"), "term").limit(most).collect()]
+
+
 def _fit(cells: np.ndarray) -> tuple[float, float]:
     """Logistic regression of the label on the log density, by Newton steps with a slight pull to 0."""
     x, y, n = cells.T

@@ -178,10 +178,21 @@ def test_toxicity(spark, docs):
     assert ids(toxicity.scored(docs, lexicon).collect()) == ALL
     spared = toxicity.Lexicon({"idiot ": 3.0}, ["village idiot"])
     assert spared.density("The village IDIOT sang") == 0 < spared.density("an 1d10t sang")
+    assert toxicity.Lexicon({"idiot ": 3.0}, ["village idiot", "the village"]).density("the village idiot and the idiot") == 300 / 6
     empty = toxicity.learn(df.limit(0), labels)
     assert toxicity.scored(df, empty).count() == 40
 
 
+def test_exception_phrases_are_learnt(spark):
+    texts = [(i, f"the village idiot sang song {i}" if i % 4 == 0 else f"you are an idiot {i}" if i % 4 == 1 else f"plain text {i}") for i in range(120)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    labels = df.select("doc_id", (F.col("doc_id") % 4 == 1).cast("int").alias("toxic"))
+    lexicon = toxicity.Lexicon({"idiot ": 3.0}, [])
+    labelled = df.join(labels, "doc_id").select("text", "toxic")
+    assert sorted(toxicity._innocent(labelled, lexicon, 30, 90, 10)) == ["idiot sang", "village idiot"]
+    assert toxicity._innocent(labelled.limit(0), lexicon, 30, 90, 10) == []
+
+
 def test_chat(spark):
     parts = "array<struct<kind: string, text: string, ref: string, size: bigint>>"
     rows = [
