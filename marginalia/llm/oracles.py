@@ -98,4 +98,55 @@ FROM turns GROUP BY conv_id
 """
 
 
-ORACLES: dict[str, str] = {"op1_quality": _quality(), "op3_warc": _warc(), "op5_near_duplicates": _NEAR, "op9_chat": _chat()}
+def _audit() -> str:
+    letters = "(VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS {0}(f, bit)"
+    names = ["l1", "l2", "l3", "l4", "l5"]
+    apart = " AND ".join(f"{a}.bit <> {b}.bit" for i, a in enumerate(names) for b in names[i + 1 :])
+    steps = " UNION ALL ".join(
+        f"SELECT o, {i + 1} AS step, b{i + 1} AS bit, {' + '.join(['0', *[f'b{j + 1}' for j in range(i)]])} AS earlier FROM orders" for i in range(5)
+    )
+    return rf"""
+WITH words AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+masks AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+    + 16 * coalesce(words.doc_id > min(words.doc_id) OVER (PARTITION BY t), false)::INT AS mask FROM words LEFT JOIN marks USING (doc_id)),
+counted AS (SELECT part, mask, count(*) AS n, sum(good) AS g, sum(toxic) AS x FROM masks GROUP BY ALL),
+orders AS (SELECT concat({", ".join(f"{a}.f" for a in names)}) AS o, {", ".join(f"{a}.bit AS b{i + 1}" for i, a in enumerate(names))}
+    FROM {", ".join(letters.format(a) for a in names)} WHERE {apart}),
+steps AS ({steps}),
+each AS (SELECT part, o, step, bit, coalesce(sum(n) FILTER (mask & (earlier | bit) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (mask & earlier = 0 AND mask & bit > 0), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (mask & earlier > 0 AND mask & bit > 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails, coalesce(sum(g) FILTER (mask & earlier = 0 AND mask & bit > 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(x) FILTER (mask & earlier = 0 AND mask & bit > 0), 0)::BIGINT AS toxic_lost FROM counted, steps GROUP BY part, o, step, bit)
+SELECT part, o AS filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM each
+"""
+
+
+def _centroids(k: int = 40, rounds: int = 5) -> str:
+    distance = "list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+
+    def nearest(i: int) -> str:
+        return f"near{i} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(p.v) AS v, min({{'d': {distance}, 'c': c.c}}) AS best FROM points p, centre{i} c GROUP BY r)"
+
+    def centre(i: int) -> str:
+        return f"""sums{i} AS (SELECT c, i, sum(x)::BIGINT AS s, count(*)::BIGINT AS n FROM (SELECT best.c AS c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM near{i - 1}) GROUP BY c, i),
+centre{i} AS MATERIALIZED (SELECT old.c, coalesce(new.v, old.v) AS v FROM centre{i - 1} old LEFT JOIN
+    (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM sums{i} GROUP BY c) new USING (c))"""
+
+    steps = ",\n".join(f"{nearest(i - 1)},\n{centre(i)}" for i in range(1, rounds + 1))
+    return f"""
+WITH points AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+centre0 AS MATERIALIZED (SELECT c, v FROM (SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS c, v FROM points) WHERE c < {k}),
+{steps},
+{nearest(rounds)}
+SELECT vec_id, best.c::INT AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia, (sum(best.d) OVER ())::BIGINT AS inertia,
+    sha256(array_to_string(centre{rounds}.v, ',')) AS centroid_sha256 FROM near{rounds} JOIN centre{rounds} ON best.c = centre{rounds}.c
+"""
+
+
+ORACLES: dict[str, str] = {
+    "op1_quality": _quality(), "op3_warc": _warc(), "op5_near_duplicates": _NEAR, "op9_chat": _chat(),
+    "op11_filter_audit": _audit(), "op12_centroids": _centroids(),
+}

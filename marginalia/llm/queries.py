@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import archive, chat, minhash, packing, quality, spans, suffix, tiling, tokens, toxicity
+from marginalia.llm import archive, audit, centroids, chat, minhash, packing, pieces, quality, spans, suffix, tiling, tokens, toxicity
 from marginalia.llm.base import read
 from marginalia.llm.oracles import ORACLES  # noqa: F401  (read by the entry module)
 
@@ -83,6 +83,22 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read(tokens.write(read(spark, sf_dir, "documents"), path, size=50257, end=2))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(audit.masks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read(spark, sf_dir, "embeddings"))[0]
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    ids = pieces.encoded(read(spark, sf_dir, "documents"), path, ["doc_id"])
+    digests = ids.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    back = pieces.decoded(digests, path, ["doc_id", "n_tokens", "ids_sha256"])
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -102,6 +118,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_chat,
         op10_token_ids,
+        op11_filter_audit,
+        op12_centroids,
+        op13_pieces,
         pipeline,
     )
 }
