@@ -43,10 +43,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The rows in pieces of about `most` bytes of text, so that work arrays stay small; a longer text is one piece."""
+def slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The rows in pieces of about `most` bytes of text (or of another column), so that work arrays stay small; a longer text is one piece."""
     for batch in batches:
-        size = np.asarray(pc.fill_null(pc.binary_length(batch["text"]), 0), dtype=np.int64)
+        size = np.asarray(pc.fill_null(pc.binary_length(batch[column]), 0), dtype=np.int64)
         ends = np.cumsum(size)
         at = 0
         while at < batch.num_rows:

@@ -24,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.llm.base import slices
+
 MARK = "▁"
 #: Bounds of what a worker process remembers: stretches, their length, and pairs of pieces.
-STRETCHES, LONGEST, PAIRS = 400_000, 64, 400_000
+STRETCHES, LONGEST, PAIRS = 150_000, 64, 150_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -82,16 +84,15 @@ class Model:
         for c in self.letters - self.code.keys():  # only inside longer pieces: alone they are bytes
             self.code[c] = self._as_bytes(c)
         # pieces that merging cannot reach never stand in an encoding
-        reached = [p for p in self.code if len(p) == 1 or self.merged(p) == [p]]
+        self.reached = {p for p in self.code if len(p) == 1 or self.merged(p) == [p]}
         self.automaton = ahocorasick.Automaton()
-        for p in reached:
+        for p in self.reached:
             self.automaton.add_word(p[::-1], p)
         self.automaton.make_automaton()
-        # what a stretch is: a run of space marks and what follows, or one character that stands alone in every text
-        alone = "".join(c for c in "\n\t\r\v\f" if c not in self.letters)
-        self.stretch = re.compile(f"[ {MARK}]+[^ {MARK}{alone}]*|[{alone}]|[^ {MARK}{alone}]+" if alone else f"[ {MARK}]+[^ {MARK}]*|[^ {MARK}]+")
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.known = _Known(self)
+        #: The longest piece that a piece goes on from, or nothing.
+        self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.reached), "") for p in self.reached}
+        self.stretch = re.compile(self._stretches())
+        self.pairs, self.known = _Pairs(self), _Known(self)
         # decoding: what each id stands for
         shown = [b"" if model.is_control(i) else " ⁇ ".encode() if model.is_unknown(i) else model.id_to_piece(i).replace(MARK, " ").encode() for i in range(n)]
         for byte, i in self.bytes.items():
@@ -103,6 +104,16 @@ class Model:
         self.shown, self.size = shown, np.array([len(s) for s in shown])
         self.flat, self.first = np.frombuffer(b"".join(shown), np.uint8), np.cumsum(self.size) - self.size
 
+    def _stretches(self) -> str:
+        """A pattern for parts of a text that no piece joins: space marks with the word behind them, words, and marks that never follow a letter inside a piece."""
+        other = "".join(re.escape(c) for c in self.letters if c.isalnum() and not c.isalpha() and not c.isdecimal())
+        letter = rf"[^\W\d_{other}]"
+        joined = {b for p in self.rank for a, b in zip(p, p[1:]) if re.match(letter, a)}
+        apart = "".join(re.escape(c) for c in map(chr, range(128)) if c.isprintable() and not c.isalnum() and c not in joined and c != " ")
+        apart += "".join(c for c in "\n\t\r\v\f" if c not in joined)
+        cut = rf"(?=[ {MARK}{apart}]|\Z)"
+        return f"[ {MARK}]*{letter}+{cut}|[ {MARK}]+[^ {MARK}]*|[^ {MARK}]+"
+
     def _as_bytes(self, text: str) -> bytes:
         return b"".join(self.bytes[b].to_bytes(4, "little") for b in text.encode())
 
@@ -119,38 +130,29 @@ class Model:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def compatible(self, a: str, b: str) -> bool:
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(a + b) == [a, b]
-        return known
-
     def _segment(self, text: str) -> list[str]:
         """The pieces of a text of known letters."""
+        if text in self.reached:
+            return [text]
         n = len(text)
-        begins: list[list[str]] = [[] for _ in range(n)]  # pieces per position, longest first
-        for last, piece in self.automaton.iter(text[::-1]):
-            begins[n - 1 - last].append(piece)
+        # of the pieces that end at a place of the reversed text the automaton gives the longest first: it is the one kept
+        longest = dict(reversed(list(self.automaton.iter(text[::-1]))))
+        pairs, shorter = self.pairs, self.shorter
         failed = bytearray(n + 1)  # 1 where no encoding of the rest goes on
         out: list[str] = []
-        at, choice = 0, [0]  # choice[i]: which of the pieces at the i-th place is tried
+        at, before, piece = 0, "", longest.get(n - 1)
         while at < n:
-            here, i = begins[at], choice[-1]
-            before = out[-1] if out else None
-            while i < len(here) and (failed[at + len(here[i])] or before is not None and not self.compatible(before, here[i])):
-                i += 1
-            if i < len(here):
-                choice[-1] = i
-                choice.append(0)
-                out.append(here[i])
-                at += len(here[i])
+            while piece and (failed[at + len(piece)] or before and not pairs[before, piece]):
+                piece = shorter[piece]
+            if piece:
+                out.append(piece)
+                at += len(piece)
+                before, piece = piece, longest.get(n - 1 - at)
             else:
                 failed[at] = 1
-                choice.pop()
-                at -= len(out.pop())
-                choice[-1] += 1
+                piece = out.pop()
+                at -= len(piece)
+                before = out[-1] if out else ""
         return out
 
     def packed(self, stretch: str) -> bytes:
@@ -221,6 +223,19 @@ class Model:
         return "".join(out)
 
 
+class _Pairs(dict):
+    """Whether two pieces can be neighbours: joined and merged anew they come apart again. A full store starts anew."""
+
+    def __init__(self, model: Model):
+        self.model = model
+
+    def __missing__(self, pair: tuple[str, str]) -> bool:
+        if len(self) >= PAIRS:
+            self.clear()
+        self[pair] = fits = self.model.merged(pair[0] + pair[1]) == [*pair]
+        return fits
+
+
 class _Known(dict):
     """Stretches already encoded; a long one is encoded each time, and a full store starts anew."""
 
@@ -253,28 +268,23 @@ def encoded(docs: DataFrame, path: str, columns: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for batch in batches:
+        for batch in slices(batches, 2 << 20, "_text"):
             ids = [m.encode(t.as_py() or "") for t in batch["_text"]]
-            yield pa.RecordBatch.from_arrays([*[batch[c] for c in columns], pa.array(ids, pa.large_binary()).cast(pa.binary())], [*columns, "ids"])
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in columns], pa.array(ids, pa.binary())], [*columns, "ids"])
 
     rows = docs.select(*columns, F.col("text").cast("string").alias("_text"))
     return rows.mapInArrow(run, f"{_kinds(docs, columns)}, ids binary")
 
 
-def decoded(rows: DataFrame, path: str, columns: list[str], at_once: int = 1 << 20) -> DataFrame:
-    """`columns` of each row, and text: what its ids (as encoded() writes them; null: none) stand for. About `at_once` ids are decoded together."""
+def decoded(rows: DataFrame, path: str, columns: list[str]) -> DataFrame:
+    """`columns` of each row, and text: what its ids (as encoded() writes them; null: none) stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for batch in batches:
+        for batch in slices(batches, 1 << 20, "_ids"):
             raw = [i.as_py() or b"" for i in batch["_ids"]]
-            upto = np.cumsum([len(r) // 4 for r in raw])
-            texts: list[str] = []
-            while len(texts) < len(raw):
-                a = len(texts)
-                base = int(upto[a - 1]) if a else 0
-                z = max(a + 1, int(np.searchsorted(upto, base + at_once, "right")))
-                texts += m.decode_all(np.frombuffer(b"".join(raw[a:z]), "<u4").astype(np.int64), upto[a:z] - base)
+            ids = np.frombuffer(b"".join(raw), "<u4").astype(np.int32)
+            texts = m.decode_all(ids, np.cumsum([len(r) // 4 for r in raw]))
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in columns], pa.array(texts, pa.string())], [*columns, "text"])
 
     return rows.select(*columns, F.col("ids").alias("_ids")).mapInArrow(run, f"{_kinds(rows, columns)}, text string")
