@@ -3,8 +3,8 @@
 A model of this kind joins, again and again, the two neighbouring pieces whose union ranks best. The result has a local test: a row of pieces
 is the encoding exactly if every two neighbours, joined and merged anew, come apart in the same place. So a text is
 encoded from the left by its longest piece; where it does not go with the one before, the next shorter one is tried, and where none
-does the last piece is taken back. A bit per position notes where nothing goes on, so no place is tried twice. All pieces that begin at each
-position come from one pass of an Aho-Corasick automaton over the text read backwards.
+does the last piece is taken back. A bit per position notes where nothing goes on, so no place is tried twice. Longest pieces come from an
+Aho-Corasick automaton: one pass of leftmost longest matches, and one more match from each place that pass did not come by.
 
 Characters that no piece holds stand alone as their bytes. No piece holds a space mark behind another character, so texts are cut before
 runs of space marks, and each distinct stretch of a task is encoded once.
@@ -87,7 +87,7 @@ class Model:
         self.reached = {p for p in self.code if len(p) == 1 or self.merged(p) == [p]}
         self.automaton = ahocorasick.Automaton()
         for p in self.reached:
-            self.automaton.add_word(p[::-1], p)
+            self.automaton.add_word(p, p)
         self.automaton.make_automaton()
         #: The longest piece that a piece goes on from, or nothing.
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.reached), "") for p in self.reached}
@@ -135,19 +135,21 @@ class Model:
         if text in self.reached:
             return [text]
         n = len(text)
-        # of the pieces that end at a place of the reversed text the automaton gives the longest first: it is the one kept
-        longest = dict(reversed(list(self.automaton.iter(text[::-1]))))
-        pairs, shorter = self.pairs, self.shorter
+        pairs, shorter, matches = self.pairs, self.shorter, self.automaton.iter_long
+        # the longest piece at each place the leftmost longest matches lead to; other places are asked for when they are reached
+        longest = {last + 1 - len(p): p for last, p in matches(text)}
         failed = bytearray(n + 1)  # 1 where no encoding of the rest goes on
         out: list[str] = []
-        at, before, piece = 0, "", longest.get(n - 1)
+        at, before, piece = 0, "", longest.get(0)
         while at < n:
             while piece and (failed[at + len(piece)] or before and not pairs[before, piece]):
                 piece = shorter[piece]
             if piece:
                 out.append(piece)
                 at += len(piece)
-                before, piece = piece, longest.get(n - 1 - at)
+                before, piece = piece, longest.get(at)
+                if piece is None and at < n:
+                    piece = longest[at] = next(matches(text, at))[1]
             else:
                 failed[at] = 1
                 piece = out.pop()
@@ -158,6 +160,8 @@ class Model:
     def packed(self, stretch: str) -> bytes:
         """A stretch's ids, four bytes each."""
         text = stretch.replace(" ", MARK)
+        if self.letters.issuperset(text):
+            return b"".join(map(self.code.__getitem__, self._segment(text)))
         out, at = [], 0
         for i, c in enumerate(text):
             if c not in self.letters:
