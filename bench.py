@@ -49,6 +49,7 @@ def main() -> None:
     timed("batch_search", lambda: sink(search.search(batch, index, stage=Stage(spark)).responses))
     timed("page_cleaning", lambda: sink(pages.clean_pages(corpus.read_table(spark, sf_dir, "pages"))))
     timed("fragments", lambda: sink(QUERIES["fragments"](spark, sf_dir)))
+    inputs.labelled_store(spark, sf_dir)  # what was loaded earlier
     timed("load_new_only", lambda: sink(QUERIES["load_new_only"](spark, sf_dir)))
     timed("feed_posts", lambda: sink(QUERIES["feed_posts"](spark, sf_dir)))
     sf = re.search(r"sf([\d.]+)", sf_dir)

@@ -12,13 +12,8 @@ from marginalia.sources.store import Store
 _ORDER = ["url", "date", "title", "content", "category", "tags"]
 
 
-def only_new(batch: DataFrame, committed: DataFrame) -> DataFrame:
-    """Posts whose url is not committed yet. Repeats inside the batch all stay.
-
-    The committed urls are cut down to the batch's first: when the batch is small Spark
-    broadcasts it and the committed side is scanned without a shuffle.
-    """
-    known = committed.select("url").join(batch.select("url").distinct(), "url", "left_semi").distinct()
+def only_new(batch: DataFrame, known: DataFrame) -> DataFrame:
+    """Posts whose url is not among the `known` ones (Store.known_urls). Repeats inside the batch all stay."""
     return batch.join(known, "url", "left_anti")
 
 
@@ -52,37 +47,47 @@ def number(new: DataFrame, after: int, stage: Stage) -> DataFrame:
     )
 
 
-def append_new(store: Store, batch: DataFrame, dedupe_batch: bool = False) -> int:
+def append_new(store: Store, batch: DataFrame, dedupe_batch: bool = False, staged: bool = False, source: str | None = None) -> int:
     """Add the batch's new posts and their index entries as one load; returns its number.
 
-    A load without new posts leaves a report and nothing else.
+    `staged`: the batch is read from files already. A load without new posts leaves a report and nothing else.
     """
     stage = Stage(store.spark)
     try:
-        staged = stage(one_per_url(batch) if dedupe_batch else batch, "batch")
-        new = number(only_new(staged, store.posts()), store.last_doc_id(), stage)
-        return store.report_nothing() if new.isEmpty() else store.add(new)
+        batch = one_per_url(batch) if dedupe_batch else batch
+        batch = batch if staged and not dedupe_batch else stage(batch, "batch")
+        new = number(only_new(batch, store.known_urls(batch, stage)), store.last_doc_id(), stage)
+        return store.report_nothing(source) if new.isEmpty() else store.add(new, source=source)
     finally:
         stage.clear()
 
 
-def rebuild(store: Store, batch: DataFrame, dedupe_batch: bool = False) -> int:
+def rebuild(store: Store, batch: DataFrame, dedupe_batch: bool = False, source: str | None = None) -> int:
     """Load everything anew; what was stored before stays readable until the new load is committed."""
     stage = Stage(store.spark)
     try:
-        return store.add(number(one_per_url(batch) if dedupe_batch else batch, -1, stage), replace=True)
+        return store.add(number(one_per_url(batch) if dedupe_batch else batch, -1, stage), replace=True, source=source)
     finally:
         stage.clear()
 
 
-def load_feed(store: Store, entries: DataFrame, dedupe_batch: bool = False, from_scratch: bool = False) -> int:
-    """Feed entries to stored posts. Entries that cannot be loaded are kept in the quarantine."""
+def load_feed(
+    store: Store, entries: DataFrame, dedupe_batch: bool = False, from_scratch: bool = False, source: str | None = None
+) -> int | None:
+    """Feed entries to stored posts; returns the load's number. Entries that cannot be loaded are kept in the quarantine.
+
+    A `source` that is committed already (a stream's batch, repeated after a crash) is not looked at again: None.
+    """
+    if source and store.has_loaded(source):
+        return None
     stage = Stage(store.spark)
     try:
         posts = stage(entries_to_posts(entries, raw=True), "feed")
         # before the commit: a load that dies in between is repeated and replaces its own quarantine
         store.set_aside(quarantined(posts), store.next_load())
-        return (rebuild if from_scratch else append_new)(store, loadable(posts), dedupe_batch)
+        if from_scratch:
+            return rebuild(store, loadable(posts), dedupe_batch, source)
+        return append_new(store, loadable(posts), dedupe_batch, True, source)
     finally:
         stage.clear()
 

@@ -5,6 +5,7 @@
     doc_freq/load=K/               document counts of this load's documents
     field_sums/load=K/             document count and field lengths of this load
     days/load=K/                   posts per day of this load
+    urls/load=K/bucket=B/          distinct urls, and url_filters/ their bitmaps (sources/urls.py)
     loads/load=K/                  the load report, written last: the commit
 
 A load counts only once its report exists, so a load that died half-way is invisible
@@ -13,14 +14,18 @@ and its folders are overwritten by the next one.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marginalia.operators import index as ix
+from marginalia.operators.joins import Stage
 from marginalia.operators.match import bucket
 from marginalia.schema import POSTS
+from marginalia.sources import urls
 
 SLICE_DOCS = 65536  # documents per slice: one slice is a file or a few at usual text sizes
 TOKENS_PER_BUCKET = 10_000_000
@@ -31,6 +36,7 @@ _TYPES = {
     "string": T.StringType(),
     "timestamp": T.TimestampType(),
     "boolean": T.BooleanType(),
+    "binary": T.BinaryType(),
     "array<bigint>": T.ArrayType(T.LongType(), False),
 }
 
@@ -59,12 +65,36 @@ _SCHEMAS = {
         _columns(n_docs="bigint", title="bigint", content="bigint", tags="bigint", category="bigint", load="int")
     ),
     "days": T.StructType(_columns(day="bigint", n="bigint", load="int")),
+    "urls": T.StructType(_columns(url="string", load="int", bucket="int")),
+    "url_filters": T.StructType(_columns(cell="int", bits="binary", load="int", bucket="int")),
     "loads": T.StructType(
-        _columns(at="timestamp", added="bigint", max_doc_id="bigint", buckets="int", replaces="boolean", load="int")
+        _columns(
+            at="timestamp",
+            added="bigint",
+            max_doc_id="bigint",
+            buckets="int",
+            replaces="boolean",
+            url_buckets="int",
+            url_cells="int",
+            source="string",
+            load="int",
+        )
     ),
 }
 
 
+@dataclass(frozen=True)
+class State:
+    """What the reports say: one row per load, no data."""
+
+    last: int  # number of the last load
+    max_doc_id: int
+    buckets: int | None
+    live: list[int]
+    layouts: list[urls.Shape]
+    sources: set[str]
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
@@ -83,40 +113,50 @@ class Store:
                 raise
             return self.spark.createDataFrame([], schema)
 
-    def _state(self) -> tuple[int, int, int | None, list[int]]:
-        """Last load, highest doc_id, bucket count and the live loads: one row per load, no data.
-
-        A load that replaces the corpus hides all loads before it.
-        """
-        rows = self.loads().select("load", "max_doc_id", "buckets", "replaces").collect()
-        if not rows:
-            return 0, -1, None, []
+    def _state(self) -> State:
+        """The state after the last committed load. A load that replaces the corpus hides all loads before it."""
+        rows = self.loads().drop("at", "added").collect()
         base = max((r.load for r in rows if r.replaces), default=0)
-        live = [r for r in rows if r.load >= base]
-        return max(r.load for r in rows), max(r.max_doc_id for r in live), live[0].buckets, [r.load for r in live]
+        live = sorted((r for r in rows if r.load >= base), key=lambda r: r.load)
+        return State(
+            max((r.load for r in rows), default=0),
+            max((r.max_doc_id for r in live), default=-1),
+            live[0].buckets if live else None,
+            [r.load for r in live],
+            [urls.Shape(r.load, r.url_buckets, r.url_cells) for r in live if r.url_buckets],
+            {r.source for r in rows if r.source},
+        )
 
     def last_doc_id(self) -> int:
-        return self._state()[1]
+        return self._state().max_doc_id
+
+    def has_loaded(self, source: str) -> bool:
+        """Whether a load of this source (a stream's batch) is committed."""
+        return source in self._state().sources
+
+    def known_urls(self, batch: DataFrame, stage: Stage) -> DataFrame:
+        """The urls of `batch` that a live load holds."""
+        layouts = self._state().layouts
+        return urls.known(batch, layouts, self._read("urls"), self._read("url_filters"), stage)
 
     def next_load(self) -> int:
-        return self._state()[0] + 1
+        return self._state().last + 1
 
     def quarantine(self) -> DataFrame:
-        """Rejected entries of all committed loads, with the reason and what the feed said."""
-        path = f"{self.path}/quarantine"
-        return self.spark.read.parquet(path).join(self.loads().select("load"), "load", "left_semi")
+        """Rejected entries of the live loads, with the reason and what the feed said."""
+        return self.spark.read.parquet(f"{self.path}/quarantine").where(F.col("load").isin(self._state().live))
 
     def table(self, name: str) -> DataFrame:
         """A table's committed loads; the others' folders are listed, then left out of the scan."""
-        return self._read(name).where(F.col("load").isin(self._state()[3]))
+        return self._read(name).where(F.col("load").isin(self._state().live))
 
     def posts(self) -> DataFrame:
         return self.table("posts")
 
     def index(self) -> ix.Index:
         """The committed index. Document frequencies are partial, one row per load."""
-        _, _, buckets, committed = self._state()
-        of_loads = F.col("load").isin(committed)
+        state = self._state()
+        of_loads = F.col("load").isin(state.live)
         sums = self._read("field_sums").where(of_loads)
         totals = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_docs", *ix.TEXT_FIELDS, *ix.EXACT_FIELDS)])
         return ix.Index(
@@ -125,54 +165,59 @@ class Store:
             self._read("doc_freq").where(of_loads),
             ix.per_field(totals),
             self._read("days").where(of_loads),
-            buckets or 1,
+            state.buckets or 1,
         )
 
-    def add(self, posts: DataFrame, buckets: int | None = None, replace: bool = False) -> int:
+    def add(self, posts: DataFrame, buckets: int | None = None, replace: bool = False, source: str | None = None) -> int:
         """Write posts that carry their doc_id as one load with its index; returns its number.
 
-        The index is derived from the posts as just stored, so a retry sees the same rows.
+        The index is derived from the posts as just stored, so a retry sees the same rows. `source` names what
+        was loaded, for has_loaded().
         """
-        last, max_id, known, _ = self._state()
-        load = last + 1
-        if replace:
-            max_id, known = -1, None
+        state = self._state()
+        load = state.last + 1
+        max_id, known = (-1, None) if replace else (state.max_doc_id, state.buckets)
         sliced = posts.withColumn("slice", F.floor(F.col("doc_id") / SLICE_DOCS)).hint("rebalance", "slice")
         stored = self._write("posts", load, sliced, ["slice"])
         sums = self._write("field_sums", load, ix.field_sums(stored), [])
-        buckets = known or buckets or self._choose_buckets(sums)
+        size = sums.select("n_docs", (F.col("title") + F.col("content")).alias("tokens")).first()
+        buckets = known or buckets or self._choose_buckets(size.tokens)
+        layout = urls.shape(load, size.n_docs or 0)
         self._write_index(stored, load, buckets)
+        keys = self._write("urls", load, urls.keyed(stored, layout), ["bucket"])
+        self._write("url_filters", load, urls.filters(keys, layout), ["bucket"])
         report = stored.agg(
             F.current_timestamp().alias("at"),
             F.count("*").alias("added"),
             F.coalesce(F.greatest(F.max("doc_id"), F.lit(max_id)), F.lit(max_id)).cast("bigint").alias("max_doc_id"),
-            F.lit(buckets).alias("buckets"),
-            F.lit(replace).alias("replaces"),
         )
-        self._write("loads", load, report, [])
+        self._report(load, report, buckets, replace, layout, source)
         return load
 
-    def report_nothing(self) -> int:
+    def _report(self, load: int, report: DataFrame, buckets: int, replace: bool, layout: urls.Shape | None, source: str | None) -> None:
+        facts = {"buckets": buckets, "replaces": replace, "url_buckets": layout and layout.buckets, "url_cells": layout and layout.cells, "source": source}
+        kinds = {f.name: f.dataType for f in _SCHEMAS["loads"]}
+        self._write("loads", load, report.withColumns({k: F.lit(v).cast(kinds[k]) for k, v in facts.items()}), [])
+
+    def report_nothing(self, source: str | None = None) -> int:
         """A load that added nothing: its report alone."""
-        last, max_id, known, live = self._state()
+        state = self._state()
         row = self.spark.range(1).select(
             F.current_timestamp().alias("at"),
             F.lit(0).cast("bigint").alias("added"),
-            F.lit(max_id).cast("bigint").alias("max_doc_id"),
-            F.lit(known or 1).alias("buckets"),
-            F.lit(False).alias("replaces"),
+            F.lit(state.max_doc_id).cast("bigint").alias("max_doc_id"),
         )
-        if known is None:  # the first posts choose the buckets
-            return self.add(self.posts())
-        self._write("loads", last + 1, row, [])
-        return last + 1
+        if state.buckets is None:  # the first posts choose the buckets
+            return self.add(self.posts(), source=source)
+        self._report(state.last + 1, row, state.buckets, False, None, source)
+        return state.last + 1
 
     def vacuum(self) -> int:
         """Delete the folders of loads that are superseded or were never committed; the reports stay."""
-        live = set(self._state()[3])
+        live = set(self._state().live)
         jvm, hadoop = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         deleted = 0
-        for table in set(_SCHEMAS) - {"loads"}:
+        for table in {*_SCHEMAS, "quarantine"} - {"loads"}:
             root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
             files = root.getFileSystem(hadoop)
             for status in files.listStatus(root) if files.exists(root) else []:
@@ -185,10 +230,9 @@ class Store:
         """Keep a load's rejected rows beside the corpus."""
         rows.write.mode("overwrite").parquet(f"{self.path}/quarantine/load={load}")
 
-    def _choose_buckets(self, sums: DataFrame) -> int:
+    def _choose_buckets(self, tokens: int) -> int:
         """Enough buckets to prune by, few enough to keep their files large. The first load
         decides; a store that starts small and grows gets new ones when it is compacted."""
-        tokens = sums.select((F.col("title") + F.col("content")).alias("n")).first().n
         most = max(8, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         return min(most, max(8, tokens // TOKENS_PER_BUCKET))
 

@@ -16,13 +16,14 @@ def start_ingest(
     """Load new posts as feed files arrive; one load per micro-batch.
 
     With `interval` ("100 seconds") the folder is polled for ever, without it what is
-    there now is loaded and the query ends. The checkpoint hands each file on once; should
-    a batch be repeated after a crash, its urls are already committed and nothing is added.
+    there now is loaded and the query ends. The checkpoint hands each file on once; a batch that is repeated
+    after a crash is known by the stream's id and its number, which the load report holds, and left at once.
     One ingest query per store.
     """
 
-    def load(batch: DataFrame, _: int) -> None:
-        load_feed(store, batch, dedupe_batch)
+    def load(batch: DataFrame, number: int) -> None:
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")  # kept in the checkpoint
+        load_feed(store, batch, dedupe_batch, source=f"{stream}/{number}")
 
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
     return (

@@ -33,6 +33,22 @@ def use(spark: SparkSession, sf_dir: str, built: Store) -> None:
     _stores[(spark.sparkContext.applicationId, sf_dir)] = built
 
 
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts that have a label stand for the ones loaded earlier."""
+    labels = corpus.read_table(spark, sf_dir, "labels").select("doc_id")
+    return corpus.posts(spark, sf_dir).join(labels, "doc_id", "left_semi")
+
+
+def labelled_store(spark: SparkSession, sf_dir: str) -> Store:
+    """A store of the labelled posts, built once per session and data folder."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir} labelled")
+    if key not in _stores:
+        built = Store(spark, shared_dir(spark, "labelled"))
+        built.add(labelled(spark, sf_dir))
+        _stores[key] = built
+    return _stores[key]
+
+
 def feed_files(spark: SparkSession, sf_dir: str) -> str:
     """A folder of Atom files with one entry per post of the `posts` view, written by Spark."""
     key = (spark.sparkContext.applicationId, sf_dir)

@@ -51,21 +51,17 @@ def feed_posts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _committed(spark: SparkSession, sf: str) -> DataFrame:
-    """Posts that have a label stand for the ones loaded earlier."""
-    labelled = corpus.read_table(spark, sf, "labels").select("doc_id")
-    return corpus.posts(spark, sf).join(labelled, "doc_id", "left_semi")
-
-
 def load_new_only(spark: SparkSession, sf: str) -> DataFrame:
-    new = ingest.only_new(corpus.posts(spark, sf), _committed(spark, sf))
+    """All posts against a store whose url keys are those of the labelled ones."""
+    batch = corpus.posts(spark, sf)
+    new = ingest.only_new(batch, inputs.labelled_store(spark, sf).known_urls(batch, Stage(spark)))
     return new.select("doc_id", "url", "title", seconds("date").alias("date_s"), joined("tags").alias("tags"))
 
 
 def load_report(spark: SparkSession, sf: str) -> DataFrame:
     """Two loads: the labelled posts, then all; the second adds what is new."""
     store = Store(spark, shared_dir(spark, "report"))
-    ingest.append_new(store, _committed(spark, sf).drop("doc_id"))
+    ingest.append_new(store, inputs.labelled(spark, sf).drop("doc_id"))
     ingest.append_new(store, corpus.posts(spark, sf).drop("doc_id"))
     return ingest.load_report(store).select("load", "added")
 
@@ -412,7 +408,7 @@ def line_search(spark: SparkSession, sf: str) -> DataFrame:
 def rebuild(spark: SparkSession, sf: str) -> DataFrame:
     """A load of part of the posts, replaced by a load of all of them."""
     store = Store(spark, shared_dir(spark, "rebuilt"))
-    ingest.rebuild(store, _committed(spark, sf).drop("doc_id"))
+    ingest.rebuild(store, inputs.labelled(spark, sf).drop("doc_id"))
     ingest.rebuild(store, corpus.posts(spark, sf).drop("doc_id"))
     n_loads = store.table("loads").select(F.count("*").cast("int")).scalar()
     return store.posts().select("doc_id", "url", n_loads.alias("n_loads"))
