@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from marginalia.plans.ingest import load_feed
-from marginalia.sources.feeds import stream_feeds
+from marginalia.sources.feeds import cut_entries, stream_feeds
 from marginalia.sources.store import Store
 
 
@@ -23,7 +23,9 @@ def start_ingest(
 
     def load(batch: DataFrame, number: int) -> None:
         stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")  # kept in the checkpoint
-        load_feed(store, batch, dedupe_batch, source=f"{stream}/{number}")
+        source = f"{stream}/{number}"
+        if not store.has_loaded(source):
+            load_feed(store, cut_entries(batch), dedupe_batch, source=source)
 
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
     return (

@@ -84,9 +84,41 @@ def test_a_broken_entry_costs_no_other(spark, tmp_path):
     (tmp_path / "c.xml").write_text("")
     (tmp_path / "d.xml").write_text("<feed>" + entry("u4", content="a </entry> b") + entry("u6", content="a <entry> b") + entry("u5")[:40])
     rows = feeds.entries_to_posts(feeds.read_feeds(spark, str(tmp_path)), raw=True).collect()
-    assert sorted(r.url for r in rows if r.problem is None) == ["u1", "u2", "u3", "u4"]
+    assert sorted(r.url for r in rows if r.problem is None) == ["u1", "u2", "u3", "u4", "u6"]
     kept = "".join(sorted((r.raw_entry for r in rows if r.problem), key=len))
-    assert bad in kept and "u6" in kept and "<entry> b]]></content>" in kept and entry("u5")[:40] in kept
+    assert bad in kept and entry("u5")[:40] in kept
+
+
+def test_entries_inside_cdata_belong_to_the_entry_around_them(spark, tmp_path):
+    quoted = "Feeds: <entry><title>x</title></entry> and <entry id='2'>"
+    write(tmp_path, "a.xml", entry("u1", content=quoted + " end"), entry("u2"), entry("u3", content="<![CDATA[ <entry> " * 3), "<entry-id>7</entry-id>", entry("u4"))
+    unclosed = entry("u6", content="a <entry> b").replace("]]>", "")
+    write(tmp_path, "b.xml", entry("u5", content="a <!-- <entry> --> b"), unclosed, entry("u7"), entry("u8", content="<entry"))
+    write(tmp_path, "c.xml", entry("u9").replace("<published>", "<entry-id>1</entry-id><published>"), entry("u10", content="x <entry>")[:-30])
+    rows = {r.url: r for r in feeds.entries_to_posts(feeds.read_feeds(spark, str(tmp_path)), raw=True).collect() if r.problem is None}
+    assert sorted(rows) == ["u1", "u2", "u3", "u4", "u5", "u6", "u8", "u9"]
+    assert rows["u1"].content == "Feeds: x and end" and rows["u4"].content == rows["u2"].content
+    # XML ends a section at the next mark, wherever that is: the entry left open goes on into the one behind it
+    assert "Python" in rows["u6"].content
+
+
+@pytest.mark.parametrize("size", ["300", "1000", "134217728"])
+def test_sections_across_stretches_of_a_file(spark, tmp_path, size):
+    """Cuts inside sections are undone wherever the stretches that tasks read begin."""
+    noise = "<entry> " * 40
+    posts = [entry(f"u{i}", content=f"{i} {noise if i % 3 == 0 else ''} {'x' * (i * 17 % 400)} end") for i in range(60)]
+    write(tmp_path, "a.xml", *posts)
+    write(tmp_path, "b.xml", *[p.replace('"u', '"v') for p in posts[:9]])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, size)
+        df = feeds.entries_to_posts(feeds.read_feeds(spark, str(tmp_path)))
+        got = {r.url: (r.problem, r.content[:3].split()[0], r.content[-3:]) for r in df.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {f"{c}{i}": (None, str(i), "end") for c, n in (("u", 60), ("v", 9)) for i in range(n)}
 
 
 def test_one_file_is_read_by_several_tasks(spark, tmp_path):

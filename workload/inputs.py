@@ -49,24 +49,51 @@ def labelled_store(spark: SparkSession, sf_dir: str) -> Store:
     return _stores[key]
 
 
+#: What every seventh post of the feed quotes: an entry of another feed.
+QUOTED = '\n<entry id="q"><b>quoted</b></entry> and <![CDATA[ after'
+
+
 def feed_files(spark: SparkSession, sf_dir: str) -> str:
-    """A folder of Atom files with one entry per post of the `posts` view, written by Spark."""
+    """A folder of Atom files with one entry per post of the `posts` view.
+
+    Every seventh post quotes a feed and stands in a CDATA section, unless its text could not; the others are
+    written by Spark.
+    """
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _feeds:
-        path = shared_dir(spark, "feed")
-        posts = corpus.posts(spark, sf_dir)
-        terms = F.concat(F.array("category"), F.transform("tags", F.upper))
-        posts.select(
-            "title",
-            F.array(F.struct(F.col("url").alias("_href"))).alias("link"),
-            F.transform(terms, lambda t: F.struct(t.alias("_term"))).alias("category"),
-            F.date_format(F.to_utc_timestamp("date", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias(
-                "published"
-            ),
-            F.struct(F.col("content").alias("_VALUE"), F.lit("html").alias("_type")).alias("content"),
-        ).write.format("xml").option("rootTag", "feed").option("rowTag", "entry").save(path)
-        _feeds[key] = path
-    return _feeds[key]
+    if key in _feeds:
+        return _feeds[key]
+    path = shared_dir(spark, "feed")
+    quotes = F.col("doc_id") % 7 == 0
+    content = F.when(quotes, F.concat("content", F.lit(QUOTED))).otherwise(F.col("content"))
+    posts = corpus.posts(spark, sf_dir).select(
+        "title",
+        "url",
+        F.concat(F.array("category"), F.transform("tags", F.upper)).alias("terms"),
+        F.date_format(F.to_utc_timestamp("date", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("published"),
+        content.alias("content"),
+        (quotes & ~F.col("content").rlike(r"[\x00-\x08\x0B-\x1F]|\]\]>") & ~F.col("title").rlike(r"[\x00-\x1F]")).alias("literal"),
+    )
+    posts.where(~F.col("literal")).select(
+        "title",
+        F.array(F.struct(F.col("url").alias("_href"))).alias("link"),
+        F.transform("terms", lambda t: F.struct(t.alias("_term"))).alias("category"),
+        "published",
+        F.struct(F.col("content").alias("_VALUE"), F.lit("html").alias("_type")).alias("content"),
+    ).write.format("xml").option("rootTag", "feed").option("rowTag", "entry").save(path)
+
+    def escaped(c: Column) -> Column:
+        for char, name in (("&", "amp"), ("<", "lt"), (">", "gt"), ('"', "quot")):
+            c = F.replace(c, F.lit(char), F.lit(f"&{name};"))
+        return c
+
+    entry = F.concat(
+        F.lit("<entry><title>"), escaped(F.col("title")), F.lit('</title><link href="'), escaped(F.col("url")), F.lit('"/>'),
+        F.array_join(F.transform("terms", lambda t: F.concat(F.lit('<category term="'), escaped(t), F.lit('"/>'))), ""),
+        F.lit("<published>"), F.col("published"), F.lit('</published><content type="html"><![CDATA['), F.col("content"), F.lit("]]></content></entry>"),
+    )
+    posts.where("literal").select(entry).write.mode("append").text(path)
+    _feeds[key] = path
+    return path
 
 
 def one_request(

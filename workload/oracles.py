@@ -14,6 +14,13 @@ posts AS (
                     || CASE WHEN l.toxic = 1 THEN ['toxic'] ELSE [] END AS tags
   FROM documents d LEFT JOIN labels l USING (doc_id))"""
 
+# The posts as the feed has them: every seventh quotes an entry of another feed.
+FED = (
+    POSTS
+    + r""",
+fed AS (SELECT * REPLACE (CASE WHEN doc_id % 7 = 0 THEN content || chr(10) || '<entry id="q"><b>quoted</b></entry> and <![CDATA[ after' ELSE content END AS content) FROM posts)"""
+)
+
 TOKENS = (
     POSTS
     + r""",
@@ -292,11 +299,11 @@ lines AS (
 )
 
 ORACLES = {
-    "feed_scan": f"""WITH {POSTS} SELECT url AS href, title,
+    "feed_scan": f"""WITH {FED} SELECT url AS href, title,
         strftime(make_timestamp(date_s * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') AS published,
-        array_to_string([category] || list_transform(tags, lambda t: upper(t)), ',') AS terms, content FROM posts""",
-    "feed_posts": f"""WITH {POSTS} SELECT url, title, {decoded(CLEAN.replace("(html,", "(content,"))} AS content, date_s, category,
-        array_to_string(tags, ',') AS tags FROM posts""",
+        array_to_string([category] || list_transform(tags, lambda t: upper(t)), ',') AS terms, content FROM fed""",
+    "feed_posts": f"""WITH {FED} SELECT url, title, {decoded(CLEAN.replace("(html,", "(content,"))} AS content, date_s, category,
+        array_to_string(tags, ',') AS tags FROM fed""",
     "load_new_only": _unlabelled("doc_id, url, title, date_s, array_to_string(tags, ',') AS tags"),
     "load_report": """SELECT 1 AS load, count(*) AS added FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)
         UNION ALL SELECT 2, count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
@@ -367,8 +374,8 @@ ORACLES = {
     "stream_search": _RESPONSES,
     "line_search": f"""WITH RECURSIVE {INDEX}{_LINES}{MATCHED.replace('{excluded_limit}', ALL)}{BATCH_HITS}
         SELECT line, response FROM responses JOIN lines USING (request_id)""",
-    "stream_ingest": f"""WITH {POSTS} SELECT url, title, {decoded(CLEAN.replace("(html,", "(content,"))} AS content, date_s, category,
-        array_to_string(tags, ',') AS tags FROM posts""",
+    "stream_ingest": f"""WITH {FED} SELECT url, title, {decoded(CLEAN.replace("(html,", "(content,"))} AS content, date_s, category,
+        array_to_string(tags, ',') AS tags FROM fed""",
     "rebuild": f"""WITH {POSTS} SELECT row_number() OVER (ORDER BY url) - 1 AS doc_id, url, 1 AS n_loads FROM posts""",
     "request_lines": r"""WITH lines AS (
           SELECT conv_id || '-' || turn AS request_id, turn, regexp_replace(text, '[,\n]', ' ', 'g') AS t,
