@@ -1,47 +1,58 @@
-"""WARC archives written and read by index.
+"""WARC archives of one gzip member per record, written and read by index.
 
-Index first: each record's head, its length and its place are columns before a byte is written. Records are dealt over
-archive files by a hash, ordered inside a file, and a running sum of lengths gives offsets. The text writer, with the record separator as its
-line separator, then writes exactly those bytes, committed task by task. Readers take selected index rows file by file,
-sort them by offset, merge neighbouring byte ranges into one read each, and check every digest.
+Pages are read twice: once for the digests of payloads that repeat, and once to make records, compress each and deal them over archive files.
+A file's task writes its members one after the other and hands out the index: path, offset, length, url, digest, page_id. Rows of the index
+name whole members, so readers seek to any record, and programs that know nothing of the index read a file from its start. Readers take
+selected index rows file by file, sort them by offset, merge neighbouring byte ranges into one read each, and check every digest.
+
+Each try of a writing task has a file of its own; only files of tries that ended stand in the index, so a lost executor leaves a file that nothing names.
 
 Null payloads are empty; a null url is written as an empty target; repeated rows are records of their own. Of records with equal payloads the
 one with the largest page_id is the response, others revisit it (repeated rows of that page_id are all responses). Null page_ids count as the smallest; an empty table gives an empty archive.
+Payloads and urls are bytes here: what is not UTF-8 comes back as it was. A target with line ends is written with those escaped, and whole in a field of its own.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import unquote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.base import saved
 from marginalia.session import shared_dir
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-END = "\r\n\r\n"
+END = b"\r\n\r\n"
 #: Bytes of payload per archive file, and the largest gap that is read through rather than skipped.
 FILE_BYTES, GAP = 256 << 20, 64 << 10
+_PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def base32_sha1(payload: Column) -> Column:
     """SHA-1 in base 32: five hex digits of the sum are four base-32 digits."""
-    hexed = F.sha1(F.encode(payload, "UTF-8"))
+    hexed = F.sha1(payload.cast("binary"))
     parts = [F.conv(F.substring(hexed, 1 + 5 * i, 5), 16, 10).cast("int") for i in range(8)]
     digit = lambda p, s: F.substr(F.lit(BASE32), F.shiftright(p, s).bitwiseAND(31) + 1, F.lit(1))
     return F.concat(*[digit(p, s) for p in parts for s in (15, 10, 5, 0)])
 
 
+def _rows(pages: DataFrame) -> DataFrame:
+    raw = lambda c: F.coalesce(F.col(c).cast("binary"), F.lit("").cast("binary"))
+    rows = pages.select("page_id", raw("url").alias("url"), raw("html").alias("payload"))
+    return rows.withColumn("payload_bytes", F.octet_length("payload").cast("bigint")).withColumn("payload_digest", base32_sha1(F.col("payload")))
+
+
 def records(pages: DataFrame, at_least: int = 0) -> DataFrame:
     """Per page: payload, digest, type and what it refers to. Only digests travel to find equal payloads."""
-    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
-    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("bigint")).withColumn("payload_digest", base32_sha1(F.col("payload")))
+    rows = _rows(pages)
     last = (
         rows.where(F.col("payload_bytes") >= at_least)
         .groupBy(F.col("payload_digest").alias("_digest"))
@@ -58,54 +69,78 @@ def records(pages: DataFrame, at_least: int = 0) -> DataFrame:
     )
 
 
-def _record(url: Column) -> tuple[Column, Column]:
-    """A record's head and body."""
-    body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise("")
-    page = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
-    head = F.concat_ws(
-        "\r\n",
-        F.lit("WARC/1.1"),
-        F.concat(F.lit("WARC-Type: "), F.col("record_type")),
-        F.concat(F.lit("WARC-Record-ID: "), page(F.col("page_id"))),
-        F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(F.regexp_replace(url, "%", "%25"), "[\r\n]", "%0A")),
-        F.lit("WARC-Date: 1970-01-01T00:00:00Z"),
-        F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("payload_digest")),
-        F.when(F.col("record_type") == "revisit", F.concat(F.lit("WARC-Refers-To: "), page(F.col("refers_to")))),
-        F.when(F.col("record_type") == "revisit", F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-        F.concat(F.lit("WARC-Full-Length: "), F.col("payload_bytes").cast("string")),
-        F.lit("Content-Type: text/html"),
-        F.concat(F.lit("Content-Length: "), F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(0).cast("string")),
-    )
-    return F.concat(head, F.lit(END)), body
+def _member(page_id, url: bytes, payload: bytes, digest: str, refers_to, revisit: bool) -> bytes:
+    """A record as one gzip member."""
+    page = lambda x: b"<urn:page:%s>" % (b"null" if x is None else str(x).encode())
+    body = b"" if revisit else payload
+    lines = [
+        b"WARC/1.1",
+        b"WARC-Type: " + (b"revisit" if revisit else b"response"),
+        b"WARC-Record-ID: " + page(page_id),
+        b"WARC-Target-URI: " + url.replace(b"\r", b"%0D").replace(b"\n", b"%0A"),
+        b"WARC-Date: 1970-01-01T00:00:00Z",
+        b"WARC-Payload-Digest: sha1:" + digest.encode(),
+    ]
+    if revisit:
+        lines += [b"WARC-Refers-To: " + page(refers_to), b"WARC-Profile: " + _PROFILE]
+    if b"\r" in url or b"\n" in url:
+        lines.append(b"WARC-Target-Base64: " + base64.b64encode(url))
+    lines += [b"WARC-Full-Length: %d" % len(payload), b"Content-Type: text/html", b"Content-Length: %d" % len(body)]
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(b"\r\n".join(lines) + END + body + END) + packer.flush()
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["page_id", "url", "payload", "payload_digest", "refers_to", "record_type"]
+    for batch in batches:
+        made = [
+            _member(p.as_py(), u.as_py(), x.as_py(), d.as_py(), r.as_py(), t.as_py() == "revisit") for p, u, x, d, r, t in zip(*[batch[c] for c in names])
+        ]
+        kept = ["file", "page_id", "url", "payload_digest", "record_type"]
+        yield pa.RecordBatch.from_arrays([*[batch[c] for c in kept], pa.array(made, pa.binary())], [*kept, "member"])
 
 
 def write(pages: DataFrame, path: str | None = None, at_least: int = 0) -> DataFrame:
     """Write the archive; returns its index: path, offset, length, url, digest, page_id."""
     spark = pages.sparkSession
     path = path or shared_dir(spark, "warc")
-    planned = records(pages, at_least)
+    uri = path if "://" in path else f"file://{path.removeprefix('file:')}"
     size = pages.agg(F.sum(F.octet_length("html")), F.count("*")).first()
     files = max(1, ((size[0] or 0) + 600 * size[1]) // FILE_BYTES + 1, min(64, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    # rows equal in all of `order` are equal records
-    order = ["page_id", "payload_digest", "url", "record_type"]
-    head, body = _record(F.col("url"))
-    planned = (
-        planned.withColumn("head", head)
-        .withColumn("body", body)
-        .withColumn("file", F.pmod(F.xxhash64("page_id", "payload_digest"), F.lit(files)).cast("int"))
-        .withColumn("length", F.octet_length("head") + F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(0))
-    )
-    # the index comes first and needs no payload: places follow from the order and the lengths
-    before = Window.partitionBy("file").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    index = planned.select("file", "length", *order).withColumn("offset", F.coalesce(F.sum(F.col("length") + len(END)).over(before), F.lit(0)))
-    index = saved(index.select("file", "offset", "length", "url", F.col("payload_digest").alias("digest"), "page_id"), "warc-index")
-    lines = planned.select("file", F.concat("head", "body").alias("value"), *order).repartition(files, "file").sortWithinPartitions("file", *order)
-    lines.select("file", "value").write.partitionBy("file").option("lineSep", END).text(path)
-    named = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path)
-        .select(F.regexp_extract("path", r"/file=(\d+)/", 1).cast("int").alias("file"), "path")
-    )
-    return index.join(named, "file").select("path", "offset", "length", "url", "digest", "page_id")
+    order = ["page_id", "payload_digest", "url", "record_type"]  # rows equal in these are equal records
+    id_kind = pages.select("page_id").schema[0].dataType.simpleString()
+    dealt = records(pages, at_least).withColumn("file", F.pmod(F.xxhash64("page_id", "payload_digest", "url"), F.lit(files)).cast("int"))
+    made = dealt.mapInArrow(_members, f"file int, page_id {id_kind}, url binary, payload_digest string, record_type string, member binary")
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, own, name, at = None, None, None, 0
+        store, folder = fs.FileSystem.from_uri(uri)
+        store.create_dir(folder, recursive=True)
+        try:
+            for batch in batches:
+                files, members = batch["file"].to_pylist(), batch["member"]
+                paths, offsets, lengths = [], [], []
+                for f, m in zip(files, members):
+                    if f != own:
+                        if out is not None:
+                            out.close()
+                        name, own, at = f"{uuid.uuid4().hex}.warc.gz", f, 0
+                        out = store.open_output_stream(f"{folder}/{name}", compression=None)
+                    raw = m.as_py()
+                    out.write(raw)
+                    paths.append(f"{uri}/{name}")
+                    offsets.append(at)
+                    lengths.append(len(raw))
+                    at += len(raw)
+                made = [pa.array(paths, pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64()), batch["url"], batch["payload_digest"], batch["page_id"]]
+                yield pa.RecordBatch.from_arrays(made, ["path", "offset", "length", "url", "digest", "page_id"])
+        finally:
+            if out is not None:
+                out.close()
+
+    ordered = made.repartition(files, "file").sortWithinPartitions("file", *order)
+    index = ordered.mapInArrow(put, f"path string, offset bigint, length bigint, url binary, digest string, page_id {id_kind}")
+    return saved(index.withColumn("url", F.col("url").cast("string")), "warc-index")
 
 
 def _ranges(rows: list[tuple[int, int]], gap: int) -> list[tuple[int, int, list[tuple[int, int]]]]:
@@ -120,6 +155,24 @@ def _ranges(rows: list[tuple[int, int]], gap: int) -> list[tuple[int, int, list[
     return out
 
 
+def _parsed(member: bytes, where: str) -> tuple:
+    """A record's values, its digest checked."""
+    head, _, rest = zlib.decompress(member, 31).partition(END)
+    field = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
+    body = rest[: int(field[b"Content-Length"])]
+    digest = field[b"WARC-Payload-Digest"].removeprefix(b"sha1:")
+    response = field[b"WARC-Type"] == b"response"
+    if rest[len(body) :] != END or response and base64.b32encode(hashlib.sha1(body).digest()) != digest:
+        raise ValueError(f"{where} is damaged")
+    number = lambda k: None if (v := field.get(k, b"<urn:page:null>")[10:-1]) == b"null" else int(v)
+    exact = field.get(b"WARC-Target-Base64")
+    url = base64.b64decode(exact) if exact else field[b"WARC-Target-URI"]
+    return (
+        number(b"WARC-Record-ID"), url, field[b"WARC-Type"].decode(), number(b"WARC-Refers-To"), digest.decode(),
+        int(field[b"WARC-Full-Length"]), body if response else None,
+    )
+
+
 def fetch(selected: DataFrame) -> DataFrame:
     """The records of index rows: page_id, url, record_type, refers_to, payload_digest, payload_bytes, payload (null for a revisit).
 
@@ -128,45 +181,34 @@ def fetch(selected: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, name = None, None
         for batch in batches:
-            rows = sorted(set(zip(batch["path"].to_pylist(), batch["offset"].to_pylist(), batch["length"].to_pylist())))
-            by_path: dict[str, list[tuple[int, int]]] = {}
-            for p, o, n in rows:
-                by_path.setdefault(p, []).append((o, n))
+            by_path: dict[str, set[tuple[int, int]]] = {}
+            for p, o, n in zip(*[batch[c].to_pylist() for c in ("path", "offset", "length")]):
+                by_path.setdefault(p, set()).add((o, n))
             for p, wanted in by_path.items():
-                if p != name:
-                    store, at = fs.FileSystem.from_uri(unquote(p))
-                    held, name = store.open_input_file(at), p
+                store, at = fs.FileSystem.from_uri(unquote(p))
                 out: list[tuple] = []
-                for a, b, members in _ranges(wanted, GAP):
-                    data = held.read_at(b - a, a)
-                    for o, n in members:
-                        head, _, body = data[o - a : o - a + n].partition(END.encode())
-                        field = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-                        digest = field["WARC-Payload-Digest"].removeprefix("sha1:")
-                        response = field["WARC-Type"] == "response"
-                        if len(body) != int(field["Content-Length"]) or response and base64.b32encode(hashlib.sha1(body).digest()).decode() != digest:
-                            raise ValueError(f"record at {o} of {p} is damaged")
-                        number = lambda k: None if (v := field.get(k, "<urn:page:null>")[10:-1]) == "null" else int(v)
-                        url = field["WARC-Target-URI"].replace("%0A", "\n").replace("%25", "%")
-                        out.append((number("WARC-Record-ID"), url, field["WARC-Type"], number("WARC-Refers-To"), digest, int(field["WARC-Full-Length"]), body.decode() if response else None))
-                    if sum(len(x[-1] or "") for x in out) > 8 << 20:
-                        yield _batch(out)
-                        out = []
+                with store.open_input_file(at) as held:
+                    for a, b, members in _ranges(sorted(wanted), GAP):
+                        data = held.read_at(b - a, a)
+                        out += [_parsed(data[o - a : o - a + n], f"record at {o} of {p}") for o, n in members]
+                        if sum(len(x[-1] or b"") for x in out) > 8 << 20:
+                            yield _batch(out)
+                            out = []
                 if out:
                     yield _batch(out)
 
     files = int(selected.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
+    found = (
         selected.select("path", "offset", "length")
         .repartition(files, "path")
         .sortWithinPartitions("path", "offset")
-        .mapInArrow(run, "page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, payload_bytes bigint, payload string")
+        .mapInArrow(run, "page_id bigint, url binary, record_type string, refers_to bigint, payload_digest string, payload_bytes bigint, payload binary")
     )
+    return found.withColumns({c: F.col(c).cast("string") for c in ("url", "payload")})
 
 
-_KINDS = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+_KINDS = [pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
 _NAMES = ["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"]
 
 

@@ -1,5 +1,8 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names, for every operator and stage."""
 
+import gzip
+import os
+
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
@@ -155,17 +158,41 @@ def test_packing(docs):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
-def test_archive(spark):
-    rows = [(1, "u", "x"), (2, None, None), (3, "http://a/%0A\n", "x"), (4, "u", "é\r\n\r\nWARC/1.1\r\n"), (4, "u", "é\r\n\r\nWARC/1.1\r\n"), (None, "n", "x"), (5, "u", "")]
+def test_archive(spark, tmp_path):
+    rows = [
+        (1, "u", "x"), (2, None, None), (3, "http://a/%0A\n", "x"), (4, "u", "é\r\n\r\nWARC/1.1\r\n"), (4, "u", "é\r\n\r\nWARC/1.1\r\n"), (None, "n", "x"), (5, "u", ""),
+        (6, "https://a.example/x%20y", "long " * 40_000),
+    ]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("path", F.lit("clash"))
-    got = archive.fetch(archive.write(pages)).collect()
+    index = archive.write(pages, str(tmp_path / "warc"))
+    got = archive.fetch(index).collect()
     key = lambda r: (r[0] is not None, r[0] or 0)
     assert sorted(((r.page_id, r.record_type, r.refers_to, r.payload) for r in got), key=key) == [
         (None, "revisit", 3, None), (1, "revisit", 3, None), (2, "revisit", 5, None), (3, "response", None, "x"),
-        (4, "response", None, rows[3][2]), (4, "response", None, rows[3][2]), (5, "response", None, ""),
+        (4, "response", None, rows[3][2]), (4, "response", None, rows[3][2]), (5, "response", None, ""), (6, "response", None, rows[7][2]),
     ]
     assert {r.url for r in got if r.page_id == 3} == {"http://a/%0A\n"}
+    assert [r.page_id for r in archive.fetch(index.where("page_id = 6")).collect()] == [6]
     assert archive.fetch(archive.write(pages.limit(0))).count() == 0
+    # a reader that knows no index sees plain records, and targets as they were
+    seen = {}
+    for name in {r.path for r in index.collect()}:
+        with gzip.open(name.removeprefix("file://")) as f:
+            while line := f.readline():
+                assert line == b"WARC/1.1\r\n"
+                fields = dict(x.decode().rstrip("\r\n").split(": ", 1) for x in iter(f.readline, b"\r\n"))
+                body = f.read(int(fields["Content-Length"]))
+                assert f.read(4) == b"\r\n\r\n"
+                seen[fields["WARC-Record-ID"]] = (fields["WARC-Target-URI"], body)
+    assert seen["<urn:page:6>"] == (rows[7][1], rows[7][2].encode()) and seen["<urn:page:3>"] == ("http://a/%0A%0A", b"x") and len(seen) == 7
+    assert sum(r.length for r in index.collect()) == sum(os.path.getsize(p.path.removeprefix("file://")) for p in index.select("path").distinct().collect())
+
+
+def test_archives_keep_bytes_that_are_not_text(spark):
+    odd = F.unhex(F.lit("FF00C3")).cast("string")
+    pages = spark.range(3).select(F.col("id").alias("page_id"), odd.alias("url"), F.when(F.col("id") > 0, odd).alias("html"))
+    got = archive.fetch(archive.write(pages)).select("page_id", F.hex("url"), F.hex("payload"), "payload_bytes").orderBy("page_id").collect()
+    assert [tuple(r) for r in got] == [(0, "FF00C3", "", 0), (1, "FF00C3", None, 3), (2, "FF00C3", "FF00C3", 3)]
 
 
 def test_toxicity(spark, docs):
