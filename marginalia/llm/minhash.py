@@ -13,7 +13,8 @@ Every pair is confirmed on whole sets. Components come from alternating large-st
 
 At similarity 0.85 a pair shares none of 30 bands of 4 with probability 2e-10, at 0.8 with 2e-7.
 
-Null texts are empty texts. Rows with the same doc_id and text are one document, returned per row; rows with a null
+Null texts are empty texts. Rows with the same doc_id and text are one document, returned per row; texts that share a doc_id are documents
+of their own, linked by their sets alone, and a component's name is the smallest doc_id among them. Rows with a null
 doc_id keep a null component unless they equal a document that has one. Empty tables give empty results. Other columns are not touched.
 """
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.base import Words, lowered, mix, saved, slices, text_bytes
+from marginalia.llm.base import Words, lowered, mix, saved, slices, text_bytes, text_key
 
 BANDS, ROWS = 30, 4
 _rng = np.random.default_rng(11)
@@ -56,7 +57,7 @@ def _sets(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """Per row doc_id, n (set size), two halves of the set's fingerprint, and the minima; the last three null for empty sets."""
+    """Per row doc_id, th (text_key), n (set size), two halves of the set's fingerprint, and the minima; the last three null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -74,55 +75,61 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                         low = np.minimum(low, (_A[:, None] * part + _B[:, None]).min(axis=1))
                     sig.append((low >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].cast(pa.int64()), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sig, pa.list_(pa.int32()))],
-                    ["doc_id", "n", "d1", "d2", "sig"],
+                    [batch["doc_id"].cast(pa.int64()), batch["th"], pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sig, pa.list_(pa.int32()))],
+                    ["doc_id", "th", "n", "d1", "d2", "sig"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, d1 bigint, d2 bigint, sig array<int>")
+    rows = docs.select("doc_id", text_key(docs).alias("th"), "text")
+    return rows.mapInArrow(run, "doc_id bigint, th bigint, n bigint, d1 bigint, d2 bigint, sig array<int>")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
+    """(node, shingles) of rows (node, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in slices(batches):
                 sets = [s.view(np.int64) for s in _sets(batch, k)]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch["node"], pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, shingles array<bigint>")
+    return docs.select("node", "text").mapInArrow(run, "node bigint, shingles array<bigint>")
 
 
 def buckets(reps: DataFrame) -> DataFrame:
-    """(bucket, doc_id): one row per band, only buckets with company."""
+    """(bucket, node): one row per band, only buckets with company."""
     band = lambda b: F.xxhash64(F.lit(b), *[F.get("sig", F.lit(b * ROWS + r)) for r in range(ROWS)])
-    rows = reps.select("doc_id", F.explode(F.array(*[band(b) for b in range(BANDS)])).alias("bucket"))
+    rows = reps.select("node", F.explode(F.array(*[band(b) for b in range(BANDS)])).alias("bucket"))
     return rows
 
 
 def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that sizes and minima do not rule out; the minima's margin is over six deviations."""
-    sig = reps.select("doc_id", "n", "sig")
+    sig = reps.select("node", "n", "sig")
     agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
     p = percent / 100
     least = int(BANDS * ROWS * (p - 6.5 * (p * (1 - p) / (BANDS * ROWS)) ** 0.5))
     return saved(
-        pairs.join(sig.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
-        .join(sig.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
+        pairs.join(sig.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
+        .join(sig.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
         .where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (agree >= least))
         .select("a", "b", "na", "nb"),
         "likely",
     )
 
 
-def sets_of(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    return saved(shingle_sets(docs.join(ids, "doc_id", "left_semi"), k), "sets")
+def sets_of(nodes: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """The sets of nodes, from the texts that stand for them."""
+    own = reps.join(nodes, "node", "left_semi").select("node", F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+    rows = docs.withColumn("th", text_key(docs))
+    return saved(shingle_sets(rows.join(own, (rows["doc_id"] == own["_id"]) & (rows["th"] == own["_th"])), k), "sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The links among pairs (a, b, na, nb), decided on whole sets."""
     both = F.size(F.array_intersect("xa", "xb"))
     return saved(
-        pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xa")), "a")
-        .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("xb")), "b")
+        pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a")
+        .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb")), "b")
         .where(100 * both >= percent * (F.col("na") + F.col("nb") - both))
         .select("a", "b"),
         "links",
@@ -130,12 +137,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(doc_id, centre, n, held, lacks, beside): a set as its differences from the centre's set, which has `held` shingles."""
+    """(node, centre, n, held, lacks, beside): a set as its differences from the centre's set, which has `held` shingles."""
     return (
-        pairs.join(sets.select("doc_id", F.col("shingles").alias("x")), "doc_id")
-        .join(sets.select(F.col("doc_id").alias("centre"), F.col("shingles").alias("c")), "centre")
+        pairs.join(sets.select("node", F.col("shingles").alias("x")), "node")
+        .join(sets.select(F.col("node").alias("centre"), F.col("shingles").alias("c")), "centre")
         .select(
-            "doc_id", "centre", F.size("x").cast("bigint").alias("n"), F.size("c").cast("bigint").alias("held"),
+            "node", "centre", F.size("x").cast("bigint").alias("n"), F.size("c").cast("bigint").alias("held"),
             F.array_except("c", "x").alias("lacks"), F.array_except("x", "c").alias("beside"),
         )
     )
@@ -149,9 +156,9 @@ def crossing(members: DataFrame, percent: int) -> DataFrame:
     size_class = lambda n: F.floor(F.log(n.cast("double")) / F.lit(0.03)).cast("int")
     low = F.ceil(F.col("n") * percent / 100)
     classes = F.explode(F.sequence(size_class(low), size_class(F.col("n")))).alias("class")
-    x = members.select("centre", classes, F.col("doc_id").alias("a"), F.col("component").alias("ca"), "n", "held", "lacks", "beside")
+    x = members.select("centre", classes, F.col("node").alias("a"), F.col("component").alias("ca"), "n", "held", "lacks", "beside")
     y = members.select(
-        F.col("centre").alias("centre_y"), size_class(F.col("n")).alias("class_y"), F.col("doc_id").alias("b"), F.col("component").alias("cb"),
+        F.col("centre").alias("centre_y"), size_class(F.col("n")).alias("class_y"), F.col("node").alias("b"), F.col("component").alias("cb"),
         F.col("n").alias("m"), F.col("lacks").alias("lacks_y"), F.col("beside").alias("beside_y"),
     )
     once = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("a") < F.col("b")))
@@ -164,7 +171,7 @@ def crossing(members: DataFrame, percent: int) -> DataFrame:
 
 
 def components(links: DataFrame, most: int = 40) -> DataFrame:
-    """(doc_id, component) for every id in `links` (a, b): the smallest id reachable. Each step ends in files; `most` steps double that many times."""
+    """(node, component) for every node in `links` (a, b): the smallest one reachable. Each step ends in files; `most` steps double that many times."""
     edges = saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
     before = None
     for _ in range(most):
@@ -185,41 +192,45 @@ def components(links: DataFrame, most: int = 40) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     nodes = edges.select("u", "v")
-    return nodes.select(F.col("u").alias("doc_id"), F.col("v").alias("component")).union(nodes.select("v", "v").distinct())
+    return nodes.select(F.col("u").alias("node"), F.col("v").alias("component")).union(nodes.select("v", "v").distinct())
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Per row doc_id, n_shingles, component_id (smallest doc_id reachable over links, itself included), kept."""
+    """Per row doc_id, n_shingles, component_id (smallest doc_id reachable over links, itself included), kept, th (text_key of its text)."""
     rows = docs.select("doc_id", "text")
     signed = saved(signatures(rows, k), "signatures")
-    classes = saved(
-        signed.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("doc_id"), F.min_by("sig", "doc_id").alias("sig")),
-        "classes",
-    )
+    first = F.min("doc_id").alias("doc_id"), F.min_by("th", "doc_id").alias("th"), F.min_by("sig", "doc_id").alias("sig")
+    classes = signed.where("n > 0").groupBy("d1", "d2", "n").agg(*first)
+    # a class is a node of the graph under a number of its own: doc_ids need not tell texts apart
+    classes = saved(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     reps = classes.where("doc_id is not null")
     members = buckets(reps)
     by_bucket = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     shared = saved(members.join(by_bucket, "bucket"), "buckets")
-    company = shared.groupBy("doc_id").agg(F.sum("size").alias("company"))
-    centre = shared.join(company, "doc_id").groupBy("bucket").agg(F.max(F.struct("company", (-F.col("doc_id")).alias("doc_id")))["doc_id"].alias("centre"))
-    shared = saved(shared.join(centre.select("bucket", (-F.col("centre")).alias("centre")), "bucket").select("bucket", "doc_id", "centre"), "centres")
-    star = shared.where("doc_id != centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
+    company = shared.groupBy("node").agg(F.sum("size").alias("company"))
+    centre = shared.join(company, "node").groupBy("bucket").agg(F.max(F.struct("company", (-F.col("node")).alias("node")))["node"].alias("centre"))
+    shared = saved(shared.join(centre.select("bucket", (-F.col("centre")).alias("centre")), "bucket").select("bucket", "node", "centre"), "centres")
+    star = shared.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     near = likely(star, reps, percent)
-    links = confirmed(near, sets_of(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), rows, k), percent)
+    links = confirmed(near, sets_of(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), reps, rows, k), percent)
     part = saved(components(links), "components")
 
     # what is left: buckets that still span several components
-    placed = shared.join(part, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = shared.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     span = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    left = saved(placed.join(span, "bucket").select("doc_id", "component", "centre").distinct(), "left")
-    sets = sets_of(left.select("doc_id").distinct(), rows, k)
-    members = saved(differences(left.select("doc_id", "centre"), sets).join(left, ["doc_id", "centre"]), "members")
+    left = saved(placed.join(span, "bucket").select("node", "component", "centre").distinct(), "left")
+    sets = sets_of(left.select("node").distinct(), reps, rows, k)
+    members = saved(differences(left.select("node", "centre"), sets).join(left, ["node", "centre"]), "members")
     more = saved(crossing(members, percent), "links")
     whole = saved(components(links.union(more)), "components")
 
-    linked = classes.join(whole, "doc_id", "left").select("d1", "d2", F.col("n").alias("_n"), F.coalesce("component", "doc_id").alias("component"))
+    # a component is named by its smallest doc_id; one that stands alone by its own
+    owned = classes.join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = owned.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("classes")).where("classes > 1")
+    linked = owned.join(names.select("component", "component_id"), "component", "left")
+    linked = linked.select("d1", "d2", F.col("n").alias("_n"), F.coalesce("component_id", F.col("doc_id")).alias("component_id"))
     same = (signed["d1"] == linked["d1"]) & (signed["d2"] == linked["d2"]) & (signed["n"] == linked["_n"])
     out = signed.join(linked, same, "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
+        signed["doc_id"], F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("n") == 0, signed["doc_id"])).alias("component_id"), signed["th"]
     )
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "th")

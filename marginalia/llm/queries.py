@@ -35,7 +35,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(read(spark, sf_dir, "documents"), k=3, percent=85)
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), k=3, percent=85).drop("th")
 
 
 def op6_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:

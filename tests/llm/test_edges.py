@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from marginalia.llm import archive, chat, minhash, packing, quality, spans, suffix, tiling, tokens, toxicity
+from marginalia.llm.base import text_key
 
 LONG = " ".join(f"Word{i % 977} and{i % 13}." for i in range(30_000))
 PASSAGE = "The first of many words stands here with others. Then another one follows it closely, and more. At last a third sentence ends it all."
@@ -105,6 +106,33 @@ def test_near_duplicates(docs):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_texts_that_share_a_doc_id_are_documents_of_their_own(spark):
+    base = [f"w{i}" for i in range(60)]
+    a, a1, b = " ".join(base), " ".join([*base, "more"]), " ".join(f"v{i}" for i in range(60))
+    rows = [(3, a), (5, a1), (5, b), (9, b + " x"), (9, a + " y"), (9, "alone " + " ".join(f"u{i}" for i in range(30))), (9, ""), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    by_text = {t: i for i, (_, t) in enumerate(rows)}
+    keyed = df.withColumn("th", text_key(df)).distinct()
+    got = minhash.near_duplicates(df).join(keyed.select("th", "text"), "th").collect()
+    assert {(by_text[r.text], r.doc_id): (r.component_id, r.kept) for r in got} == {
+        (7, 3): (3, True), (1, 5): (3, False), (2, 5): (5, True), (3, 9): (5, False), (4, 9): (3, False), (5, 9): (9, True), (6, 9): (9, True), (7, None): (3, False),
+    }
+
+
+def test_the_pipeline_drops_rows_not_numbers(spark):
+    base = [f"w{i}" for i in range(60)]
+    a, a1, b = " ".join(base), " ".join([*base, "more"]), " ".join(f"v{i}" for i in range(60))
+    rows = [(3, a), (5, a1), (5, b), (6, b), (7, "c c"), (7, "c c"), (8, a), (8, a1), (2, a), (2, a + " z"), (None, a), (None, None), (None, None)]
+    df = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    left = corpus_pipeline.near_duplicates(spark, df, "").collect()
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] or "")
+    got = sorted(((r.doc_id, r.text) for r in left), key=key)
+    # one of the two texts of document 2 stands for its group, whichever hashes lower
+    two = [t for d, t in got if d == 2]
+    assert len(two) == 1 and two[0] in (a, a + " z")
+    assert [r for r in got if r[0] != 2] == [(None, None), (None, None), (5, b), (7, "c c")]
+
+
 def test_near_duplicates_against_brute_force(spark):
     rng = np.random.default_rng(5)
     rows, n = [], 0
