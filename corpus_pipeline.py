@@ -19,9 +19,28 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; documents without id stay."""
-    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti")
+    """Of each group of near duplicates one row: the smallest id's, of several texts under that id the one whose hash is lowest.
+
+    Rows are told apart by doc_id and text; equal ones count as one, the first by lang, source and length. Rows without id stay unless they
+    equal a document that has one.
+    """
+    judged = saved(minhash.near_duplicates(docs), "judged")
+    named = judged.where("kept and doc_id is not null and n_shingles > 0")
+    chosen = named.groupBy("component_id").agg(F.min("th").alias("lowest"), F.max("th").alias("highest")).where("lowest < highest")
+    beside = named.join(chosen, "component_id").where("th > lowest").select("doc_id", "th")
+    gone = judged.where("not kept").select("doc_id", "th").union(beside).distinct()
+    repeated = judged.where("doc_id is not null").groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "th")
+
+    def at(keys: DataFrame):
+        keys = keys.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+        return keys, rows["doc_id"].eqNullSafe(keys["_id"]) & (rows["th"] == keys["_th"])
+
+    rows = docs.select(COLUMNS).withColumn("th", text_key(docs))
+    left = rows.join(*at(gone), "left_anti")
+    rows = left
+    repeated = saved(repeated, "repeated-rows")
+    once = left.join(*at(repeated), "left_semi").groupBy("doc_id", "th").agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("row"))
+    return left.join(*at(repeated), "left_anti").select(COLUMNS).union(once.select("doc_id", "row.*").select(COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
