@@ -119,7 +119,7 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 def sets_of(nodes: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """The sets of nodes, from the texts that stand for them."""
-    own = reps.join(nodes, "node", "left_semi").select("node", F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+    own = saved(reps.join(nodes, "node", "left_semi").select("node", F.col("doc_id").alias("_id"), F.col("th").alias("_th")), "owners")  # of known size
     rows = docs.withColumn("th", text_key(docs))
     return saved(shingle_sets(rows.join(own, (rows["doc_id"] == own["_id"]) & (rows["th"] == own["_th"])), k), "sets")
 
