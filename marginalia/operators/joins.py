@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marginalia.session import salts, shared_dir
+from marginalia.session import shared_dir
 
 
 class Stage:
@@ -32,24 +32,33 @@ class Stage:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def spread_join(small: DataFrame, big: DataFrame, keys: list[str], spread_by: str, fits: bool = False) -> DataFrame:
+#: A key with more rows than this is split over several tasks. Of a table in which very many keys are that frequent, the most frequent
+#: are split: the table of split keys never has more than SPLIT_KEYS rows, so it may be broadcast.
+PIECE_ROWS, SPLIT_KEYS = 200_000, 100_000
+
+
+def splits(sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _pieces): into how many pieces each frequent key is split. `sizes` has `keys`, each once, and `rows`."""
+    piece = F.greatest(F.lit(PIECE_ROWS), F.ceil(sizes.select(F.sum("rows")).scalar() / SPLIT_KEYS))
+    return sizes.where(F.col("rows") > piece).select(*keys, F.ceil(F.col("rows") / piece).cast("int").alias("_pieces"))
+
+
+def spread_join(small: DataFrame, big: DataFrame, keys: list[str], spread_by: str, fits: bool = False, sizes: DataFrame | None = None) -> DataFrame:
     """Inner join in which `big` may hold a hot key.
 
     `fits` says that `small` was counted and may be broadcast; hot keys then do not matter.
-    Otherwise `big` is split by `spread_by` and `small` repeated once per piece, so a hot
-    key is worked on by several tasks.
+    Otherwise `sizes` (keys, rows) says how many rows of `big` a key has, at most: those of a frequent one are dealt by `spread_by` over as
+    many pieces as their number asks for, and its rows of `small` are repeated once per piece.
     """
-    pieces = salts(small.sparkSession)
     if fits:
         return big.join(F.broadcast(small), keys)
-    if pieces == 1:
+    if sizes is None:
         return big.join(small, keys)
-    every = F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))
-    return (
-        big.withColumn("_piece", F.pmod(F.xxhash64(spread_by), F.lit(pieces)).cast("int"))
-        .join(small.withColumn("_piece", every), keys + ["_piece"])
-        .drop("_piece")
-    )
+    split = F.broadcast(splits(sizes, keys))
+    pieces = F.coalesce("_pieces", F.lit(1))
+    dealt = big.join(split, keys, "left").withColumn("_piece", F.pmod(F.xxhash64(spread_by), pieces).cast("int")).drop("_pieces")
+    every = F.explode(F.sequence(F.lit(0), pieces - 1))
+    return dealt.join(small.join(split, keys, "left").withColumn("_piece", every).drop("_pieces"), [*keys, "_piece"]).drop("_piece")
 
 
 def slot(c: Column, df: DataFrame) -> Column:

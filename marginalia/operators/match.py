@@ -90,30 +90,33 @@ def lookups(words: DataFrame, index: Index, any_case: bool = False) -> DataFrame
     return looked_up.drop(*spelling)
 
 
-def field_matches(index: Index, wanted: DataFrame, fits: bool = False, phrases: bool = True) -> DataFrame:
+def field_matches(index: Index, wanted: DataFrame, fits: bool = False, phrases: bool = True, split: bool = False) -> DataFrame:
     """kind, word, field, doc_id, date, tf and score part: one row per document and field that matches.
 
     `fits`: the lookups were counted and are few enough to broadcast. `phrases`: words of several tokens may
-    be among them; without, their steps are not planned.
+    be among them; without, their steps are not planned. `split`: the lookups are stored, and frequent tokens are split by their counts.
     """
     found = wanted.where("min_df > 0").withColumn("bucket", bucket(F.col("anchor"), index.buckets))
+    found = found.withColumn("anchor_df", F.col("min_df"))  # how many postings the anchor has
     keep = [*LOOKUP_KEY, "doc_id", "date", "dl", "tf", "idf", "avgdl"]
-    hits = _at_anchor(index, found.where("n = 1"), fits, "tf").select(*keep)
+    hits = _at_anchor(index, found.where("n = 1"), fits, split, "tf").select(*keep)
     if phrases:
-        hits = hits.unionByName(_phrases(index, found, fits).select(*keep))
+        hits = hits.unionByName(_phrases(index, found, fits, split).select(*keep))
     part = bm25(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"))
     return hits.select(*LOOKUP_KEY, "doc_id", "date", "tf", part.alias("score"))
 
 
-def _at_anchor(index: Index, found: DataFrame, fits: bool, *columns: str) -> DataFrame:
+def _at_anchor(index: Index, found: DataFrame, fits: bool, split: bool, *columns: str) -> DataFrame:
     """The postings of each word's rarest token."""
     narrow = index.postings.select(
         "field", "bucket", F.col("token").alias("anchor"), "doc_id", "date", "dl", *columns
     )
-    return spread_join(found, narrow, ["field", "bucket", "anchor"], "doc_id", fits).drop("bucket")
+    keys = ["field", "bucket", "anchor"]
+    sizes = found.groupBy(*keys).agg(F.max("anchor_df").alias("rows")) if split else None
+    return spread_join(found.drop("anchor_df"), narrow, keys, "doc_id", fits, sizes).drop("bucket")
 
 
-def _phrases(index: Index, found: DataFrame, fits: bool) -> DataFrame:
+def _phrases(index: Index, found: DataFrame, fits: bool, split: bool) -> DataFrame:
     """Words of several tokens: the tokens must follow each other at exact byte offsets.
 
     Only documents that hold the rarest token are checked. Its positions say where the
@@ -143,7 +146,7 @@ def _phrases(index: Index, found: DataFrame, fits: bool) -> DataFrame:
     repeated = F.filter(places, lambda s: F.forall("again", lambda o: F.array_contains(F.col("positions"), s + o)))
     starts = F.when(F.size("again") == 0, places).otherwise(repeated)
     checked = (
-        _at_anchor(index, prepared, fits, "positions")
+        _at_anchor(index, prepared, fits, split, "positions")
         .withColumn("starts", starts)
         .drop("positions", "anchor", "at", "again")
     )
@@ -173,10 +176,10 @@ def _phrases(index: Index, found: DataFrame, fits: bool) -> DataFrame:
     return met.withColumn("tf", F.size("starts").cast("bigint")).where("tf > 0")
 
 
-def word_matches(index: Index, wanted: DataFrame, fits: bool = False, phrases: bool = True) -> DataFrame:
+def word_matches(index: Index, wanted: DataFrame, fits: bool = False, phrases: bool = True, split: bool = False) -> DataFrame:
     """kind, word, doc_id, date, score: a word matches if any of its fields does; parts add up."""
     return (
-        field_matches(index, wanted, fits, phrases)
+        field_matches(index, wanted, fits, phrases, split)
         .groupBy("kind", "word", "doc_id")
         .agg(F.first("date").alias("date"), F.sum("score").alias("score"))
     )

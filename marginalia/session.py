@@ -37,8 +37,3 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="marginalia-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def salts(spark: SparkSession) -> int:
-    """How many pieces a hot join key is split into; grows with the cluster."""
-    return max(1, min(64, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))

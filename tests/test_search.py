@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from test_tokens import cut_by_hand
 
 from marginalia.operators import index as ix
-from marginalia.operators import match
+from marginalia.operators import joins, match
 from marginalia.operators.joins import Stage
+from marginalia.plans import search as search_plan
 from marginalia.plans.search import search as run_search
 from marginalia.schema import POSTS, REQUESTS
 from marginalia.sources import requests as rq
@@ -235,21 +236,100 @@ def test_deep_pages_give_the_same(spark, corpus, monkeypatch):
         assert (got[str(i)]["count"], [int(h["url"][1:]) for h in got[str(i)]["data"]]) == (count, ids), request
 
 
-@pytest.mark.parametrize("pieces", ["1", "64"])
-def test_split_hot_keys_give_the_same(spark, corpus, pieces):
-    """More shuffle partitions turn on the splitting of hot join keys."""
+@pytest.mark.parametrize("rows", [1, 7, 200_000])
+def test_split_hot_keys_give_the_same(spark, corpus, monkeypatch, rows):
+    """Frequent keys are split by their counts, whatever the number of partitions."""
     _, store, _ = corpus
-    before = spark.conf.get("spark.sql.shuffle.partitions")
     want = answers(search(table(spark, REQUEST_LIST), store.index()))
+    monkeypatch.setattr(joins, "PIECE_ROWS", rows)
+    monkeypatch.setattr("marginalia.plans.search.BROADCAST_CLAUSES", 0)
     try:
-        spark.conf.set("spark.sql.shuffle.partitions", pieces)
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         assert answers(search(table(spark, REQUEST_LIST), store.index())) == want
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_a_key_of_all_rows_is_split_by_its_count(spark, monkeypatch):
+    monkeypatch.setattr(joins, "PIECE_ROWS", 100)
+    big = spark.range(20_000).select(F.when(F.col("id") % 50 > 0, F.lit("the")).otherwise(F.concat(F.lit("w"), F.col("id"))).alias("k"), F.col("id").alias("doc_id"))
+    sizes = big.groupBy("k").agg(F.count("*").alias("rows"))
+    assert [tuple(r) for r in joins.splits(sizes, ["k"]).collect()] == [("the", 196)]
+    small = spark.createDataFrame([("the", 1), ("the", 2), ("w50", 3), ("none", 4)], "k string, x int")
+    got = joins.spread_join(small, big, ["k"], "doc_id", sizes=sizes)
+    assert got.count() == 2 * 19_600 + 1 and got.columns == ["k", "doc_id", "x"]
+    # of a table in which every key is frequent only so many are split as may be broadcast
+    monkeypatch.setattr(joins, "SPLIT_KEYS", 10)
+    even = spark.range(1000).select(F.col("id").alias("k"), F.lit(1000).alias("rows"))
+    assert joins.splits(even, ["k"]).count() == 0
+    assert joins.splits(even.union(spark.range(1).select(F.lit(-1), F.lit(10**7))), ["k"]).count() <= 10
+
+
+def browse(spark, posts_at, asked, **options):
+    """Pages of date-only requests over posts of these seconds, and by sorting."""
+    posts = make_posts(spark, [("t", "c", s, "k", []) for s in posts_at])
+    rows = [(str(i), page, size, list(r), [], []) for i, (page, size, r) in enumerate(asked)]
+    result = run_search(spark.createDataFrame(rows, REQUESTS), ix.from_posts(posts), stage=Stage(spark), **options)
+    got, totals = {str(i): [] for i in range(len(asked))}, {r.request_id: r.total for r in result.totals.collect()}
+    for r in result.pages.where("rank > 0").orderBy("rank").collect():
+        got[r.request_id].append(r.doc_id)
+    order = sorted(range(len(posts_at)), key=lambda i: (-posts_at[i], i))
+    for i, (page, size, (lo, hi)) in enumerate(asked):
+        inside = [d for d in order if (not lo or posts_at[d] >= lo) and (not hi or posts_at[d] <= hi)]
+        assert totals[str(i)] == len(inside), asked[i]
+        assert got[str(i)] == inside[(page - 1) * size : page * size], asked[i]
+    return result
+
+
+def test_browsing_a_long_calendar(spark):
+    """Posts of 1970 and of 2100: rows follow the pages, not the days between."""
+    rng = random.Random(3)
+    far = 130 * 365 * DAY
+    posts_at = [0, 5, DAY - 1, DAY, far, far + 9, far + DAY] + [rng.choice([40, 41, 9000]) * DAY + rng.randrange(DAY) for _ in range(300)]
+    ranges = [(0, 0), (1, 0), (0, far), (DAY, far), (3, 5), (5, 5), (6, DAY - 2), (40 * DAY + 7000, 41 * DAY + 9000), (40 * DAY, 40 * DAY + DAY - 1), (2 * DAY, 3 * DAY),
+              (far + 1, far + 8), (far + DAY + 1, 0), (0, 3), (9000 * DAY + 5, 9000 * DAY + 80_000), (50, 40), (-5 * DAY, 1)]
+    asked = [(p, n, r) for r in ranges for p, n in ((1, 8), (2, 5), (3, 40), (1, 1000), (4, 1), (10**6, 7))]
+    browse(spark, posts_at, asked)
+
+
+def test_many_equal_requests_are_answered_once(spark, corpus):
+    _, store, posts = corpus
+    index = store.index()
+    rows = [(f"r{i}", 1, 5, [0, 0], [], []) for i in range(3000)] + [(f"q{i}", 1, 3, [], [], ["the", "of"] if i % 2 else ["of", "the"]) for i in range(2000)]
+    kept = {}
+
+    class Kept(Stage):
+        def __call__(self, df, name):
+            kept[name] = super().__call__(df, name)
+            return kept[name]
+
+    result = run_search(spark.createDataFrame(rows, REQUESTS), index, stage=Kept(spark))
+    assert kept["different"].count() == 2 and kept["pages"].where("rank > 0").count() == 8
+    got = answers(result)
+    assert len(got) == 5000 and len({json.dumps(v) for k, v in got.items() if k[0] == "r"}) == 1 and len({json.dumps(v) for k, v in got.items() if k[0] == "q"}) == 1
+    assert result.hits.count() == 3000 * 5 + 2000 * 3
+
+
+def test_a_deep_page_inside_one_second(spark, monkeypatch):
+    """All posts in one day, most in one second: what is ranked stays near the page."""
+    monkeypatch.setattr("marginalia.plans.search.DEEP", 50)
+    n = 20_000
+    posts_at = [7 * DAY + (100 if i % 10 else i % 60) for i in range(n)]
+    ranked = []
+    top = search_plan.top_in_slots
+
+    def noted(matches, order, depth):
+        ranked.append(matches.groupBy("request_id").count().agg(F.max("count")).first()[0])
+        return top(matches, order, depth)
+
+    monkeypatch.setattr(search_plan, "top_in_slots", noted)
+    browse(spark, posts_at, [(1900, 10, (0, 0)), (500, 10, (7 * DAY + 3, 7 * DAY + 100)), (1, 20, (0, 0))])
+    assert max(x for x in ranked if x) <= n  # the shallow page's day as a whole
+    ranked.clear()
+    browse(spark, posts_at, [(1900, 10, (0, 0)), (500, 10, (7 * DAY + 3, 7 * DAY + 100))])
+    assert max(x for x in ranked if x) <= 10 + 2 * 1024
+
+
 @pytest.mark.parametrize("word", ["of the", "c++", "the the", "don't", "x<y", ", "])
 def test_positions_agree_with_a_regex_over_the_text(spark, corpus, word):
     _, store, posts = corpus
