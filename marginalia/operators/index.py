@@ -100,14 +100,6 @@ def day_counts(posts: DataFrame) -> DataFrame:
     return posts.groupBy(F.floor(F.unix_timestamp("date") / 86400).alias("day")).agg(F.count("*").alias("n"))
 
 
-def field_lengths(posts: DataFrame) -> DataFrame:
-    """Tokens per document and text field."""
-    rows = [
-        F.struct(F.lit(f).alias("field"), token_count(F.col(f)).cast("bigint").alias("dl")) for f in TEXT_FIELDS
-    ]
-    return posts.select("doc_id", F.explode(F.array(*rows)).alias("f")).select("doc_id", "f.field", "f.dl")
-
-
 def from_posts(posts: DataFrame, vocabulary: DataFrame | None = None) -> Index:
     """An index derived on the fly; `vocabulary` limits it to the tokens that will be looked up."""
     entries = postings(posts, vocabulary).withColumn("bucket", F.lit(0))
