@@ -30,7 +30,7 @@ def test_same_rows(spark, name):
 
 def test_all_are_registered():
     names = list(entry.queries())
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
 
 
 def repeated_bytes(texts: dict, length: int = 100) -> dict:
