@@ -186,6 +186,22 @@ def test_packing(docs):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_batches_of_sparse_and_equal_ids(spark):
+    """Hashed ids, and one row that makes a third of the table."""
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, 5).otherwise(F.xxhash64("id")).alias("doc_id"),
+        F.when(F.col("id") % 3 == 0, "same text").otherwise(F.repeat(F.lit("w "), (F.col("id") % 700).cast("int"))).alias("text"),
+    )
+    rows = packing.pack(df, buckets=3, budget=2000).collect()
+    by = {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.batch)):
+        by.setdefault((r.bucket, r.bucket_length), []).append(r.batch)
+    assert len(rows) == 3000 and len(by) == 3
+    for (_, bound), batches in by.items():
+        per = max(1, 2000 // bound)
+        assert batches == [i // per for i in range(len(batches))]
+
+
 def test_archive(spark, tmp_path):
     rows = [
         (1, "u", "x"), (2, None, None), (3, "http://a/%0A\n", "x"), (4, "u", "é\r\n\r\nWARC/1.1\r\n"), (4, "u", "é\r\n\r\nWARC/1.1\r\n"), (None, "n", "x"), (5, "u", ""),

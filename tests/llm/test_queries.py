@@ -73,11 +73,10 @@ def test_packing(spark, docs):
     rows = queries.op7_packing(spark, SF).collect()
     n = {d: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for d, t in docs.items()}
     assert {r.doc_id: r.n_tokens for r in rows} == n
-    # the least padding over the cells, by plain dynamic programming
+    # the least padding over all lengths, by plain dynamic programming
     cells = {}
     for x in n.values():
-        step = 1 if x <= 256 else 2 ** (x.bit_length() - 1 - 7)
-        cells.setdefault(-(-x // step), []).append(x) if step == 1 else cells.setdefault((step, -(-x // step)), []).append(x)
+        cells.setdefault(x, []).append(x)
     groups = sorted(cells.values(), key=max)
     best = {0: 0}
     for _ in range(8):
@@ -105,6 +104,22 @@ def test_bounds_of_ties_and_few_cells():
     assert packing.bounds([(1, 1, 1), (2, 1, 2), (9, 1, 9)], 2) == [2, 9]
 
 
+def test_bounds_are_the_best_of_all():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        lengths = sorted({int(x) for x in rng.integers(0, 60, rng.integers(1, 12))})
+        cells = [(x, int(rng.integers(1, 30))) for x in lengths]
+        waste = lambda tops: sum((min(t for t in tops if t >= x) - x) * n for x, n in cells)
+        for k in (1, 2, 3, 5):
+            got = packing.bounds([(x, n, x * n) for x, n in cells], k)
+            tries = itertools.combinations(lengths[:-1], min(k, len(lengths)) - 1)
+            assert got[-1] == lengths[-1] and waste(got) == min(waste((*t, lengths[-1])) for t in tries)
+
+
 def plain_runs(text: str, sentences: int = 3, words: int = 12):
     """(words of the run, from, to in bytes) by the definition."""
     raw = text.encode()
