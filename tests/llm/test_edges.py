@@ -2,6 +2,7 @@
 
 import gzip
 import os
+import re
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -179,6 +180,76 @@ def test_tiling_finds_reordered_passages_and_counts_no_word_twice(spark):
     assert sorted(tiling.tile(a, b, 5)) == [(0, 6, 5), (5, 0, 5)] or sorted(tiling.tile(a, b, 5)) == [(0, 12, 5), (5, 0, 5)]
 
 
+def plain_tiles(a, b, least):
+    """The longest free common run by trying all places, the first in the text and then in the item, until none is left."""
+    free_a, free_b, tiles = [True] * len(a), [x != 0 for x in b], []
+    while True:
+        best = (0, 0, 0)
+        for j in range(len(b)):
+            for i in range(len(a)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and free_a[i + n] and free_b[j + n] and a[i + n] == b[j + n]:
+                    n += 1
+                best = max(best, (n, -j, -i))
+        n, j, i = best[0], -best[1], -best[2]
+        if n < least or not n:
+            return tiles
+        tiles.append((i, j, n))
+        for k in range(n):
+            free_a[i + k] = free_b[j + k] = False
+
+
+def test_tiles_against_all_places():
+    rng = np.random.default_rng(11)
+    for _ in range(150):
+        a = rng.integers(1, 4, rng.integers(1, 14)).astype(np.uint64)
+        b = rng.integers(0, 4, rng.integers(1, 25)).astype(np.uint64)
+        least = int(rng.integers(1, 5))
+        assert tiling.tile(a, b, least) == plain_tiles(a.tolist(), b.tolist(), least)
+
+
+def test_tiling_of_a_periodic_text_is_quick():
+    import time
+
+    a, b = np.tile(np.array([5, 6], np.uint64), 200), np.tile(np.array([5, 6], np.uint64), 20_000)
+    began = time.perf_counter()
+    assert tiling.tile(a, b, 5) == [(0, 0, 400)]
+    assert time.perf_counter() - began < 0.5
+
+
+def test_contamination_against_brute_force(spark):
+    """Every document and item compared whole: short items, items with equal texts, shared openings, reordered parts, copies."""
+    rng = np.random.default_rng(17)
+    word = lambda: "abcdefghij"[rng.integers(0, 10)] * int(rng.integers(1, 4))
+    opening = "which of these is right then"
+    items = [(i, opening + " " + " ".join(word() for _ in range(rng.integers(4, 20)))) for i in range(25)]
+    items += [(90, "zig zag"), (91, "Zig, ZAG!"), (92, "lone"), (93, " .. "), (94, None), (95, ""), (3, items[3][1])]
+    docs = []
+    for d in range(60):
+        picks = [items[int(x)][1].split() for x in rng.integers(0, 25, 2)]
+        cut = int(rng.integers(0, len(picks[0])))
+        parts = [picks[0][cut:] + picks[0][:cut], [word() for _ in range(15)], picks[1][: int(rng.integers(0, len(picks[1])))]]
+        docs.append((d, " ".join(w for p in parts for w in p) + [" zig zag", " zigzag", " Lone."][d % 3]))
+    docs += [(5, docs[5][1]), (None, docs[6][1]), (70, opening), (71, None), (72, "")]
+    seen = tiling.contaminated(
+        spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    ).collect()
+    words = lambda t: re.findall(r"[a-z0-9]+", (t or "").lower())
+    want = []
+    for d, text in docs:
+        shares = {}
+        for i, t in items:
+            a = words(t)
+            if a:
+                n = sum(x[2] for x in plain_tiles(a, words(text), min(5, len(a))))
+                if n >= 0.6 * len(a):
+                    shares[i] = n / len(a)
+        want.append((d, bool(shares), max(shares.values(), default=0.0), sorted(shares)))
+    key = lambda r: (r[0] is not None, r[0] or 0)
+    assert sorted([(r.doc_id, r.contaminated, r.coverage, r.item_ids) for r in seen], key=key) == sorted(want, key=key)
+    assert 10 < sum(r[1] for r in want) and any(r[1] and not set(r[3]) & {90, 91, 92} for r in want)
+
+
 def test_packing(docs):
     rows = packing.pack(docs).collect()
     assert ids(rows) == ALL
