@@ -1,11 +1,10 @@
 """Repeated passages: every run of consecutive sentences is hashed, runs are joined over the whole corpus, and sentences covered by a
 run that occurs earlier (smaller doc_id, or earlier in the document) are removed. The first copy of each run stays.
 
-A sentence ends at . ! ? before a gap, at a line break, or before a word with a capital first and a small second letter, and is cut
-after every twelve words, counted from its start, so that one long sentence is several units. A run is the shortest one from
-a sentence on that has at least `sentences` units and `words` words.
+A sentence ends at . ! ? before a gap, or at a line break, however long it is. A run is the shortest one from
+a sentence on that has at least `sentences` sentences and `words` words.
 
-Null texts are empty; texts with fewer units or words than a run have none. Rows that share doc_id and text are one
+Null texts are empty; texts with fewer sentences or words than a run have none. Rows that share doc_id and text are one
 document, each returned cut alike; rows with a null doc_id are ordered by a hash of their text. Empty tables give empty results. Columns beside
 doc_id and text are carried only if asked for.
 """
@@ -25,34 +24,17 @@ from marginalia.llm.cut import cut
 
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?")] = True
-_SMALL = np.zeros(256, bool)
-_SMALL[97:123] = True
-LONGEST = 12
 
 
 def units(data: np.ndarray, words: Words) -> np.ndarray:
-    """The index of the first word of every unit."""
+    """The index of the first word of every sentence."""
     n = len(words.start)
     if not n:
         return np.zeros(0, np.int64)
     new = np.ones(n, bool)
     lines = np.concatenate(([0], np.cumsum(data == 10)))
-    first = data[words.start]
-    more = words.end - words.start > 1
-    second = data[np.minimum(words.start + 1, len(data) - 1)]
-    third = data[np.minimum(words.start + 2, len(data) - 1)]
-    # two-byte capitals and small letters of the Latin-1 range begin with 0xC3
-    capital = more & (first >= 65) & (first <= 90) & (_SMALL[second] | (second == 0xC3))
-    capital |= more & (first == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (_SMALL[third] | (third == 0xC3))
-    new[1:] = (
-        (words.row[1:] != words.row[:-1])
-        | _ENDS[data[words.end[:-1] - 1]]
-        | (lines[words.start[1:]] > lines[words.end[:-1]])
-        | capital[1:]
-    )
-    at = np.arange(n)
-    since = at - np.maximum.accumulate(np.where(new, at, 0))
-    return np.flatnonzero(since % LONGEST == 0)
+    new[1:] = (words.row[1:] != words.row[:-1]) | _ENDS[data[words.end[:-1] - 1]] | (lines[words.start[1:]] > lines[words.end[:-1]])
+    return np.flatnonzero(new)
 
 
 def runs(docs: DataFrame, sentences: int, words: int) -> DataFrame:
@@ -68,7 +50,7 @@ def runs(docs: DataFrame, sentences: int, words: int) -> DataFrame:
                 if not m:
                     continue
                 row, end = w.row[first], np.append(first[1:], len(w.start))
-                # the last unit of each run: far enough in units and in words
+                # the last sentence of each run: far enough in sentences and in words
                 by_words = np.searchsorted(end, first + words, "left")
                 last = np.maximum(np.arange(m) + sentences - 1, by_words)
                 ok = last < m
@@ -101,14 +83,14 @@ def _inverse(n: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated(docs: DataFrame, sentences: int = 3, words: int = 12) -> DataFrame:
+def repeated(docs: DataFrame, sentences: int = 2, words: int = 12) -> DataFrame:
     """Byte spans (doc_id, th, b, e) of all runs that occur earlier. Runs are joined by sorting: of equal ones all but the first are given out."""
     th = text_key(docs)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), th).alias("doc"), th.alias("th"), "text")
     return sort_out(runs(rows, sentences, words)).where("kind = 1").select(F.col("doc").alias("doc_id"), "th", "b", "e")
 
 
-def remove_repeats(docs: DataFrame, columns: list[str] | None = None, sentences: int = 3, words: int = 12) -> DataFrame:
+def remove_repeats(docs: DataFrame, columns: list[str] | None = None, sentences: int = 2, words: int = 12) -> DataFrame:
     """Each row with doc_id, `columns`, the kept text (`kept`, UTF-8), n_bytes, n_removed, n_spans, kept_sha256."""
     keyed = docs.withColumn("_own", F.col("doc_id")).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), text_key(docs)))
     done = cut(keyed, repeated(docs, sentences, words), ["_own", *(columns or [])])

@@ -120,23 +120,11 @@ def test_bounds_are_the_best_of_all():
             assert got[-1] == lengths[-1] and waste(got) == min(waste((*t, lengths[-1])) for t in tries)
 
 
-def plain_runs(text: str, sentences: int = 3, words: int = 12):
+def plain_runs(text: str, sentences: int = 2, words: int = 12):
     """(words of the run, from, to in bytes) by the definition."""
     raw = text.encode()
     found = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
-    units, since = [], 0
-    for i, (a, z) in enumerate(found):
-        new = i == 0
-        if i:
-            before = raw[found[i - 1][0] : found[i - 1][1]]
-            gap = raw[found[i - 1][1] : a]
-            word = raw[a:z].decode()
-            new = before[-1:] in (b".", b"!", b"?") or b"\n" in gap
-            big = "A" <= word[0] <= "Z" or "À" <= word[0] <= "Þ"
-            new |= big and len(word) > 1 and ("a" <= word[1] <= "z" or 0xC0 <= ord(word[1]) <= 0xFF)
-        since = 0 if new else since + 1
-        if since % 12 == 0:
-            units.append(i)
+    units = [i for i, (a, _) in enumerate(found) if i == 0 or raw[found[i - 1][1] - 1 : found[i - 1][1]] in (b".", b"!", b"?") or b"\n" in raw[found[i - 1][1] : a]]
     ends = units[1:] + [len(found)]
     for u in range(len(units)):
         v = u + sentences - 1
@@ -187,11 +175,27 @@ def test_toxicity_on_held_out_labels(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
 
 
-def test_units_of_a_long_sentence():
+def test_a_long_sentence_and_capitals_inside_it_are_one_unit():
     import numpy as np
 
     from marginalia.llm.base import Words
 
-    data = np.frombuffer(" ".join(f"w{i}" for i in range(30)).encode(), np.uint8)
-    words = Words(data, np.array([0, len(data)]))
-    assert list(spans.units(data, words)) == [0, 12, 24]
+    text = " ".join(f"{'W' if i % 3 else 'w'}ord{i}" for i in range(100)) + ". Another one! And a third"
+    data = np.frombuffer(text.encode(), np.uint8)
+    assert list(spans.units(data, Words(data, np.array([0, len(data)])))) == [0, 100, 102]
+
+
+def test_only_whole_sentences_go(spark):
+    german = "Gestern war es so: der alte Mann geht mit der kleinen Tochter am Montag nach Berlin und kauft dort ein neues Fahrrad fuer den Sohn."
+    inner = "der alte Mann geht mit der kleinen Tochter am Montag nach Berlin und kauft dort ein neues"
+    long = " ".join(f"Wort{i}" for i in range(100)) + "."
+    rows = [
+        (1, f"{inner} Auto. {long} {inner} Haus."),
+        (2, german),
+        (3, f"Ganz anders hier. {long} {inner} Haus. Und Schluss."),
+        (4, f"Nur der eine Satz. {long} Mehr nicht."),
+    ]
+    done = spans.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    kept = {r.doc_id: r.kept.decode() for r in done.collect()}
+    assert kept[1] == rows[0][1] and kept[2] == german and kept[4] == rows[3][1]
+    assert kept[3].split() == "Ganz anders hier. Und Schluss.".split()
