@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from marginalia.llm.archive import BASE32
-from marginalia.llm.quality import FLOORS, RATIO, SHIFT
+from marginalia.llm.quality import FLOORS, RATIO, SHIFT, UNIT
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -18,12 +18,12 @@ def _quality() -> str:
     long = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS rule, {v}::DOUBLE AS x FROM base" for k, v in shares.items())
     floors = " ".join(f"WHEN '{k}' THEN {v}" for k, v in FLOORS.items())
 
-    def level(name: str, by: str) -> str:
-        group = f"{by}, rule" if by else "rule"
-        return f"""{name}_m AS (SELECT {group}, bucket, sum(n) AS n FROM sketch GROUP BY {group}, bucket),
-{name}_c AS (SELECT *, sum(n) OVER (PARTITION BY {group} ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY {group}) AS total,
-    greatest(0.0, pow({RATIO}::DOUBLE, bucket) - {SHIFT}::DOUBLE) AS v FROM {name}_m),
-{name} AS (SELECT {group}, max(total) AS n, min(v) FILTER (WHERE upto >= 0.25 * total) AS q1, min(v) FILTER (WHERE upto >= 0.75 * total) AS q3 FROM {name}_c GROUP BY {group})"""
+    def level(name: str, by: str, parent: str, on: str) -> str:
+        """Sketches of one level, with 100 documents' worth of the parent's added."""
+        return f"""{name}_g AS (SELECT DISTINCT {by}, rule FROM sketch),
+{name} AS (SELECT {by}, rule, bucket, sum(n) AS n FROM (SELECT {by}, rule, bucket, {UNIT} * n AS n FROM sketch
+    UNION ALL SELECT {", ".join("g." + c for c in by.split(", "))}, g.rule, p.bucket, ({100 * UNIT} * p.n) // p.total FROM {name}_g g
+        JOIN (SELECT *, sum(n) OVER (PARTITION BY {on}rule) AS total FROM {parent}) p ON g.rule = p.rule {"AND g.lang IS NOT DISTINCT FROM p.lang" if on else ""}) GROUP BY ALL)"""
 
     return f"""
 WITH words AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
@@ -37,12 +37,13 @@ base AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_r
     coalesce(covered.n, 0)::BIGINT AS n_repeat_words FROM words LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
 long AS ({long}),
 sketch AS (SELECT lang, source, rule, ceil(round(ln(x + {SHIFT}::DOUBLE) / ln({RATIO}::DOUBLE), 6))::INT AS bucket, count(*) AS n FROM long GROUP BY ALL),
-{level("own", "lang, source")},
-{level("tongue", "lang")},
-{level("whole", "")},
-fence AS (SELECT own.lang, own.source, own.rule, greatest(CASE own.rule {floors} END, CASE WHEN own.n >= 100 THEN own.q3 + 6 * (own.q3 - own.q1)
-    WHEN tongue.n >= 100 THEN tongue.q3 + 6 * (tongue.q3 - tongue.q1) ELSE whole.q3 + 6 * (whole.q3 - whole.q1) END) AS fence
-    FROM own JOIN tongue ON own.lang IS NOT DISTINCT FROM tongue.lang AND own.rule = tongue.rule JOIN whole ON own.rule = whole.rule),
+whole AS (SELECT rule, bucket, {UNIT} * sum(n) AS n FROM sketch GROUP BY ALL),
+{level("tongue", "lang", "whole", "")},
+{level("own", "lang, source", "tongue", "lang, ")},
+ranked AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, rule ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY lang, source, rule) AS total,
+    greatest(0.0, pow({RATIO}::DOUBLE, bucket) - {SHIFT}::DOUBLE) AS v FROM own),
+quarts AS (SELECT lang, source, rule, min(v) FILTER (WHERE 4 * upto >= total) AS q1, min(v) FILTER (WHERE 4 * upto >= 3 * total) AS q3 FROM ranked GROUP BY ALL),
+fence AS (SELECT lang, source, rule, greatest(CASE rule {floors} ELSE 0.0 END, q3 + 6 * (q3 - q1)) AS fence FROM quarts),
 wide AS (SELECT lang, source, {", ".join(f"max(fence) FILTER (WHERE rule = '{k}') AS f_{k}" for k in shares)} FROM fence GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
     NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT ({" OR ".join(f"{v} > f_{k}" for k, v in shares.items())}) AS kept

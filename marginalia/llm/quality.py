@@ -2,8 +2,12 @@
 
 Each measure of a text goes into a mergeable quantile sketch: counts in buckets whose bounds grow by a fixed ratio, so
 sketches of parts add up to the sketch of the whole and every quantile is within that ratio. A group's fence lies
-`reach` quartile distances above its upper quartile, never below a floor; small groups take their language's sketch, and
-small languages that of the whole corpus. Documents beyond a fence of their group go.
+`reach` quartile distances above its upper quartile. Groups shrink towards their language, and languages towards the whole corpus:
+`prior` documents' worth of the larger sketch is added to the smaller, so a group of a few documents takes its language's
+fence and a large one its own, without a step between. Documents beyond a fence of their group go.
+
+Of the four rules chars_per_word has no floor. The others are shares that are 0 in most documents: where both quartiles are 0 they
+say nothing about the rest, and FLOORS holds.
 
 Null texts are empty; null languages and sources are groups of their own; repeated rows are measured and kept like
 others; an empty table gives an empty result. Any further columns are carried along; a column named like a measure is
@@ -12,7 +16,7 @@ replaced by it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm.base import WORD_GAP, saved
@@ -21,8 +25,10 @@ SYMBOLS = "#*$%&|<>"
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Ratio of a sketch's bucket bounds, and what is added so that 0 has a bucket.
 RATIO, SHIFT = 1.02, 0.001
-#: Per rule: the lowest fence it may reach. The rules are shares, but for chars_per_word.
-FLOORS = {"symbol_share": 0.1, "dup_line_share": 0.4, "repeat_share": 0.2, "chars_per_word": 12.0}
+#: A document counts this much in a sketch that others are added to: sketches stay whole numbers, alike however they are summed.
+UNIT = 100
+#: Lowest fence of the rules that are 0 for most documents.
+FLOORS = {"symbol_share": 0.1, "dup_line_share": 0.4, "repeat_share": 0.2}
 
 
 def measure(docs: DataFrame, window: int = 5) -> DataFrame:
@@ -83,43 +89,46 @@ def sketches(measured: DataFrame) -> DataFrame:
     )
 
 
-def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """Sketches merged to the groups of `by`: their size `n` and the quartiles q1 and q3."""
-    from pyspark.sql import Window
+def shrunk(sketch: DataFrame, by: list[str], parent: DataFrame, above: list[str], prior: int) -> DataFrame:
+    """Sketches of the groups of `by`, UNIT a document, with `prior` documents' worth of the parent's (groups of `above`) added."""
+    own = sketch.groupBy(*by, "rule", "bucket").agg((F.sum("n") * UNIT).alias("n"))
+    total = parent.groupBy(*above, "rule").agg(F.sum("n").alias("_all"))
+    up = parent.select(*[F.col(c).alias(f"_{c}") for c in above], F.col("rule").alias("_rule"), "bucket", F.col("n").alias("_n"))
+    total = total.select(*[F.col(c).alias(f"_t{c}") for c in above], F.col("rule").alias("_trule"), "_all")
+    groups = own.select(*by, "rule").distinct()
+    same = lambda mark: F.expr(" and ".join(f"{c} <=> {mark}{c}" for c in [*above, "rule"]))
+    lent = groups.join(up, same("_")).join(total, same("_t"))
+    lent = lent.select(*by, "rule", "bucket", F.expr(f"({prior * UNIT} * _n) div _all").alias("n"))
+    return own.union(lent).groupBy(*by, "rule", "bucket").agg(F.sum("n").alias("n"))
+
 
-    merged = sketch.groupBy(*by, "rule", "bucket").agg(F.sum("n").alias("n"))
+def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """The quartiles q1 and q3 of each sketch."""
     w = Window.partitionBy(*by, "rule")
     upto = w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     value = F.greatest(F.lit(0.0), F.pow(F.lit(RATIO), F.col("bucket")) - SHIFT)
-    ranked = merged.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(w))
-    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), value))
-    return ranked.groupBy(*by, "rule").agg(F.max("all").alias("n"), at(0.25).alias("q1"), at(0.75).alias("q3"))
+    ranked = sketch.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(w))
+    at = lambda q: F.min(F.when(4 * F.col("upto") >= q * F.col("all"), value))
+    return ranked.groupBy(*by, "rule").agg(at(1).alias("q1"), at(3).alias("q3"))
 
 
-def fences(sketch: DataFrame, least: int = 100, reach: float = 6.0) -> DataFrame:
+def fences(sketch: DataFrame, prior: int = 100, reach: float = 6.0) -> DataFrame:
     """Per language and source the fence of each rule, as columns."""
-
-    def at(by: list[str], name: str) -> DataFrame:
-        q = quartiles(sketch, by)
-        return q.select(*[F.col(c).alias(f"{name}_{c}") for c in by], "rule", F.col("n").alias(f"{name}_n"), (F.col("q3") + reach * (F.col("q3") - F.col("q1"))).alias(name))
-
-    own, lang, whole = at(["lang", "source"], "own"), at(["lang"], "tongue"), at([], "whole")
-    floor = F.element_at(F.create_map(*[F.lit(x) for kv in FLOORS.items() for x in kv]), F.col("rule"))
-    fence = F.when(F.col("own_n") >= least, F.col("own")).when(F.col("tongue_n") >= least, F.col("tongue"))
+    whole = sketch.groupBy("rule", "bucket").agg((F.sum("n") * UNIT).alias("n"))
+    tongue = shrunk(sketch, ["lang"], whole, [], prior)
+    own = quartiles(shrunk(sketch, ["lang", "source"], tongue, ["lang"], prior), ["lang", "source"])
+    floor = sum((F.when(F.col("rule") == k, v).otherwise(0.0) for k, v in FLOORS.items()), F.lit(0.0))
     return (
-        own.join(lang, (F.col("own_lang").eqNullSafe(F.col("tongue_lang"))) & (own["rule"] == lang["rule"]))
-        .drop(lang["rule"])
-        .join(whole, "rule")
-        .withColumn("fence", F.greatest(floor, F.coalesce(fence, F.col("whole"))))
-        .groupBy(F.col("own_lang").alias("_lang"), F.col("own_source").alias("_source"))
-        .agg(*[F.max(F.when(F.col("rule") == k, F.col("fence"))).alias(f"_fence_{k}") for k in FLOORS])
+        own.withColumn("fence", F.greatest(floor, F.col("q3") + reach * (F.col("q3") - F.col("q1"))))
+        .groupBy(F.col("lang").alias("_lang"), F.col("source").alias("_source"))
+        .agg(*[F.max(F.when(F.col("rule") == k, F.col("fence"))).alias(f"_fence_{k}") for k in rules()])
     )
 
 
-def judge(docs: DataFrame, least: int = 100, reach: float = 6.0) -> DataFrame:
+def judge(docs: DataFrame, prior: int = 100, reach: float = 6.0) -> DataFrame:
     """All rows with the measures, `base_failed` and `kept`; `docs` holds text, lang, source and what else is wanted back."""
     measured = saved(measure(docs), "quality")  # measured once, used for the sketches and for the verdict
-    limits = fences(saved(sketches(measured), "sketches"), least, reach)
+    limits = fences(saved(sketches(measured), "sketches"), prior, reach)
     beyond = F.lit(False)
     for k, v in rules().items():
         beyond = beyond | (v > F.col(f"_fence_{k}"))
@@ -127,5 +136,5 @@ def judge(docs: DataFrame, least: int = 100, reach: float = 6.0) -> DataFrame:
     return (
         measured.join(limits, on, "left")
         .withColumn("kept", ~F.col("base_failed") & ~F.coalesce(beyond, F.lit(False)))
-        .drop("_lang", "_source", *[f"_fence_{k}" for k in FLOORS])
+        .drop("_lang", "_source", *[f"_fence_{k}" for k in rules()])
     )

@@ -57,6 +57,20 @@ def test_quality(docs):
     assert quality.judge(docs.limit(0)).count() == 0
 
 
+def test_fences_follow_language_and_source(spark):
+    """Long words are usual in one group and odd in another; a group of one document is judged by its language."""
+    text = lambda n, i: " ".join("abcdefghijklmnopqrstuvwxyz"[(i * 7 + j * j) % 26] * (n + (i + j) % 3) for j in range(40))
+    rows = [(i, text(4, i), "en", "web") for i in range(400)] + [(1000 + i, text(14, i), "en", "chem") for i in range(400)]
+    rows += [(2000 + i, text(7, i), "de", "web") for i in range(400)]
+    rows += [(5000, text(14, 1), "en", "web"), (5001, text(14, 1), "en", "chem"), (5002, text(14, 1), "de", "new"), (5003, text(7, 1), "de", "new2")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in quality.judge(df).collect()}
+    assert all(kept[d] for d in kept if d < 5000)
+    assert (kept[5000], kept[5001], kept[5002], kept[5003]) == (False, True, False, True)
+    limits = {(r._lang, r._source): r._fence_chars_per_word for r in quality.fences(quality.sketches(quality.measure(df))).collect()}
+    assert limits["en", "web"] < 14 < limits["en", "chem"] and limits["de", "web"] < 14
+
+
 def test_spans(docs):
     rows = spans.remove_repeats(docs, ["lang"]).collect()
     assert ids(rows) == ALL
