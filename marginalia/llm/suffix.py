@@ -2,16 +2,16 @@
 
 "Earlier" is a smaller doc_id, or an earlier start in the same document; strings are judged on the input.
 
-A longest-previous-factor array says for each start how far its string also runs from an earlier start; a start whose
-value reaches `length` removes its bytes. The array is built where it can be non-trivial only. In every string of `length` bytes the GRAM-byte piece with the
+A longest-previous-factor array says for each start how far its string also runs from an earlier start; a factor of `length`
+and more removes its bytes. The array is built where it can be non-trivial only. In every string of `length` bytes the GRAM-byte piece with the
 smallest hash is its anchor, so equal strings have equal anchors. Neighbouring starts with one anchor share a context, the
 bytes they cover. Contexts are sorted by anchor and content over all documents:
  - an anchor seen once has no earlier match;
- - of equal contexts all but the first are removed whole;
- - different contexts of one anchor go to suffix order: ranks of all suffixes by prefix doubling up to `length` bytes,
-   ties by position, so that the previous smaller position of a suffix is its neighbour when they share `length` bytes
-   and the next smaller one shares fewer. That gives the factor and marks the start;
- - anchors with very many different contexts are split by the whole string, each start a row of its own, and sorted again.
+ - of equal contexts all but the first are removed whole, settled by hash: they need no array;
+ - different contexts of one anchor go to a block: suffix order by prefix doubling, the bytes shared with the neighbour in that order,
+   the previous and the next smaller position of every suffix, and the factor as the larger of what it shares with these two;
+ - anchors with very many different contexts are split by the whole string, each start a row of its own, and sorted again: starts with
+   an equal string are neighbours in suffix order, and all but the first have an earlier match.
 
 Null and short texts lose nothing. doc_id names a text: rows repeated with one doc_id and text are one document; rows with a null doc_id
 are ordered by a hash of their text. Empty tables give empty results; other columns are left alone.
@@ -115,39 +115,91 @@ def cut_out(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "anchor bigint, doc bigint, th bigint, b bigint, bytes binary, large boolean")
 
 
-def _classes(data: np.ndarray, length: int, start: np.ndarray) -> np.ndarray:
-    """Rank of each start's `length` bytes, by prefix doubling: ranks of 8 bytes, then of twice as many each time."""
-    wide = np.zeros(len(data), np.uint64)
-    padded = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64)
-    for j in range(8):
-        wide = (wide << np.uint64(8)) | padded[j : j + len(data)]
-    rank, span = np.unique(wide, return_inverse=True)[1].astype(np.int64), 8
-    n = np.int64(len(data) + 1)
-    while span * 2 <= length:
-        after = np.concatenate((rank[span:], np.full(min(span, len(rank)), -1, np.int64)))
-        rank, span = np.unique(rank * n + after + 1, return_inverse=True)[1].astype(np.int64), span * 2
-    return np.unique(rank[start] * n + rank[start + length - span], return_inverse=True)[1]
-
-
-def previous_factors(texts: list[bytes], anchor: np.ndarray, doc: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
-    """For a block of contexts: (context, start) of every start whose string also starts earlier in another context of its anchor."""
+def suffix_order(data: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix order of texts laid end to end, and the bytes each suffix shares with the one before it (0 for the first).
+
+    `rest` says for each place how many bytes its own text still has; a suffix ends with its text. Ranks of 7 bytes are doubled until
+    they tell whole suffixes apart; the ranks of every step then give the shared bytes, longest step first.
+    """
+    n = len(data)
+    wide = np.zeros(n, np.uint64)
+    for j in range(7):
+        at = np.minimum(np.arange(n) + j, n - 1)
+        wide = (wide << np.uint64(9)) | np.where(rest > j, data[at].astype(np.uint64) + np.uint64(1), np.uint64(0))
+    rank = np.unique(wide, return_inverse=True)[1].astype(np.int64)
+    steps = [(7, rank.astype(np.int32))]
+    span = 7
+    while span < rest.max():
+        after = np.where(rest[: n - span] > span, rank[span:] + 1, 0)
+        pair = rank * (n + 1)
+        pair[: n - span] += after
+        rank = np.unique(pair, return_inverse=True)[1].astype(np.int64)
+        span *= 2
+        steps.append((span, rank.astype(np.int32)))
+    order = np.argsort(rank, kind="stable")
+    one, two = order[:-1], order[1:]
+    shared = np.zeros(n - 1, np.int64)
+    for span, ranks in reversed(steps):
+        shared += span * (ranks[np.minimum(one + shared, n - 1)] == ranks[np.minimum(two + shared, n - 1)])
+    differ = wide[np.minimum(one + shared, n - 1)] ^ wide[np.minimum(two + shared, n - 1)]
+    for j in range(1, 7):
+        shared += differ < np.uint64(1 << (63 - 9 * j))
+    return order, np.concatenate(([0], np.minimum(shared, np.minimum(rest[one], rest[two]))))
+
+
+def _shared_with_smaller(place: np.ndarray, shared: np.ndarray, least: int) -> np.ndarray:
+    """For each entry the bytes shared with the nearest entry before it that has a smaller place; 0 where these are under `least`.
+
+    An entry whose neighbour is not smaller takes over what that neighbour points to: all between are no smaller either.
+    """
+    to, shared = np.arange(len(place)) - 1, shared.copy()
+    going = np.flatnonzero(shared >= least)
+    while len(going):
+        going = going[place[to[going]] >= place[going]]
+        near = to[going]
+        shared[going], to[going] = np.minimum(shared[going], shared[near]), to[near]
+        going = going[shared[going] >= least]
+    return np.where(shared >= least, shared, 0)
+
+
+def previous_factors(data: np.ndarray, rest: np.ndarray, place: np.ndarray, least: int = 1) -> np.ndarray:
+    """Longest previous factors: for each suffix the most bytes it shares with one of smaller `place`; 0 where that is under `least`.
+
+    Of all suffixes with smaller places those nearest before and after it in suffix order share most. Equal places are one and the same.
+    """
+    if not len(data):
+        return np.zeros(0, np.int64)
+    order, shared = suffix_order(data, rest)
+    at = place[order]
+    before = _shared_with_smaller(at, shared, least)
+    after = _shared_with_smaller(at[::-1], np.concatenate(([0], shared[1:][::-1])), least)[::-1]
+    factor = np.empty(len(data), np.int64)
+    factor[order] = np.maximum(before, after)
+    return factor
+
+
+def _block_spans(texts: list[bytes], doc: np.ndarray, th: np.ndarray, b: np.ndarray, length: int) -> pa.RecordBatch:
+    """Spans removed by the factor array of a block of contexts, neighbouring ones joined."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     size = np.array([len(t) for t in texts])
-    base = np.cumsum(size) - size
-    many = size - length + 1
-    context = np.repeat(np.arange(len(texts)), many)
-    offset = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    rank = _classes(data, length, base[context] + offset)
-    place = b[context] + offset
-    # suffix order, ties by position: the neighbour before is the previous smaller position if it has the same rank
-    order = np.lexsort((place, doc[context], rank))
-    same = rank[order][1:] == rank[order][:-1]
-    # a repeat of one and the same start is no earlier one: compare with the first of the rank
-    first = np.concatenate(([True], ~same))
-    lead = order[np.flatnonzero(first)[np.cumsum(first) - 1]]
-    earlier = (doc[context][lead] != doc[context][order]) | (place[lead] != place[order])
-    hit = order[earlier]
-    return np.stack((context[hit], offset[hit]), 1)
+    context = np.repeat(np.arange(len(texts)), size)
+    offset = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
+    start = b[context] + offset
+    by_place = np.lexsort((start, doc[context]))
+    new = np.zeros(len(data), np.int64)
+    new[1:] = (np.diff(doc[context][by_place]) != 0) | (np.diff(start[by_place]) != 0)
+    place = np.empty(len(data), np.int64)
+    place[by_place] = np.cumsum(new)
+    factor = previous_factors(data, size[context] - offset, place, length)
+    hit = np.flatnonzero(factor)
+    c, begin = context[hit], start[hit]
+    end = begin + factor[hit]
+    # start + factor never falls within a context, so the last start of a run has its end
+    head = np.ones(len(hit), bool)
+    head[1:] = (c[1:] != c[:-1]) | (begin[1:] > end[:-1])
+    tail = np.append(head[1:], True)[: len(hit)]
+    columns = [doc[c[head]], th[c[head]], begin[head], end[tail]]
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["doc", "th", "b", "e"])
 
 
 def factor_spans(cut: DataFrame, length: int) -> DataFrame:
@@ -155,15 +207,7 @@ def factor_spans(cut: DataFrame, length: int) -> DataFrame:
 
     def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
-        texts, anchor, doc, th, b = t["bytes"].to_pylist(), *[t[x].to_numpy() for x in ("anchor", "doc", "th", "b")]
-        hit = previous_factors(texts, anchor, doc, b, length)
-        hit = hit[np.lexsort((hit[:, 1], hit[:, 0]))]
-        new = np.ones(len(hit), bool)
-        new[1:] = (hit[1:, 0] != hit[:-1, 0]) | (hit[1:, 1] > hit[:-1, 1] + length)
-        head = np.flatnonzero(new)
-        tail = np.append(head[1:], len(hit))[: len(head)] - 1
-        c = hit[head, 0]
-        return pa.RecordBatch.from_arrays([pa.array(doc[c], pa.int64()), pa.array(th[c], pa.int64()), pa.array(b[c] + hit[head, 1], pa.int64()), pa.array(b[c] + hit[tail, 1] + length, pa.int64())], ["doc", "th", "b", "e"])
+        return _block_spans(t["bytes"].to_pylist(), *[t[x].to_numpy() for x in ("doc", "th", "b")], length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -221,8 +265,10 @@ def repeated_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
     out = saved(sort_out(contexts(rows, length)), "contexts")
     spans = out.where("kind = 1").select("doc", "th", "b", "e")
     wanted = out.where("kind = 0")
-    size = wanted.groupBy("anchor").agg((F.count("*") > LARGE).alias("large"))
-    wanted = wanted.join(size, "anchor").select("anchor", "doc", "th", "b", "e", "large")
+    # few anchors have very many; once they are saved Spark knows their size, and the join need not bring an anchor's contexts together
+    many = wanted.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select("anchor", F.lit(True).alias("large"))
+    wanted = wanted.join(saved(many, "large-anchors"), "anchor", "left")
+    wanted = wanted.select("anchor", "doc", "th", "b", "e", F.coalesce("large", F.lit(False)).alias("large"))
     cut = saved(cut_out(_with_bytes(rows, wanted)), "differing")
     spans = spans.union(factor_spans(cut.where("not large"), length))
     large = sort_out(whole_strings(cut.where("large"), length)).where("kind = 1")
