@@ -16,14 +16,43 @@ FRAGMENT_BYTES = 300
 _FRAGMENT = rf"[\s\S]{{1,{FRAGMENT_BYTES}}}(?![\x80-\xbf])(?:(?<![A-Za-z])|(?![A-Za-z]))|[A-Za-z]+"
 
 
-def cut_fragments(c: Column) -> Column:
-    """Consecutive fragments of at most 300 bytes that end on token borders, as an array of texts.
+# Columns that hold the ends of a field's fragments where an index stores them.
+ENDS = {f: f"{f}_ends" for f in TEXT_FIELDS}
 
-    One regex pass: the text's UTF-8 bytes are read as Latin-1, where a character is a byte.
-    """
+
+def _pieces(c: Column) -> Column:
+    """One regex pass: the text's UTF-8 bytes are read as Latin-1, where a character is a byte."""
     as_bytes = F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
-    pieces = F.regexp_extract_all(as_bytes, F.lit(_FRAGMENT), F.lit(0))
-    return F.transform(pieces, lambda p: F.decode(F.encode(p, "ISO-8859-1"), "UTF-8"))
+    return F.regexp_extract_all(as_bytes, F.lit(_FRAGMENT), F.lit(0))
+
+
+def cut_fragments(c: Column) -> Column:
+    """Consecutive fragments of at most 300 bytes that end on token borders, as an array of texts."""
+    return F.transform(_pieces(c), lambda p: F.decode(F.encode(p, "ISO-8859-1"), "UTF-8"))
+
+
+def fragment_ends(c: Column) -> Column:
+    """Where the text's fragments end, in bytes: what an index stores of them, some four bytes per fragment."""
+    none = F.array().cast("array<int>")
+    return F.aggregate(
+        _pieces(c), none, lambda ends, p: F.array_append(ends, F.coalesce(F.try_element_at(ends, F.lit(-1)), F.lit(0)) + F.length(p))
+    )
+
+
+def with_ends(posts: DataFrame) -> DataFrame:
+    """Posts with the ends of their fragments."""
+    return posts.withColumns({name: fragment_ends(F.col(field)) for field, name in ENDS.items()})
+
+
+def sliced(c: Column, ends: Column) -> Column:
+    """The fragments of a text whose ends are known: byte slices, no cutting."""
+
+    def each(raw: Column) -> Column:
+        start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1))
+        return F.transform(ends, lambda end, i: F.decode(F.substr(raw, start(i) + 1, end - start(i)), "UTF-8"))
+
+    # an array of one: its element is worked out once, not for every slice
+    return F.get(F.transform(F.array(c.cast("binary")), each), 0)
 
 
 def fragments(posts: DataFrame) -> DataFrame:
@@ -40,9 +69,9 @@ def fragments(posts: DataFrame) -> DataFrame:
     )
 
 
-def best_fragment(c: Column, weights: Column) -> Column:
+def best_fragment(c: Column, weights: Column, ends: Column | None = None) -> Column:
     """struct<score, place, text> of the heaviest fragment; `place` is minus its number, so that
-    the earliest wins a tie. `weights` maps a lower-cased token to its weight."""
+    the earliest wins a tie. `weights` maps a lower-cased token to its weight; `ends` are the fragments' stored ends."""
 
     def weigh(fragment: Column) -> Column:
         weight = lambda t: F.coalesce(F.try_element_at(weights, F.lower(t)), F.lit(0.0))
@@ -50,7 +79,7 @@ def best_fragment(c: Column, weights: Column) -> Column:
 
     return F.array_max(
         F.transform(
-            cut_fragments(c),
+            cut_fragments(c) if ends is None else sliced(c, ends),
             lambda f, i: F.struct(F.round(weigh(f), 9).alias("score"), (-i).alias("place"), f.alias("text")),
         )
     )
@@ -72,11 +101,12 @@ def highlight(fragment: Column, weights: Column) -> Column:
 def snippets(df: DataFrame, fields: dict[str, str]) -> DataFrame:
     """Replace each text column by its highlighted best fragment, or its excerpt when nothing was hit.
 
-    `fields` maps a text column to the column of its token weights.
+    `fields` maps a text column to the column of its token weights. Fragments are cut here only where their ends are not at hand.
     """
     for field, weights in fields.items():
         w = F.coalesce(F.col(weights), F.create_map().cast("map<string,double>"))
-        df = df.withColumn(f"_{field}", F.when(F.size(w) > 0, best_fragment(F.col(field), w)))
+        ends = F.col(ENDS[field]) if ENDS[field] in df.columns else None
+        df = df.withColumn(f"_{field}", F.when(F.size(w) > 0, best_fragment(F.col(field), w, ends)))
     for field, weights in fields.items():
         best = F.col(f"_{field}")
         shown = highlight(best["text"], F.col(weights))

@@ -93,8 +93,8 @@ def load_feed(
 
 
 def compact(store: Store) -> int:
-    """Fold all loads into one, for a store that many small loads went into."""
-    return store.add(store.posts(), replace=True)
+    """Fold all loads into one, for a store that many small loads went into; no text is cut again."""
+    return store.fold()
 
 
 def vacuum(store: Store) -> int:

@@ -1,6 +1,6 @@
 """The stored corpus and its index: ordinary Parquet tables, one folder per load.
 
-    posts/load=K/slice=S/          documents, sliced by doc_id
+    posts/load=K/slice=S/          documents with the ends of their fragments, sliced by doc_id
     postings/load=K/field=F/bucket=B/   sorted by token, then doc_id
     doc_freq/load=K/               document counts of this load's documents
     field_sums/load=K/             document count and field lengths of this load
@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from marginalia.operators import index as ix
 from marginalia.operators.joins import Stage
 from marginalia.operators.match import bucket
+from marginalia.operators.snippet import ENDS, with_ends
 from marginalia.schema import POSTS
 from marginalia.sources import urls
 
@@ -38,6 +39,7 @@ _TYPES = {
     "boolean": T.BooleanType(),
     "binary": T.BinaryType(),
     "array<bigint>": T.ArrayType(T.LongType(), False),
+    "array<int>": T.ArrayType(T.IntegerType(), False),
 }
 
 
@@ -46,7 +48,7 @@ def _columns(**types: str) -> list[T.StructField]:
 
 
 _SCHEMAS = {
-    "posts": T.StructType(POSTS.fields + _columns(load="int", slice="bigint")),
+    "posts": T.StructType(POSTS.fields + _columns(**dict.fromkeys(ENDS.values(), "array<int>"), load="int", slice="bigint")),
     "postings": T.StructType(
         _columns(
             token="string",
@@ -151,7 +153,7 @@ class Store:
         return self._read(name).where(F.col("load").isin(self._state().live))
 
     def posts(self) -> DataFrame:
-        return self.table("posts")
+        return self.table("posts").drop(*ENDS.values())
 
     def index(self) -> ix.Index:
         """The committed index. Document frequencies are partial, one row per load."""
@@ -177,15 +179,14 @@ class Store:
         state = self._state()
         load = state.last + 1
         max_id, known = (-1, None) if replace else (state.max_doc_id, state.buckets)
-        sliced = posts.withColumn("slice", F.floor(F.col("doc_id") / SLICE_DOCS)).hint("rebalance", "slice")
-        stored = self._write("posts", load, sliced, ["slice"])
+        stored = self._write_posts(with_ends(posts), load)
         sums = self._write("field_sums", load, ix.field_sums(stored), [])
         size = sums.select("n_docs", (F.col("title") + F.col("content")).alias("tokens")).first()
         buckets = known or buckets or self._choose_buckets(size.tokens)
         layout = urls.shape(load, size.n_docs or 0)
-        self._write_index(stored, load, buckets)
-        keys = self._write("urls", load, urls.keyed(stored, layout), ["bucket"])
-        self._write("url_filters", load, urls.filters(keys, layout), ["bucket"])
+        written = self._write_postings(ix.postings(stored), load, buckets)
+        self._write_counts(ix.doc_freq(written), ix.day_counts(stored), load)
+        self._write_urls(stored, load, layout)
         report = stored.agg(
             F.current_timestamp().alias("at"),
             F.count("*").alias("added"),
@@ -194,6 +195,36 @@ class Store:
         self._report(load, report, buckets, replace, layout, source)
         return load
 
+    def fold(self) -> int:
+        """Fold the live loads into one; returns its number.
+
+        Nothing is cut or counted again: posts are copied with their fragments' ends, the loads' postings are dealt to the buckets their
+        joint size asks for and sorted there, frequencies, sums and days are added up, and the quarantine goes along.
+        """
+        state = self._state()
+        load = state.last + 1
+
+        def live(table: str) -> DataFrame:
+            return self._read(table).where(F.col("load").isin(state.live))
+
+        self._write_posts(live("posts"), load)
+        total = [F.coalesce(F.sum(c), F.lit(0).cast("bigint")).alias(c) for c in ("n_docs", *ix.TEXT_FIELDS, *ix.EXACT_FIELDS)]
+        sums = self._write("field_sums", load, live("field_sums").agg(*total), [])
+        size = sums.select("n_docs", (F.col("title") + F.col("content")).alias("tokens")).first()
+        buckets, layout = self._choose_buckets(size.tokens), urls.shape(load, size.n_docs)
+        self._write_postings(live("postings"), load, buckets)
+        frequencies = live("doc_freq").groupBy("field", "token").agg(F.sum("df").alias("df"))
+        self._write_counts(frequencies, live("days").groupBy("day").agg(F.sum("n").alias("n")), load)
+        self._write_urls(live("urls"), load, layout)
+        try:
+            self.set_aside(self.quarantine().drop("load"), load)
+        except AnalysisException as e:  # nothing was ever set aside
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+        report = sums.select(F.current_timestamp().alias("at"), F.col("n_docs").alias("added"), F.lit(state.max_doc_id).cast("bigint").alias("max_doc_id"))
+        self._report(load, report, buckets, True, layout, None)
+        return load
+
     def _report(self, load: int, report: DataFrame, buckets: int, replace: bool, layout: urls.Shape | None, source: str | None) -> None:
         facts = {"buckets": buckets, "replaces": replace, "url_buckets": layout and layout.buckets, "url_cells": layout and layout.cells, "source": source}
         kinds = {f.name: f.dataType for f in _SCHEMAS["loads"]}
@@ -236,17 +267,26 @@ class Store:
         most = max(8, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         return min(most, max(8, tokens // TOKENS_PER_BUCKET))
 
-    def _write_index(self, stored: DataFrame, load: int, buckets: int) -> None:
+    def _write_posts(self, posts: DataFrame, load: int) -> DataFrame:
+        dealt = posts.withColumn("slice", F.floor(F.col("doc_id") / SLICE_DOCS)).hint("rebalance", "slice")
+        return self._write("posts", load, dealt, ["slice"])
+
+    def _write_postings(self, postings: DataFrame, load: int, buckets: int) -> DataFrame:
         """Rebalancing by bucket lets Spark split the ones that hold a very frequent token."""
         entries = (
-            ix.postings(stored)
-            .withColumn("bucket", bucket(F.col("token"), buckets))
+            postings.withColumn("bucket", bucket(F.col("token"), buckets))
             .hint("rebalance", "field", "bucket")
             .sortWithinPartitions("field", "bucket", "token", "doc_id")
         )
-        written = self._write("postings", load, entries, ["field", "bucket"])
-        self._write("doc_freq", load, ix.doc_freq(written).sortWithinPartitions("field", "token"), [])
-        self._write("days", load, ix.day_counts(stored), [])
+        return self._write("postings", load, entries, ["field", "bucket"])
+
+    def _write_counts(self, doc_freq: DataFrame, days: DataFrame, load: int) -> None:
+        self._write("doc_freq", load, doc_freq.sortWithinPartitions("field", "token"), [])
+        self._write("days", load, days, [])
+
+    def _write_urls(self, rows: DataFrame, load: int, layout: urls.Shape) -> None:
+        keys = self._write("urls", load, urls.keyed(rows, layout), ["bucket"])
+        self._write("url_filters", load, urls.filters(keys, layout), ["bucket"])
 
     def _write(self, table: str, load: int, df: DataFrame, by: list[str]) -> DataFrame:
         """Replace this load's folder of a table and return the rows as stored."""
