@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.operators import index as ix
 from marginalia.operators.joins import Stage
+from marginalia.operators.snippet import with_ends
 from marginalia.plans import ingest
 from marginalia.sources import feeds
 from marginalia.sources.store import Store
@@ -211,7 +212,7 @@ def test_unfinished_load_is_invisible_and_overwritten(spark, tmp_path):
     write(tmp_path / "f2", "a.xml", entry("2"))
     load(store, spark, tmp_path / "f1")
     posts = ingest.number(feeds.loadable(posts_of(spark, tmp_path / "f2")), 0, Stage(spark))
-    store._write("posts", 2, posts.withColumn("slice", F.lit(0).cast("bigint")), ["slice"])
+    store._write_posts(with_ends(posts), 2)
     assert urls(store) == ["1"]
     load(store, spark, tmp_path / "f2")
     assert urls(store) == ["1", "2"]
