@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from marginalia.functions import text
-from marginalia.operators import tokens
+from marginalia.operators import cutting, index, snippet, tokens
 
 
 def cut_by_hand(s):
@@ -64,3 +64,50 @@ def test_order_of_cutting_and_lowering(spark):
     rows = df.select(text.index_tokens(F.col("c")).alias("i"), text.search_tokens(F.col("c")).alias("s")).collect()
     assert rows[0].i == ["i̇"] and rows[0].s == ["i", "̇"]
     assert rows[1].i == ["k"] and rows[1].s == ["k"]
+
+
+def sizes_by_hand(t):
+    return [len(w.encode()) for w in cut_by_hand(t)]
+
+
+def test_postings_are_put_together_where_texts_lie(spark, monkeypatch):
+    monkeypatch.setattr(cutting, "PIECE_BYTES", 40)  # documents span pieces
+    texts = TEXTS + random_texts()
+    entries = index.text_postings(posts_of(spark, texts).withColumn("date", F.lit(0).cast("timestamp")))
+    plan = entries._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan and "Aggregate" not in plan  # no row per token is sorted or grouped by Spark
+    got = {(r.doc_id, r.token): (r.tf, r.dl, r.positions) for r in entries.collect()}
+    lower = tokens.lower_cased(spark)
+    want = {}
+    for i, t in enumerate(texts):
+        at = 0
+        for w in cut_by_hand(t):
+            want.setdefault((i, w.lower() if w.isascii() else lower.get(w, w)), []).append(at)
+            at += len(w.encode())
+    assert got == {(i, w): (len(p), len(cut_by_hand(texts[i])), p) for (i, w), p in want.items()}
+
+
+def test_lower_casing_is_that_of_spark(spark):
+    lower = tokens.lower_cased(spark)
+    assert lower["İ"] == "i̇" and lower["\u212a"] == "k" and "é" not in lower and len(lower) < 3000
+
+
+def test_rows_that_share_a_doc_id_take_turns(spark):
+    rows = [(1, "a bc", ""), (1, "a bc", ""), (None, "x", ""), (None, "x", ""), (2, None, "t"), (3, "", "")]
+    got = tokens.token_offsets(spark.createDataFrame(rows, "doc_id bigint, content string, title string")).collect()
+    at = {}
+    for r in got:
+        at.setdefault((r.doc_id, r.field), []).append((r.byte_from, r.byte_to, r.token, r.ord))
+    assert {k: sorted(v) for k, v in at.items()} == {
+        (1, "content"): [(0, 1, "a", 0), (1, 2, "a", 0), (2, 3, " ", 1), (3, 4, " ", 1), (4, 6, "bc", 2), (6, 8, "bc", 2)],
+        (None, "content"): [(0, 1, "x", 0), (1, 2, "x", 0)],
+        (2, "title"): [(0, 1, "t", 0)],
+    }
+
+
+def test_stored_ends_are_those_of_the_cut(spark):
+    rng = random.Random(5)
+    texts = [*TEXTS, None, "", "y" * 900, *["".join(rng.choice(["a" * rng.randint(1, 400), " ", "é", "你", "😀", "."]) for _ in range(rng.randint(0, 40))) for _ in range(100)]]
+    df = snippet.with_ends(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, content string").withColumn("title", F.col("content")))
+    for r in df.select("content_ends", "title_ends", snippet.fragment_ends(F.col("content")).alias("want")).collect():
+        assert r.content_ends == r.title_ends == r.want
