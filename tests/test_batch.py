@@ -45,3 +45,24 @@ def test_slots_hand_on_pages_and_counts_only(spark, monkeypatch, exclude):
     for (request, page), found in want.items():
         shown = sorted(found)[(page - 1) * 4 : page * 4]
         assert sorted(got[request]) == [((page - 1) * 4 + 1 + k, d, -s, len(found)) for k, (s, d) in enumerate(shown)]
+
+
+def test_texts_meet_hits_last(spark):
+    """Hits have their words' weights before they meet the texts, so no text is moved once per hit."""
+    pages = spark.createDataFrame([(f"r{i}", 1, i % 3, 1.0, 1) for i in range(9)], "request_id string, rank long, doc_id long, score double, total long")
+    posts = spark.createDataFrame([(i, f"t{i}", f"some text {i}", f"u{i}", "en", ["a"]) for i in range(3)], "doc_id long, title string, content string, url string, category string, tags array<string>")
+    posts = posts.withColumn("date", F.timestamp_seconds("doc_id"))
+    weights = spark.createDataFrame([("r1", {}, {"text": 0.5}), ("r2", None, {"some": 0.5})], "request_id string, title_weights map<string,double>, content_weights map<string,double>")
+    shown = search.hits(pages, posts, weights)
+    plan = shown._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("Join LeftOuter")  # the upper one comes first
+    got = {r.request_id: r.snippet for r in shown.collect()}
+    assert len(got) == 9 and got["r1"] == "some <b>text</b> 1" and got["r2"] == "<b>some</b> text 2" and got["r0"] == "some text 0"
+
+
+def test_fields_of_a_word_add_up_in_a_slot(spark):
+    matched = spark.createDataFrame([("text", "a", d, 0.25) for d in (1, 1, 2)], "kind string, word string, doc_id long, score double").withColumn("date", F.timestamp_seconds(F.lit(5)))
+    row = ("r", 1, 0, 0, None, None, False, 1, 4, "must", "text", "a")
+    parts = spark.createDataFrame([row], "request_id string, w_must int, w_excluded int, w_filter int, lo long, hi long, ranged boolean, page long, size long, role string, kind string, word string")
+    got = batch.best_in_slots(parts, matched, "all", 10, 1).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.score, r._size) for r in got] == [(1, 0.5, 2), (2, 0.25, 2)]
