@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import minhash, packing, quality, spans, tiling
-from marginalia.llm.base import read, saved, text_key
+from marginalia.llm.base import flagged, read, saved, text_key
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -28,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     named = judged.where("kept and doc_id is not null and n_shingles > 0")
     chosen = named.groupBy("component_id").agg(F.min("th").alias("lowest"), F.max("th").alias("highest")).where("lowest < highest")
     beside = named.join(chosen, "component_id").where("th > lowest").select("doc_id", "th")
-    gone = judged.where("not kept").select("doc_id", "th").union(beside).distinct()
+    gone = saved(judged.where("not kept").select("doc_id", "th").union(beside).distinct(), "gone")
     repeated = judged.where("doc_id is not null").groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "th")
 
     def at(keys: DataFrame):
@@ -36,7 +36,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         return keys, rows["doc_id"].eqNullSafe(keys["_id"]) & (rows["th"] == keys["_th"])
 
     rows = docs.select(COLUMNS).withColumn("th", text_key(docs))
-    left = rows.join(*at(gone), "left_anti")
+    # most rows are seen to stay by a bitmap; only the others are shuffled to decide
+    met = flagged(rows, gone, ["doc_id", "th"], ["doc_id", "th"])
+    rows = met.where("_likely").drop("_likely")
+    left = rows.join(*at(gone), "left_anti").union(met.where("not _likely").drop("_likely"))
     rows = left
     repeated = saved(repeated, "repeated-rows")
     once = left.join(*at(repeated), "left_semi").groupBy("doc_id", "th").agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("row"))

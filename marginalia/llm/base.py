@@ -132,3 +132,27 @@ def text_key(df: DataFrame):
     from pyspark.sql import functions as F
 
     return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+#: A bitmap of keys has 2 ** KEY_BITS bits (8 MB), in cells of KEY_CELL bits (fixed by Spark's bitmap functions).
+KEY_BITS, KEY_CELL = 26, 32768
+
+
+def flagged(rows: DataFrame, keys: DataFrame, columns: list[str], own: list[str]) -> DataFrame:
+    """The rows with `_likely`: whether a bit is set that `columns` share with some row's `own` columns in `keys`. False means not among them.
+
+    A bitmap of fixed size is all that is broadcast, however many keys there are; a join decides about the likely rows, and the others need not be shuffled.
+    """
+    from pyspark.sql import functions as F
+
+    place = lambda names: F.shiftrightunsigned(F.xxhash64(*names), 64 - KEY_BITS)
+    cells = keys.select(place(own).alias("_p")).groupBy(F.floor(F.col("_p") / KEY_CELL).alias("_cell")).agg(F.bitmap_construct_agg(F.col("_p") % KEY_CELL).alias("_bits"))
+    bit = place(columns) % KEY_CELL
+    byte = F.conv(F.hex(F.substr("_bits", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = rows.withColumn("_cell", F.floor(place(columns) / KEY_CELL)).join(F.broadcast(cells), "_cell", "left")
+    return met.withColumn("_likely", F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))).drop("_cell", "_bits")
+
+
+def among(rows: DataFrame, keys: DataFrame, columns: list[str], own: list[str]) -> DataFrame:
+    """The rows that may have their `columns` among the keys' `own` ones: all that have, and few others."""
+    return flagged(rows, keys, columns, own).where("_likely").drop("_likely")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.base import Words, lowered, mix, saved, slices, text_bytes, text_key
+from marginalia.llm.base import Words, among, lowered, mix, saved, slices, text_bytes, text_key
 
 BANDS, ROWS = 30, 4
 _rng = np.random.default_rng(11)
@@ -104,7 +104,7 @@ def buckets(reps: DataFrame) -> DataFrame:
 
 def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that sizes and minima do not rule out; the minima's margin is over six deviations."""
-    sig = reps.select("node", "n", "sig")
+    sig = among(reps.select("node", "n", "sig"), pairs.select(F.explode(F.array("a", "b")).alias("node")), ["node"], ["node"])
     agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
     p = percent / 100
     least = int(BANDS * ROWS * (p - 6.5 * (p * (1 - p) / (BANDS * ROWS)) ** 0.5))
@@ -118,9 +118,9 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def sets_of(nodes: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """The sets of nodes, from the texts that stand for them."""
-    own = saved(reps.join(nodes, "node", "left_semi").select("node", F.col("doc_id").alias("_id"), F.col("th").alias("_th")), "owners")  # of known size
-    rows = docs.withColumn("th", text_key(docs))
+    """The sets of nodes, from the texts that stand for them. Of other texts only the few go on that a bitmap of the wanted ones lets through."""
+    own = saved(among(reps, nodes, ["node"], ["node"]).join(nodes, "node", "left_semi").select("node", F.col("doc_id").alias("_id"), F.col("th").alias("_th")), "owners")  # of known size
+    rows = among(docs.withColumn("th", text_key(docs)), own, ["doc_id", "th"], ["_id", "_th"])
     return saved(shingle_sets(rows.join(own, (rows["doc_id"] == own["_id"]) & (rows["th"] == own["_th"])), k), "sets")
 
 
@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     company = shared.groupBy("node").agg(F.sum("size").alias("company"))
     centre = shared.join(company, "node").groupBy("bucket").agg(F.max(F.struct("company", (-F.col("node")).alias("node")))["node"].alias("centre"))
     shared = saved(shared.join(centre.select("bucket", (-F.col("centre")).alias("centre")), "bucket").select("bucket", "node", "centre"), "centres")
-    star = shared.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    star = saved(shared.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "star")
     near = likely(star, reps, percent)
     links = confirmed(near, sets_of(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), reps, rows, k), percent)
     part = saved(components(links), "components")

@@ -407,3 +407,15 @@ def test_pipeline_stages_take_effect(spark, docs, items, tmp_path):
     assert set(ids(stage["benchmark_passages"](spark, docs, str(tmp_path)).collect())) == {None, 1, 2, 3, 7, 8, 9}
     left = {r.doc_id: r.text for r in stage["repeated_passages"](spark, docs, "").collect()}
     assert left[4] == PASSAGE and 6 not in left and "many words" not in left[5]
+
+
+def test_a_bitmap_lets_wanted_rows_through_and_few_others(spark):
+    from marginalia.llm import base
+
+    rows = spark.range(20000).select(F.when(F.col("id") % 1000 != 7, F.col("id")).alias("doc_id"), (F.col("id") * 3).alias("th"))
+    keys = rows.where("th % 77 = 0").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+    met = base.flagged(rows, keys, ["doc_id", "th"], ["_id", "_th"])
+    assert met.count() == 20000 and met.columns == ["doc_id", "th", "_likely"]
+    assert met.where("th % 77 = 0 and not _likely").isEmpty()
+    assert met.where("_likely").count() <= keys.count() + 5
+    assert base.among(rows, keys.limit(0), ["doc_id", "th"], ["_id", "_th"]).isEmpty()
