@@ -28,20 +28,18 @@ def one_per_url(batch: DataFrame) -> DataFrame:
 def number(new: DataFrame, after: int, stage: Stage) -> DataFrame:
     """Give posts their doc_id, counting on from `after` in url order.
 
-    The posts are staged in url ranges first. Each range is numbered by its own task and
-    shifted by the sizes of the ranges before it, so no task sees all posts.
+    The posts are staged in url ranges first, each sorted and numbered by its own task as it is written; a range's numbers are
+    shifted by the sizes of the ranges before it, so no task sees all posts and no text is moved twice.
     """
-    ranged = stage(
-        new.repartitionByRange(*_ORDER[:2], "title").withColumn("_range", F.spark_partition_id()), "new-posts"
-    )
+    ranged = new.repartitionByRange(*_ORDER[:2], "title").sortWithinPartitions(*_ORDER)
+    ranged = stage(ranged.withColumn("_at", F.monotonically_increasing_id()), "new-posts")  # the range above 33 bits of its rows' numbers
+    ranged = ranged.withColumns({"_range": F.shiftright("_at", 33), "_nth": F.col("_at").bitwiseAND((1 << 33) - 1) + 1}).drop("_at")
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    nth = F.row_number().over(Window.partitionBy("_range").orderBy(*_ORDER))
     # One row per range: as many as there are partitions.
     return (
-        ranged.withColumn("_nth", nth)
-        .join(F.broadcast(shifts), "_range")
+        ranged.join(F.broadcast(shifts), "_range")
         .withColumn("doc_id", F.lit(after) + F.col("_shift") + F.col("_nth"))
         .drop("_range", "_nth", "_shift")
     )

@@ -244,3 +244,14 @@ def test_stream_restart_adds_nothing(spark, tmp_path):
     assert urls(store) == ["1", "2", "3", "4"]
     lambdas = store.index().doc_freq.where("field = 'content' AND token = 'lambda'")
     assert lambdas.agg(F.sum("df")).first()[0] == 4
+
+
+def test_numbering_moves_posts_once(spark):
+    """A range of urls is numbered as it is written: nothing is grouped by range again."""
+    rows = spark.range(500).select(
+        F.concat(F.lit("u"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("url"), F.timestamp_seconds("id").alias("date"),
+        F.lit("t").alias("title"), F.col("id").cast("string").alias("content"), F.lit("en").alias("category"), F.array(F.lit("a")).alias("tags"),
+    )
+    done = ingest.number(rows.repartition(7, "content"), 9, Stage(spark))
+    assert [r.doc_id for r in done.orderBy("url").collect()] == list(range(10, 510))
+    assert "row_number" not in done._jdf.queryExecution().optimizedPlan().toString()

@@ -111,3 +111,25 @@ def test_stored_ends_are_those_of_the_cut(spark):
     df = snippet.with_ends(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, content string").withColumn("title", F.col("content")))
     for r in df.select("content_ends", "title_ends", snippet.fragment_ends(F.col("content")).alias("want")).collect():
         assert r.content_ends == r.title_ends == r.want
+
+
+def test_packed_postings_are_the_postings(spark, monkeypatch):
+    """Packed, brought together by bucket and unpacked, postings are those put together row by row; their rows are not shuffled, nor are texts that stand alone."""
+    from pyspark.sql import functions as F
+
+    from marginalia.operators import cutting, tokens
+    from marginalia.operators.match import bucket
+
+    monkeypatch.setattr(cutting, "PACK_ROWS", 50)
+    texts = [None, "", "That that THE, the.", "naïve Café ÀÉ — 日本 日本", "a" * 400 + " b", "x\x00y <z> & " * 30]
+    rows = [(i, f"Title {i} the", texts[i % len(texts)]) for i in range(40)]
+    kind = "doc_id long, title string, content string"
+    for data, alone in ((rows, True), ([*rows, *rows[:9], (None, "n", "n n"), (None, "m", "n")], False)):
+        posts = spark.createDataFrame(data, kind).repartition(3).withColumn("date", F.timestamp_seconds("doc_id"))
+        packs = tokens.token_packs(posts, 5, alone, "date")
+        columns = ["field", "token", "doc_id", "date", "dl", "tf", "positions"]
+        want = tokens.token_groups(posts, "date").select(*columns, bucket(F.col("token"), 5).alias("bucket"))
+        assert sorted(map(repr, packs.select(*columns, "bucket").collect())) == sorted(map(repr, want.collect()))
+        plan = packs._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("RebalancePartitions") == 1 and ("RepartitionByExpression [doc_id" in plan) != alone
+    assert tokens.token_packs(spark.createDataFrame([], kind).withColumn("date", F.timestamp_seconds("doc_id")), 5, True, "date").count() == 0
