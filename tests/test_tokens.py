@@ -133,3 +133,28 @@ def test_packed_postings_are_the_postings(spark, monkeypatch):
         plan = packs._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("RebalancePartitions") == 1 and ("RepartitionByExpression [doc_id" in plan) != alone
     assert tokens.token_packs(spark.createDataFrame([], kind).withColumn("date", F.timestamp_seconds("doc_id")), 5, True, "date").count() == 0
+
+
+def test_packs_of_counted_tokens_come_sorted_in_small_pieces(spark, monkeypatch):
+    """With the tokens counted, packs are dealt over pieces of bounded size, and a task gives out its rows in sorted runs."""
+    from pyspark.sql import functions as F
+
+    from marginalia.operators import cutting, tokens
+
+    monkeypatch.setattr(cutting, "PACK_ROWS", 60)
+    rows = [(i if i % 5 else None, f"Title {i} the", "That that THE, the. naïve 日本 " * (i % 7)) for i in range(60)]
+    posts = spark.createDataFrame(rows, "doc_id long, title string, content string").withColumn("date", F.timestamp_seconds("doc_id"))
+    columns = ["field", "token", "doc_id", "date", "dl", "tf", "positions"]
+    want = tokens.token_groups(posts, "date").select(*columns)
+    totals = {r.field: r.n for r in tokens.token_groups(posts).groupBy("field").agg(F.sum("tf").alias("n")).collect()}
+    plain = tokens.token_packs(posts, 3, False, "date", totals=totals)
+    assert sorted(map(repr, plain.select(*columns).collect())) == sorted(map(repr, want.collect()))
+    tasks = plain.select(F.spark_partition_id().alias("task"), "field", "bucket", "token", F.coalesce("doc_id", F.lit(-1)).alias("doc_id")).collect()
+    assert all([r for r in tasks if r.task == t] == sorted(r for r in tasks if r.task == t) for t in {r.task for r in tasks})
+    monkeypatch.setattr(tokens, "TASK_TOKENS", 20)
+    plain = tokens.token_packs(posts, 3, False, "date", totals=totals)
+    monkeypatch.setattr(cutting, "SORTED_BYTES", 4000)
+    small = tokens.token_packs(posts, 3, False, "date", totals=totals)
+    assert sorted(map(repr, small.select(*columns).collect())) == sorted(map(repr, want.collect()))
+    most = lambda df: max(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+    assert most(small) < most(plain)
