@@ -66,3 +66,31 @@ def test_fields_of_a_word_add_up_in_a_slot(spark):
     parts = spark.createDataFrame([row], "request_id string, w_must int, w_excluded int, w_filter int, lo long, hi long, ranged boolean, page long, size long, role string, kind string, word string")
     got = batch.best_in_slots(parts, matched, "all", 10, 1).orderBy("doc_id").collect()
     assert [(r.doc_id, r.score, r._size) for r in got] == [(1, 0.5, 2), (2, 0.25, 2)]
+
+
+def test_phrases_meet_the_positions_of_their_tokens_once(spark, monkeypatch):
+    """However many phrases name a token, its postings go to their slot once; what stands there is what plain searching finds."""
+    from marginalia.operators import index as ix
+    from marginalia.operators import match, phrases
+
+    monkeypatch.setattr(phrases, "LEAST_SLOTS", 3)
+    texts = ["of the of the of the", "of theof the", "a a a, a a", "the of 日日日 of", "x of", "", None, "THE OF the, of the"]
+    rows = [(i if i != 11 else None, texts[i % len(texts)]) for i in range(24)]
+    posts = spark.createDataFrame(rows, "doc_id long, content string").select(
+        "doc_id", F.lit("t").alias("title"), "content", F.timestamp_seconds(F.coalesce("doc_id", F.lit(0))).alias("date"), F.lit("c").alias("category"), F.array().cast("array<string>").alias("tags")
+    )
+    words = ["of the", "the of", "a a", "日日", "of the of", "no such", "the, of", "f the", " of", "a a a"]
+    asked = spark.createDataFrame([("text", w) for w in words], "kind string, word string")
+    index = ix.from_posts(posts)
+    got = match.field_matches(index, match.lookups(asked, index), fits=True).where("field = 'content'")
+    want = {}
+    for doc, text in rows:
+        for w in words:
+            low = (text or "").lower()
+            ends = lambda a, z: not (low[a - 1 : a + 1].isascii() and a and low[a - 1 : a + 1].isalpha()) and not (low[z - 1 : z + 1].isascii() and len(low[z - 1 : z + 1]) == 2 and low[z - 1 : z + 1].isalpha())
+            n = sum(low.startswith(w, a) and ends(a, a + len(w)) for a in range(len(low)))
+            if n and (doc is not None or len(set(w)) == 1):
+                want[doc, w] = n
+    assert {(r.doc_id, r.word): r.tf for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "collect_list(CASE" not in plan  # no row per phrase, document and token is grouped
