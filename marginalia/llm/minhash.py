@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.base import Words, among, lowered, mix, saved, slices, text_bytes, text_key
+from marginalia.llm.base import Words, among, done_with, lowered, mix, saved, slices, text_bytes, text_key
 
 BANDS, ROWS = 30, 4
 _rng = np.random.default_rng(11)
@@ -151,9 +151,11 @@ def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def crossing(members: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between members (differences and component) of one centre and of different components.
 
-    The larger set is exploded to its partners' size classes, so that only sets of fitting sizes are compared.
+    The larger set is exploded to its partners' size classes, so that only sets of fitting sizes are compared. Sizes of linked sets span two classes,
+    so a set travels three times.
     """
-    size_class = lambda n: F.floor(F.log(n.cast("double")) / F.lit(0.03)).cast("int")
+    width = max(0.03, float(np.log(100 / percent)) / 2)
+    size_class = lambda n: F.floor(F.log(n.cast("double")) / F.lit(width)).cast("int")
     low = F.ceil(F.col("n") * percent / 100)
     classes = F.explode(F.sequence(size_class(low), size_class(F.col("n")))).alias("class")
     x = members.select("centre", classes, F.col("node").alias("a"), F.col("component").alias("ca"), "n", "held", "lacks", "beside")
@@ -198,21 +200,29 @@ def components(links: DataFrame, most: int = 40) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per row doc_id, n_shingles, component_id (smallest doc_id reachable over links, itself included), kept, th (text_key of its text)."""
     rows = docs.select("doc_id", "text")
-    signed = saved(signatures(rows, k), "signatures")
+    minima = saved(signatures(rows, k), "signatures")
     first = F.min("doc_id").alias("doc_id"), F.min_by("th", "doc_id").alias("th"), F.min_by("sig", "doc_id").alias("sig")
-    classes = signed.where("n > 0").groupBy("d1", "d2", "n").agg(*first)
+    found = minima.where("n > 0").groupBy("d1", "d2", "n").agg(*first)
     # a class is a node of the graph under a number of its own: doc_ids need not tell texts apart
-    classes = saved(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    reps = classes.where("doc_id is not null")
+    found = saved(found.withColumn("node", F.monotonically_increasing_id()), "classes")
+    signed = saved(minima.drop("sig"), "signed")  # minima are only needed until pairs are formed
+    done_with(minima)
+    reps = found.where("doc_id is not null")
     members = buckets(reps)
-    by_bucket = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    shared = saved(members.join(by_bucket, "bucket"), "buckets")
+    by_bucket = saved(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    # most buckets have one member: a bitmap leaves them out before the join
+    shared = saved(among(members, by_bucket, ["bucket"], ["bucket"]).join(by_bucket, "bucket"), "buckets")
     company = shared.groupBy("node").agg(F.sum("size").alias("company"))
     centre = shared.join(company, "node").groupBy("bucket").agg(F.max(F.struct("company", (-F.col("node")).alias("node")))["node"].alias("centre"))
     shared = saved(shared.join(centre.select("bucket", (-F.col("centre")).alias("centre")), "bucket").select("bucket", "node", "centre"), "centres")
     star = saved(shared.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "star")
     near = likely(star, reps, percent)
-    links = confirmed(near, sets_of(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), reps, rows, k), percent)
+    classes = saved(found.drop("sig"), "classes")
+    done_with(found)
+    reps = classes.where("doc_id is not null")
+    sets = sets_of(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), reps, rows, k)
+    links = confirmed(near, sets, percent)
+    done_with(sets)
     part = saved(components(links), "components")
 
     # what is left: buckets that still span several components
@@ -221,7 +231,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     left = saved(placed.join(span, "bucket").select("node", "component", "centre").distinct(), "left")
     sets = sets_of(left.select("node").distinct(), reps, rows, k)
     members = saved(differences(left.select("node", "centre"), sets).join(left, ["node", "centre"]), "members")
+    done_with(sets)
     more = saved(crossing(members, percent), "links")
+    done_with(members)
     whole = saved(components(links.union(more)), "components")
 
     # a component is named by its smallest doc_id; one that stands alone by its own

@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names, for every operator and stage."""
 
 import gzip
+import math
 import os
 import re
 
@@ -148,6 +149,29 @@ def test_the_pipeline_drops_rows_not_numbers(spark):
     assert [r for r in got if r[0] != 2] == [(None, None), (None, None), (5, b), (7, "c c")]
 
 
+def test_near_duplicates_keep_no_sets_or_minima(docs, tmp_path, monkeypatch):
+    """Minima, sets and differences are deleted once pairs and links are known."""
+    from marginalia.llm import base
+
+    monkeypatch.setattr(base, "shared_dir", lambda spark, name: f"{tmp_path}/{name}-{len(list(tmp_path.iterdir()))}")
+    assert minhash.near_duplicates(docs).count() == docs.count()
+    left = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
+    assert "signed" in left and not left & {"signatures", "sets", "members"}
+
+
+def test_crossing_sends_a_set_to_few_size_classes(spark):
+    """Links between differences of every fitting size, each set in three classes at most."""
+    rows = [(n, 7, n, n, 300, list(range(n, 300)), []) for n in range(200, 300)]
+    members = spark.createDataFrame(rows, "node long, centre long, component long, n long, held long, lacks array<long>, beside array<long>")
+    for percent in (80, 85, 100):
+        links = minhash.crossing(members, percent)
+        want = {(a, b) for a in range(200, 300) for b in range(200, a) if 100 * b >= percent * a}
+        assert {tuple(r) for r in links.collect()} == want
+    text = minhash.crossing(members.limit(1), 85)._jdf.queryExecution().optimizedPlan().toString()
+    width = float(text.split("/ 0.0")[1][:6].split(")")[0].join(("0.0", "")))
+    assert -math.log(0.85) / width <= 2.01
+
+
 def test_near_duplicates_against_brute_force(spark):
     rng = np.random.default_rng(5)
     rows, n = [], 0
