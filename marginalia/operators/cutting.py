@@ -88,6 +88,14 @@ def _starts(data: np.ndarray, where: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins)
 
 
+def _stable(key: np.ndarray) -> np.ndarray:
+    """The stable order of numbers from 0 up: they are sorted together with their places, where both fit."""
+    bits = len(key).bit_length()
+    if not len(key) or int(key.max()) >> (62 - bits):
+        return np.argsort(key, kind="stable")
+    return np.sort((key << bits) | np.arange(len(key))) & ((1 << bits) - 1)
+
+
 class _Tokens:
     """The tokens of one field of a piece, in order: `row`, `ord`, `size` and `at` (bytes from the document's start), `code` into `names`."""
 
@@ -98,22 +106,25 @@ class _Tokens:
         first = np.searchsorted(start, where)
         self.count = np.diff(first)
         self.row = np.repeat(np.arange(len(texts)), self.count)
-        self.ord = np.arange(len(start)) - first[self.row]
+        self.ord = np.arange(len(start)) - np.repeat(first[:-1], self.count)
         self.size = ends - start
         bounds = np.append(start, len(data)).astype(np.int64)
         coded = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(bounds), pa.py_buffer(_LOWER[data])).dictionary_encode()
         self.code, self.names = np.asarray(coded.indices, dtype=np.int64), coded.dictionary
         if (data >= 128).any():
-            codes: dict[str, int] = {}
-            again = np.array([codes.setdefault(lowered.get(n, n), len(codes)) for n in self.names.to_pylist()], np.int64)
-            self.code, self.names = again[self.code], pa.array(list(codes), pa.large_string())
+            wide = pc.invert(pc.string_is_ascii(self.names))
+            lower = pa.array([lowered.get(n, n) for n in self.names.filter(wide).to_pylist()], pa.large_string())
+            again = pc.replace_with_mask(self.names, wide, lower).dictionary_encode()
+            self.code, self.names = np.asarray(again.indices, dtype=np.int64)[self.code], again.dictionary
         if len(document) and document[-1] + 1 < len(document):  # some rows are one document
             turn = np.lexsort((self.row, self.ord, document[self.row]))
             self.row, self.ord, self.size, self.code = (a[turn] for a in (self.row, self.ord, self.size, self.code))
-        self.document = document[self.row]
-        before = np.cumsum(self.size) - self.size
-        opens = np.searchsorted(self.document, self.document)
-        self.at = before - before[opens] if len(before) else before
+            self.document = document[self.row]
+            before = np.cumsum(self.size) - self.size
+            self.at = before - before[np.searchsorted(self.document, self.document)] if len(before) else before
+        else:
+            self.document = np.repeat(document, self.count)
+            self.at = start - np.repeat(where[:-1], self.count)
 
 
 def _taken(piece: pa.RecordBatch, names: list[str], rows: np.ndarray) -> list[pa.Array]:
@@ -143,7 +154,7 @@ def _groups(batches: Iterator[pa.RecordBatch], fields: tuple[str, ...], lowered:
         for field in fields:
             t = _Tokens(piece[field], document, lowered)
             key = t.document * max(1, len(t.names)) + t.code
-            order = np.argsort(key, kind="stable")
+            order = _stable(key)
             key = key[order]
             opens = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else order
             one = order[opens]
@@ -203,7 +214,9 @@ def packed(fields: tuple[str, ...], carry: list[str], lowered: dict[str, str], b
         tf, at = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
         bucket_of = np.array([zlib.crc32(t.encode()) % buckets for t in tokens.dictionary.to_pylist()], np.int64)
         code = np.asarray(tokens.indices, dtype=np.int64)
-        order = np.lexsort((row, _sorted_names(tokens.dictionary)[code], bucket_of[code]))
+        turn = np.empty(len(bucket_of), np.int64)
+        turn[np.lexsort((_sorted_names(tokens.dictionary), bucket_of))] = np.arange(len(bucket_of))
+        order = _stable(turn[code])  # the rows of a token ascend already
         at = _ordered(tf, at, order)
         code, row, tf = code[order], row[order], tf[order]
         begins = np.append(0, np.cumsum(tf))
@@ -264,7 +277,8 @@ def unpacked(carry: list[str]) -> Callable:
         at = total - np.repeat(total[begins] - gaps[begins], tf)
         source = {c: pa.concat_arrays([p[c] for p in flat]) for c in ("doc_id", *carry, "dl")}
         ids = np.asarray(pc.fill_null(source["doc_id"], np.iinfo(np.int64).min))
-        order = np.lexsort((ids[row], _sorted_names(names.dictionary)[code]))
+        different, id_ = np.unique(ids, return_inverse=True)
+        order = _stable(_sorted_names(names.dictionary)[code] * len(different) + id_[row])
         at, code, row, tf = _ordered(tf, at, order), code[order], row[order], tf[order]
         begins = np.append(0, np.cumsum(tf))
         for a in range(0, len(code), 1 << 16):
@@ -291,6 +305,19 @@ def unpacked(carry: list[str]) -> Callable:
     return run
 
 
+def token_sums(fields: tuple[str, ...]) -> Callable:
+    """How many rows there are and how many tokens each field has in all, a piece at a time, and the sums of the other columns: n_docs, fields, others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _pieces(batches, fields):
+            sums = {"n_docs": piece.num_rows}
+            sums |= {f: len(_starts(*_bytes(piece[f]))) for f in fields}
+            sums |= {c: pc.sum(piece[c]).as_py() for c in piece.schema.names if c not in fields}
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()) for n in sums.values()], list(sums))
+
+    return run
+
+
 def _ends(texts: pa.Array, most: int) -> pa.Array:
     """Where each text's fragments end: at the last token border within `most` bytes, or after a longer letter run."""
     data, where = _bytes(texts)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import token_count
+from marginalia.operators import cutting
 from marginalia.operators.tokens import token_groups
 
 # Text fields are cut into tokens; exact fields are matched as whole values.
@@ -63,6 +64,14 @@ def doc_freq(postings: DataFrame) -> DataFrame:
     return postings.groupBy("field", "token").agg(F.count("*").alias("df"))
 
 
+def stored_sums(posts: DataFrame) -> DataFrame:
+    """field_sums() of stored posts, their tokens counted inside tasks a piece at a time."""
+    names = ["n_docs", *TEXT_FIELDS, *EXACT_FIELDS]
+    rows = posts.select(*TEXT_FIELDS, F.size("tags").alias("tags"), F.lit(1).alias("category"))
+    counted = rows.mapInArrow(cutting.token_sums(TEXT_FIELDS), ", ".join(f"{n} bigint" for n in names))
+    return counted.agg(*[F.coalesce(F.sum(n), F.lit(0).cast("bigint")).alias(n) for n in names])
+
+
 def field_sums(posts: DataFrame) -> DataFrame:
     """Corpus size and total field lengths in one row: one pass, no token rows."""
     length = {

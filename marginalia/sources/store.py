@@ -182,7 +182,7 @@ class Store:
         load = state.last + 1
         max_id, known = (-1, None) if replace else (state.max_doc_id, state.buckets)
         stored = self._write_posts(with_ends(posts), load)
-        sums = self._write("field_sums", load, ix.field_sums(stored), [])
+        sums = self._write("field_sums", load, ix.stored_sums(stored), [])
         size = sums.select("n_docs", *ix.TEXT_FIELDS).first()
         totals = {f: size[f] or 0 for f in ix.TEXT_FIELDS}
         buckets = known or buckets or self._choose_buckets(sum(totals.values()))

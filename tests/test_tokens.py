@@ -158,3 +158,30 @@ def test_packs_of_counted_tokens_come_sorted_in_small_pieces(spark, monkeypatch)
     assert sorted(map(repr, small.select(*columns).collect())) == sorted(map(repr, want.collect()))
     most = lambda df: max(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
     assert most(small) < most(plain)
+
+
+def test_sums_of_stored_posts_are_the_field_sums(spark):
+    """Tokens of stored posts are counted inside tasks; rows without text, tags or anything count as they do in columns."""
+    texts = [*TEXTS, None, *random_texts()]
+    rows = [(t, t and t[::-1], None if i % 5 == 0 else ["a"] * (i % 3)) for i, t in enumerate(texts)]
+    posts = spark.createDataFrame(rows, "title string, content string, tags array<string>")
+    for some in (posts, posts.where("title is null"), posts.where("false")):
+        summed = index.stored_sums(some)
+        assert summed.schema.names == index.field_sums(some).schema.names and summed.collect() == index.field_sums(some).collect()
+    assert "regexp" not in index.stored_sums(posts)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lower_cased_names_meet(spark):
+    """A character beyond ASCII that is lower-cased to another one's token is that token."""
+    rows = index.text_postings(posts_of(spark, ["\u212a k K \u00c9\u00e9"]).withColumn("date", F.lit(0).cast("timestamp"))).collect()
+    assert {r.token: r.positions for r in rows} == {"k": [0, 4, 6], " ": [3, 5, 7], "\u00e9": [8, 10]}
+
+
+def test_stable_order():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for top in (1, 9, 1 << 20, 1 << 61):
+        key = rng.integers(0, top, 1000)
+        assert (cutting._stable(key) == np.argsort(key, kind="stable")).all()
+    assert len(cutting._stable(np.zeros(0, np.int64))) == 0
