@@ -55,7 +55,7 @@ def append_new(store: Store, batch: DataFrame, dedupe_batch: bool = False, stage
         batch = one_per_url(batch) if dedupe_batch else batch
         batch = batch if staged and not dedupe_batch else stage(batch, "batch")
         new = number(only_new(batch, store.known_urls(batch, stage)), store.last_doc_id(), stage)
-        return store.report_nothing(source) if new.isEmpty() else store.add(new, source=source)
+        return store.report_nothing(source) if new.isEmpty() else store.add(new, source=source, ranged=True)
     finally:
         stage.clear()
 
@@ -64,7 +64,7 @@ def rebuild(store: Store, batch: DataFrame, dedupe_batch: bool = False, source:
     """Load everything anew; what was stored before stays readable until the new load is committed."""
     stage = Stage(store.spark)
     try:
-        return store.add(number(one_per_url(batch) if dedupe_batch else batch, -1, stage), replace=True, source=source)
+        return store.add(number(one_per_url(batch) if dedupe_batch else batch, -1, stage), replace=True, source=source, ranged=True)
     finally:
         stage.clear()
 

@@ -172,16 +172,16 @@ class Store:
             state.buckets or 1,
         )
 
-    def add(self, posts: DataFrame, buckets: int | None = None, replace: bool = False, source: str | None = None) -> int:
+    def add(self, posts: DataFrame, buckets: int | None = None, replace: bool = False, source: str | None = None, ranged: bool = False) -> int:
         """Write posts that carry their doc_id as one load with its index; returns its number.
 
         The index is derived from the posts as just stored, so a retry sees the same rows. `source` names what
-        was loaded, for has_loaded().
+        was loaded, for has_loaded(). `ranged`: the posts come in ranges of doc_id, and no text is moved to store it.
         """
         state = self._state()
         load = state.last + 1
         max_id, known = (-1, None) if replace else (state.max_doc_id, state.buckets)
-        stored = self._write_posts(with_ends(posts), load)
+        stored = self._write_posts(with_ends(posts), load, ranged)
         sums = self._write("field_sums", load, ix.stored_sums(stored), [])
         size = sums.select("n_docs", *ix.TEXT_FIELDS).first()
         totals = {f: size[f] or 0 for f in ix.TEXT_FIELDS}
@@ -270,9 +270,10 @@ class Store:
         most = max(8, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         return min(most, max(8, tokens // TOKENS_PER_BUCKET))
 
-    def _write_posts(self, posts: DataFrame, load: int) -> DataFrame:
-        dealt = posts.withColumn("slice", F.floor(F.col("doc_id") / SLICE_DOCS)).hint("rebalance", "slice")
-        return self._write("posts", load, dealt, ["slice"])
+    def _write_posts(self, posts: DataFrame, load: int, ranged: bool = False) -> DataFrame:
+        """Posts are brought together by slice, unless they lie in ranges of doc_id: a range falls into few slices."""
+        sliced = posts.withColumn("slice", F.floor(F.col("doc_id") / SLICE_DOCS))
+        return self._write("posts", load, sliced if ranged else sliced.hint("rebalance", "slice"), ["slice"])
 
     def _write_postings(self, postings: DataFrame, load: int, buckets: int) -> DataFrame:
         """Rebalancing by bucket lets Spark split the ones that hold a very frequent token."""

@@ -255,3 +255,29 @@ def test_numbering_moves_posts_once(spark):
     done = ingest.number(rows.repartition(7, "content"), 9, Stage(spark))
     assert [r.doc_id for r in done.orderBy("url").collect()] == list(range(10, 510))
     assert "row_number" not in done._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("how", [ingest.append_new, ingest.rebuild])
+def test_numbered_posts_are_stored_where_they_lie(spark, tmp_path, monkeypatch, how):
+    """They come in ranges of doc_id: no text is shuffled to bring a slice together, and every post is in its slice."""
+    from marginalia.sources import store as stored
+
+    monkeypatch.setattr(stored, "SLICE_DOCS", 7)
+    dealt, write = [], Store._write
+
+    def seen(self, table, load, df, by):
+        if table == "posts":
+            dealt.append("RebalancePartitions" in df._jdf.queryExecution().optimizedPlan().toString())
+        return write(self, table, load, df, by)
+
+    monkeypatch.setattr(Store, "_write", seen)
+    rows = [(f"u{i * 37 % 100:02}", f"t{i}", "a b " * i, "c", ["x"]) for i in range(100)]
+    batch = spark.createDataFrame(rows, "url string, title string, content string, category string, tags array<string>").repartition(5)
+    batch = batch.withColumn("date", F.timestamp_seconds(F.length("content")))
+    store = Store(spark, str(tmp_path / "s"))
+    how(store, batch)
+    got = store.table("posts").orderBy("doc_id").collect()
+    assert [(r.url, r.title, r.content) for r in got] == sorted((u, t, c) for u, t, c, *_ in rows)
+    assert all(r.slice == r.doc_id // 7 for r in got) and [r.doc_id for r in got] == list(range(got[0].doc_id, got[0].doc_id + 100))
+    store.add(batch.withColumn("doc_id", F.lit(500) + F.length("content")))
+    assert dealt == [False, True]
