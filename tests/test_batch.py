@@ -94,3 +94,82 @@ def test_phrases_meet_the_positions_of_their_tokens_once(spark, monkeypatch):
     assert {(r.doc_id, r.word): r.tf for r in got.collect()} == want
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "collect_list(CASE" not in plan  # no row per phrase, document and token is grouped
+
+
+PARTS = "request_id string, w_must int, w_excluded int, w_filter int, lo long, hi long, ranged boolean, page long, size long, role string, kind string, word string"
+
+
+def test_slots_do_not_grow_with_an_upper_bound_of_matches(spark):
+    """The bound counts a phrase by its rarest token and may be far above what matches; every request goes to every slot."""
+    matched = spark.range(400).select(F.lit("text").alias("kind"), F.lit("a").alias("word"), F.col("id").alias("doc_id"), F.timestamp_seconds("id").alias("date"), F.lit(0.5).alias("score"))
+    parts = spark.createDataFrame([(f"r{i}", 1, 0, 0, None, None, False, 1, 4, "must", "text", "a") for i in range(20)], PARTS)
+    best = batch.best_in_slots(parts, matched, "all", 200_000_000, 20)
+    assert best.count() <= 20 * 4 * 3
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" not in plan and plan.count("MapInArrow") >= 3  # matches and requests are packed before they are dealt
+
+
+@pytest.mark.parametrize("small", [True, False])
+@pytest.mark.parametrize("exclude", ["all", "any"])
+def test_parts_of_a_slot_give_the_same_pages(spark, monkeypatch, exclude, small):
+    """Many parts and slots, best rows handed on early, documents without number or date, ids far apart and below zero."""
+    if small:
+        monkeypatch.setattr(batch, "SLOT_ROWS", 90)
+        monkeypatch.setattr(batch, "SLOTS", 3)
+        monkeypatch.setattr(batch, "PACK_ROWS", 200)
+        monkeypatch.setattr(batch, "BEST_ROWS", 40)
+        monkeypatch.setattr(batch, "BEST_REQUESTS", 5)
+        monkeypatch.setattr(batch, "BLOCK_REQUESTS", 7)
+    rng = np.random.default_rng(3)
+    docs = [None, -5000, *[int(i) * 173 for i in range(298)]]
+    date = {d: None if i % 9 == 4 else int(rng.integers(0, 60)) for i, d in enumerate(docs)}
+    words = [("text", "a", 0.9), ("text", "b", 0.5), ("text", "c", 0.1), ("text", "d", 0.01), ("category", "t", 0.4)]
+    score = {(k, w, d): float(rng.choice([0.1, 0.25, 0.30004, 0.30006, 1.5])) for k, w, share in words for d in docs if rng.random() < share}
+    rows = [(k, w, d, date[d], s) for (k, w, d), s in score.items()]
+    matched = spark.createDataFrame(rows, "kind string, word string, doc_id long, at long, score double").select("kind", "word", "doc_id", F.timestamp_seconds("at").alias("date"), "score")
+    clauses, want = [], {}
+    for i in range(40):
+        must = [words[j][:2] for j in rng.choice(4, 1 + i % 2, replace=i % 7 == 0)] if i % 5 else []
+        excluded = [("text", w) for w in rng.choice(["b", "c", "d", "nosuch"], i % 3, replace=False)] if must else []
+        exact = [("category", "t")] if i % 4 == 0 or not must else []
+        lo, hi = [(None, None), (10, None), (None, 40), (10, 40)][i % 4]
+        page, size = 1 + i % 3, [1, 4, 30][i % 3]
+        head = (f"r{i}", len(must), len(excluded), len(exact), lo, hi, i % 2 == 0, page, size)
+        clauses += [(*head, role, k, w) for role, some in (("must", must), ("excluded", excluded), ("filter", exact)) for k, w in some]
+        found = []
+        for d in docs:
+            at = date[d]
+            if any((*c, d) not in score for c in must + exact) or (at is not None and ((lo is not None and at < lo) or (hi is not None and at > hi))):
+                continue
+            gone = sum((*c, d) in score for c in excluded)
+            if excluded and gone >= (len(excluded) if exclude == "all" else 1):
+                continue
+            key = round(sum(score[*c, d] for c in must + exact) + (i % 2 == 0), 4) if must else at
+            found.append(((key is None, -(key or 0)), -(1 << 62) if d is None else d, key if must else None))
+        shown = sorted(found)[(page - 1) * size : page * size]
+        want[f"r{i}"] = [((page - 1) * size + 1 + n, None if d == -(1 << 62) else d, s, len(found)) for n, (_, d, s) in enumerate(shown)]
+    pages = search.batch_pages(spark.createDataFrame(clauses, PARTS), matched, exclude, len(rows), 40).collect()
+    got = {r: [] for r in want}
+    for r in pages:
+        if r.rank is not None:
+            got[r.request_id].append((r.rank, r.doc_id, None if r.score is None else round(r.score, 4), r.total))
+    for r, found in want.items():
+        assert sorted(got[r]) == found, r
+    later = [r for r in pages if r.rank is None]
+    assert all(r.doc_id is None and r.score is None and r.total > 0 for r in later) and len({r.request_id for r in later}) == len(later)
+
+
+def test_postings_of_phrases_travel_packed(spark):
+    """What is dealt to a phrase's slots are packs, not a row per token and document."""
+    from marginalia.operators import index as ix
+    from marginalia.operators import match
+
+    posts = spark.range(600).select(
+        F.col("id").alias("doc_id"), F.lit("of the").alias("title"), F.lit("of the of the").alias("content"), F.timestamp_seconds("id").alias("date"), F.lit("c").alias("category"), F.array().cast("array<string>").alias("tags")
+    )
+    index = ix.from_posts(posts)
+    asked = spark.createDataFrame([("text", "of the")], "kind string, word string")
+    found = match.field_matches(index, match.lookups(asked, index), fits=True)
+    left = found._jdf.queryExecution().optimizedPlan().toString().split("FlatMapCoGroupsInArrow")[1]
+    assert left.index("MapInArrow") < left.index("positions")  # packed above what has positions
+    assert {(r.field, r.tf) for r in found.select("field", "tf").distinct().collect()} == {("title", 1), ("content", 2)} and found.count() == 1200
