@@ -173,3 +173,24 @@ def test_postings_of_phrases_travel_packed(spark):
     left = found._jdf.queryExecution().optimizedPlan().toString().split("FlatMapCoGroupsInArrow")[1]
     assert left.index("MapInArrow") < left.index("positions")  # packed above what has positions
     assert {(r.field, r.tf) for r in found.select("field", "tf").distinct().collect()} == {("title", 1), ("content", 2)} and found.count() == 1200
+
+
+def test_postings_are_not_shuffled_for_many_requests(spark, monkeypatch):
+    """Beyond BROADCAST_CLAUSES the clauses are not broadcast, but what postings are joined with still is."""
+    from marginalia.operators import index as ix
+    from marginalia.operators.joins import Stage
+
+    posts = spark.range(50).select(
+        F.col("id").alias("doc_id"), F.lit("of the").alias("title"), F.concat_ws(" ", F.lit("of the"), F.col("id").cast("string"), F.lit("x")).alias("content"), F.lit("u").alias("url"), F.timestamp_seconds("id").alias("date"), F.lit("c").alias("category"), F.array().cast("array<string>").alias("tags")
+    )
+    index, none = ix.from_posts(posts), F.array().cast("array<string>")
+    words = spark.createDataFrame([("1", ["of the"]), ("2", ["x", "-of"]), ("3", ["the", "x"])], "request_id string, q array<string>")
+    requests = words.select("request_id", F.lit(1).cast("bigint").alias("page"), F.lit(4).cast("bigint").alias("size"), F.array().cast("array<bigint>").alias("range"), none.alias("terms"), "q")
+    fits, plain = [], search.field_matches
+    monkeypatch.setattr(search, "field_matches", lambda index, wanted, joins, *more: (fits.append(joins), plain(index, wanted, joins, *more))[1])
+    answer = lambda: sorted(map(tuple, search.search(requests, index, stage=Stage(spark)).pages.collect()))
+    few = answer()
+    monkeypatch.setattr(search, "BROADCAST_CLAUSES", 0)
+    assert answer() == few and len(few) == 8 and fits == [True, True]
+    monkeypatch.setattr(search, "BROADCAST_BYTES", 0)
+    assert answer() == few and fits == [True, True, False]
